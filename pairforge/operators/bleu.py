@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairforge.functions.words import MAX_N, ngrams, words
+from pairforge.functions.words import MAX_N, add_ngrams, gram_count, words
 from pairforge.operators.position import prefix_sums
 
+SPREAD = 4
 ORDERS = range(1, MAX_N + 1)
 COUNTS = [f"match{n}" for n in ORDERS] + [f"total{n}" for n in ORDERS] + ["pred_len", "ref_len"]
 
@@ -21,53 +22,55 @@ def _tokens(text: Column) -> Column:
     return F.coalesce(words(text), F.array().cast("array<string>"))
 
 
-def _grams(tokens: Column, side: Column) -> Column:
-    """All n-grams of one token list as structs of order, text and side."""
-
-    def of_order(n: int) -> Column:
-        return F.transform(
-            ngrams(tokens, n),
-            lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), side.alias("side")),
-        )
-
-    return F.concat(*[of_order(n) for n in ORDERS])
+def _placed_grams(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per n-gram of the word lists ``_p`` and ``_r``, with its order
+    and side told from its place in the joined array."""
+    sized = df.withColumns({"_lp": F.size("_p"), "_lr": F.size("_r")})
+    listed = add_ngrams(add_ngrams(sized, "_p"), "_r")
+    arrays = [f"{side}{'' if n == 1 else n}" for side in ("_p", "_r") for n in ORDERS]
+    rows = listed.select(*keys, "_lp", "_lr", F.posexplode_outer(F.concat(*arrays)).alias("_at", "gram"))
+    n_pred = sum((gram_count(F.col("_lp"), n) for n in ORDERS), F.lit(0))
+    rows = rows.withColumn("in_pred", F.col("_at") < n_pred)
+    place = F.col("_at") - F.when(F.col("in_pred"), 0).otherwise(n_pred)
+    length = F.when(F.col("in_pred"), F.col("_lp")).otherwise(F.col("_lr"))
+    order, upto = F.lit(1), F.lit(0)
+    for n in ORDERS[:-1]:
+        upto = upto + gram_count(length, n)
+        order = order + (place >= upto).cast("int")
+    return rows.withColumn("n", order)
 
 
 def ngram_counts(
     df: DataFrame, key: str, prediction: str, reference: str, carry: list[str] = ()
 ) -> DataFrame:
-    """Per row and n-gram: occurrences in the prediction and, as the maximum
-    over the references, in the reference. ``reference`` is a string or an
-    array of strings. Rows without any n-gram keep one row with null ``gram``."""
+    """Per row and n-gram: occurrences in the prediction and in the reference.
+
+    ``reference`` is a string, or an array of strings of which the highest
+    count and the shortest length are taken. Rows without any word keep one
+    row with null ``gram``.
+    """
     keys = [key, *carry]
     several = df.schema[reference].dataType.typeName() == "array"
-    refs = F.col(reference) if several else F.array(F.col(reference))
-    placed = df.select(*keys, F.col(prediction).alias("_p"), refs.alias("_r")).repartition(key)
-    tokens = placed.select(
-        *keys, _tokens(F.col("_p")).alias("_p"), F.transform("_r", _tokens).alias("_r")
-    ).select(
-        *keys, "_p", "_r",
-        F.coalesce(F.array_min(F.transform("_r", F.size)), F.lit(0)).alias("_ref_len"),
-    )
-    sides = F.concat(
-        _grams(F.col("_p"), F.lit(0)),
-        F.flatten(F.transform("_r", lambda r, i: _grams(r, i + 1))),
-    )
-    grams = tokens.select(*keys, "_ref_len", F.explode_outer(sides).alias("_g")).select(
-        *keys, "_ref_len", "_g.n", "_g.gram", "_g.side"
-    )
-    by_gram = [*keys, "_ref_len", "n", "gram"]
+    texts = df.select(*keys, F.col(prediction).alias("_p"), F.col(reference).alias("_r"))
+    # A fixed number, as adaptive execution would size partitions by the texts
+    # and not by the n-grams, which are some thirty times larger.
+    n = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(n, key)
     if several:
-        grams = grams.groupBy(*by_gram, "side").agg(F.count("gram").alias("_c"))
-        in_ref = F.max(F.when(F.col("side") > 0, F.col("_c")))
-    else:
-        grams = grams.withColumn("_c", F.lit(1))
-        in_ref = F.sum(F.when(F.col("side") > 0, F.col("_c")))
-    in_pred = F.sum(F.when(F.col("side") == 0, F.col("_c")))
-    return grams.groupBy(*by_gram).agg(
-        F.coalesce(in_pred, F.lit(0)).cast("bigint").alias("in_pred"),
-        F.coalesce(in_ref, F.lit(0)).cast("bigint").alias("in_ref"),
+        texts = texts.select(*keys, "_p", F.posexplode_outer("_r").alias("_ref", "_r"))
+        keys = [*keys, "_ref"]
+    tokens = texts.select(*keys, _tokens(F.col("_p")).alias("_p"), _tokens(F.col("_r")).alias("_r"))
+    is_pred = F.col("in_pred")
+    counted = _placed_grams(tokens, keys).groupBy(*keys, "_lp", "_lr", "n", "gram").agg(
+        F.count_if(is_pred).alias("in_pred"), F.count_if(~is_pred).alias("in_ref")
     )
+    if several:
+        shortest = counted.groupBy(key, *carry, "n", "gram").agg(
+            F.max("in_pred").alias("in_pred"), F.max("in_ref").alias("in_ref"),
+            F.max("_lp").alias("_lp"), F.min("_lr").alias("_lr"),
+        )
+        counted = shortest
+    return counted
 
 
 def row_counts(
@@ -80,12 +83,11 @@ def row_counts(
     def over(n: int, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
 
-    return grams.groupBy(key, *carry, "_ref_len").agg(
+    return grams.groupBy(key, *carry).agg(
         *[over(n, clipped).alias(f"match{n}") for n in ORDERS],
         *[over(n, F.col("in_pred")).alias(f"total{n}") for n in ORDERS],
-        over(1, F.col("in_pred")).alias("pred_len"),
-    ).select(
-        key, *carry, *COUNTS[:-1], F.col("_ref_len").cast("bigint").alias("ref_len")
+        F.max("_lp").cast("bigint").alias("pred_len"),
+        F.min("_lr").cast("bigint").alias("ref_len"),
     )
 
 
