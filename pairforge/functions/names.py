@@ -61,9 +61,23 @@ def parse_name(name: Column) -> Column:
     )
 
 
-def rate_text(rate: Column) -> Column:
+def short_rate(rate: Column) -> Column:
     """One digit after the point and a two-digit exponent; null as ``-``."""
-    return F.coalesce(F.format_string("%.1e", rate), F.lit("-"))
+    return F.when(rate.isNotNull(), F.format_string("%.1e", rate)).otherwise("-")
+
+
+def rate_text(rate: Column) -> Column:
+    """The shortest spelling, such as 1e-07 or 0.0001; null as ``-``."""
+    digits = F.regexp_replace(F.split(rate.cast("string"), "E")[0], r"\.0$", "")
+    exponent = F.get(F.split(rate.cast("string"), "E"), F.lit(1)).cast("int")
+    tiny = F.concat(digits, F.lit("e-"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    small = F.regexp_replace(F.format_string("%.20f", rate.cast("decimal(38,20)")), "0+$", "")
+    return (
+        F.when(rate.isNull(), "-")
+        .when((F.abs(rate) < 1e-4) & (rate != 0), tiny)
+        .when((F.abs(rate) < 1e-3) & (rate != 0), small)
+        .otherwise(rate.cast("string"))
+    )
 
 
 def numeric_rate(rate: Column) -> Column:

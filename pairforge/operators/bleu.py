@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairforge.functions.words import MAX_N, add_ngrams, gram_count, words
-from pairforge.operators.position import prefix_sums
+from pairforge.operators.position import running_totals
 
 SPREAD = 4
 ORDERS = range(1, MAX_N + 1)
@@ -129,9 +129,8 @@ def running_bleu(
         .groupBy(block.alias("block"))
         .agg(F.count(F.lit(1)).alias("in_block"), *[F.sum(c).alias(f"_{c}") for c in COUNTS])
     )
-    totals = prefix_sums(
-        blocks, "block", {"rows_done": F.col("in_block")} | {c: F.col(f"_{c}") for c in COUNTS},
-        inclusive=True,
+    totals = running_totals(
+        blocks, "block", {"rows_done": F.col("in_block")} | {c: F.col(f"_{c}") for c in COUNTS}
     )
     return totals.where(F.col("in_block") == every).select(
         "rows_done", *COUNTS, score().alias("bleu")

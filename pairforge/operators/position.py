@@ -8,16 +8,17 @@ No window here sees a whole table. Two ways, by kind of order:
   level has at most ``2**16`` rows because a key has 64 bits.
 * ``ranked`` orders by any columns. Spark's range exchange balances them, also
   if one leading value holds a third of the rows, as the tie-breaker is part of
-  the range key. The partitioning is checkpointed before it is counted.
+  the range key. The laid out rows are written before they are counted, so
+  that a lost executor cannot change a number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairforge.session import checkpointed
+from pairforge.session import stored
 
-DATA_BITS = 12
+ROW_BITS = 12
 LEVEL_BITS = 18
 TOP_BITS = 16
 
@@ -48,20 +49,22 @@ def _starts(totals: DataFrame, key: str, names: list[str], bits: int) -> DataFra
 
 
 def prefix_sums(
-    df: DataFrame, key: str, sums: dict[str, Column], inclusive: bool = False, key_bits: int = 64
+    df: DataFrame, key: str, sums: dict[str, Column], inclusive: bool = False,
+    row_bits: int = ROW_BITS, key_bits: int = 64,
 ) -> DataFrame:
     """Add running totals of ``sums`` in the order of ``key``.
 
-    ``key`` must be a unique integer column. ``key_bits`` may be lowered for
-    keys of a known range, which saves levels.
+    ``key`` must be a unique integer column. One group has ``2**row_bits`` rows
+    at most. ``key_bits`` may be lowered for keys of a known range, which saves
+    levels.
     """
     names = list(sums)
     data = df.withColumns(
-        {"_bucket": F.shiftright(F.col(key).cast("bigint"), DATA_BITS)}
+        {"_bucket": F.shiftright(F.col(key).cast("bigint"), row_bits)}
         | {f"_v_{n}": sums[n].cast("bigint") for n in names}
     )
     totals = data.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    starts = _starts(totals, "_bucket", [f"_t_{n}" for n in names], key_bits - DATA_BITS)
+    starts = _starts(totals, "_bucket", [f"_t_{n}" for n in names], key_bits - row_bits)
     w = _before("_bucket", key)
     local = data.withColumns(
         {f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in names}
@@ -74,6 +77,16 @@ def prefix_sums(
     return local.join(starts, "_bucket").select(*kept, *[c.alias(n) for n, c in total.items()])
 
 
+def running_totals(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Running totals, own row included, over numbered blocks of rows.
+
+    Block rows are a few numbers each, so one group may have 2**18 of them;
+    two levels then reach 2**34 blocks. The blocks are written first, as each
+    level reads them and the rows behind them should be read once.
+    """
+    return prefix_sums(stored(df, "blocks"), key, sums, inclusive=True, row_bits=LEVEL_BITS, key_bits=LEVEL_BITS + TOP_BITS)
+
+
 def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     """Row position from 0 in the order of a unique integer key."""
     return prefix_sums(df, key, {name: F.lit(1)})
@@ -101,10 +114,11 @@ def ranked(
     """Number the rows in any order; ``order`` should end in a tie-breaker."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = checkpointed(
+    laid = stored(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
+        .withColumn("_slot", F.monotonically_increasing_id()),
+        "ranked",
     ).withColumn("_part", F.shiftright("_slot", 33))
     # One row per partition, so at most ``n`` rows are ordered and broadcast.
     starts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairforge.functions.text import length_ratio
-from pairforge.operators.position import prefix_sums, with_batch
+from pairforge.operators.position import running_totals, with_batch
 
 # Defaults of the published build.
 MIN_GAP = 2
@@ -54,17 +54,22 @@ def classify(
             "_d2": F.when(F.col("_early").isNull(), F.levenshtein(p2, tgt)),
         }
     )
-    picked = measured.withColumn(
-        "_pick", F.when(F.col("_early").isNull(), prefer(p1, p2, F.col("_d1"), F.col("_d2")))
-    )
-    ratio = length_ratio(F.col("_pick.chosen"), F.col("_pick.rejected"))
+    d1, d2 = F.col("_d1"), F.col("_d2")
+    first = d1 < d2
+    ratio = F.when(first, length_ratio(p1, p2)).otherwise(length_ratio(p2, p1))
     status = (
         F.when(F.col("_early").isNotNull(), F.col("_early"))
-        .when(F.abs(F.col("_d1") - F.col("_d2")) < min_gap, "small_diff")
+        .when(F.abs(d1 - d2) < min_gap, "small_diff")
         .when((ratio > max_ratio) | (ratio < min_ratio), "length_ratio")
         .otherwise(KEPT)
     )
-    return picked.select(*df.columns, status.alias("status"), "_pick.*")
+    pick = F.when(F.col("_early").isNull(), prefer(p1, p2, d1, d2))
+    # A generated row keeps later filters on the status above this point. Were
+    # they pushed down, each would work out both distances once more.
+    judged = measured.select(
+        *df.columns, F.inline(F.array(F.struct(status.alias("status"), pick.alias("_pick"))))
+    )
+    return judged.select(*df.columns, "status", "_pick.*")
 
 
 def kept_pairs(classified: DataFrame, *keys: str, source: str = "src") -> DataFrame:
@@ -129,9 +134,8 @@ def running_success(
             F.count_if(F.col("status") == KEPT).alias("n_kept"),
         )
     )
-    so_far = prefix_sums(
-        per_batch, "batch_id",
-        {"processed": F.col("n_seen"), "successful": F.col("n_kept")}, inclusive=True,
+    so_far = running_totals(
+        per_batch, "batch_id", {"processed": F.col("n_seen"), "successful": F.col("n_kept")}
     )
     return so_far.where((F.col("batch_id") % every == 0) & (F.col("batch_id") > 0)).select(
         "batch_id", "processed", "successful",

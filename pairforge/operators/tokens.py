@@ -48,7 +48,7 @@ def encode(
     df: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int | None = None,
     head: int = HEAD,
 ) -> DataFrame:
-    """Replace the words of ``tokens`` by ``ids``, in their order.
+    """``key`` and ``ids``: the ids of the words in ``tokens``, in their order.
 
     Texts are laid out by ``key`` once. Tokens with a low id, the frequent
     ones, are looked up in a broadcast table of bounded size and never leave
@@ -61,19 +61,20 @@ def encode(
     far = vocab.where(~frequent).select("token", "token_id")
     # Both branches start from this exchange, which Spark runs once.
     laid = df.select(key, F.col(tokens).alias("_tokens")).repartition(key)
-    words = laid.select(key, F.posexplode("_tokens").alias("_at", "token"))
+    words = laid.select(key, F.posexplode_outer("_tokens").alias("_at", "token"))
     spot = F.struct(F.col("_at"), F.col("token_id"))
-    found = words.join(near, "token").groupBy(key).agg(F.collect_list(spot).alias("_near"))
-    rest = words.join(near, "token", "left_anti").join(far, "token", "inner" if unknown is None else "left")
+    found = words.join(near, "token", "left").groupBy(key).agg(
+        F.collect_list(F.when(F.col("token_id").isNotNull(), spot)).alias("_near")
+    )
+    rest = words.where(F.col("token").isNotNull()).join(near, "token", "left_anti")
+    rest = rest.join(far, "token", "inner" if unknown is None else "left")
     if unknown is not None:
         rest = rest.withColumn("token_id", F.coalesce("token_id", F.lit(unknown).cast("bigint")))
     late = rest.groupBy(key).agg(F.collect_list(spot).alias("_far"))
     none = F.array().cast("array<struct<_at:int,token_id:bigint>>")
-    both = F.array_sort(F.concat(F.coalesce("_near", none), F.coalesce("_far", none)))
-    return (
-        df.join(found, key, "left").join(late, key, "left")
-        .withColumn("ids", F.transform(both, lambda x: x["token_id"]))
-        .select(*df.columns, "ids")
+    both = F.array_sort(F.concat(F.col("_near"), F.coalesce("_far", none)))
+    return found.join(late, key, "left").select(
+        key, F.transform(both, lambda x: x["token_id"]).alias("ids")
     )
 
 

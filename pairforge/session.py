@@ -35,7 +35,6 @@ def shared_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="pairforge-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -45,17 +44,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/pairforge-{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: freezes a range partitioning so that a lost
-    executor cannot change row numbers derived from it."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """Write once to the shared folder and read back, for results that
-    several branches of one job use. Unlike a checkpoint the copy is
-    columnar, so each branch reads only its own columns."""
+    """Write once to the shared folder and read back.
+
+    Cuts the lineage of results that several branches of one job use. Unlike
+    a checkpoint the copy is columnar, so each branch reads only its columns,
+    and its size is known to the optimizer.
+    """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

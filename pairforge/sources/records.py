@@ -140,8 +140,15 @@ MODEL_FILES = [
 ]
 
 
-def artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Publishable files below ``root/<run>/``; contents are not read."""
+def artifacts(
+    spark: SparkSession, root: str, run_files: list[str] | None = RUN_FILES,
+    model_files: list[str] | None = MODEL_FILES,
+) -> DataFrame:
+    """Files below ``root/<run>/`` by name, or all for None; contents are not read."""
+
+    def listed(names: list[str] | None) -> Column:
+        return F.lit(True) if names is None else name.isin(names)
+
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         .select("path", "length")
@@ -150,8 +157,8 @@ def artifacts(spark: SparkSession, root: str) -> DataFrame:
     name, parent = F.element_at(parts, -1), F.element_at(parts, -2)
     in_model = parent == "final_model"
     run = F.when(in_model, F.element_at(parts, -3)).otherwise(parent)
-    wanted = F.when(in_model, name.isin(MODEL_FILES)).otherwise(name.isin(RUN_FILES))
-    return files.where(wanted).select(run.alias("run"), name.alias("file"), in_model.alias("in_model"), "length")
+    wanted = F.when(in_model, listed(model_files)).otherwise(listed(run_files))
+    return files.where(wanted).select(_last_part(run).alias("run"), name.alias("file"), in_model.alias("in_model"), "length")
 
 
 def artifact_sizes(listing: DataFrame) -> DataFrame:
