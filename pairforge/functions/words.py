@@ -28,7 +28,7 @@ def words(text: Column) -> Column:
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for pattern, spaced in SPACING:
         t = F.regexp_replace(t, pattern, spaced)
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(t, r"\s+"), "")
 
 
 def words_and_specials(text: Column, specials: list[str]) -> Column:

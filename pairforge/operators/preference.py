@@ -13,6 +13,7 @@ MAX_RATIO = 3.0
 MIN_RATIO = 0.33
 
 KEPT = "kept"
+BANDS = (32, 256)
 
 
 def prefer(pred1: Column, pred2: Column, dist1: Column, dist2: Column) -> Column:
@@ -29,16 +30,40 @@ def prefer(pred1: Column, pred2: Column, dist1: Column, dist2: Column) -> Column
     )
 
 
+def add_distance(df: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
+    """Exact edit distance in characters of the rows that ``_early`` leaves open.
+
+    The bounded form works on a band of the table of both texts and gives -1
+    above its bound, so near texts are cheap however long they are, and the
+    whole table is only filled for distant ones.
+    """
+    found = F.lit(None).cast("int")
+    for i, bound in enumerate([*BANDS, None]):
+        step = F.levenshtein(a, b) if bound is None else F.levenshtein(a, b, bound)
+        unknown = F.col("_early").isNull() & F.coalesce(found < 0, F.lit(True))
+        column = name if bound is None else f"{name}_{i}"
+        df = df.withColumn(column, F.when(unknown, step).otherwise(found))
+        found = F.col(column)
+    return df
+
+
 def classify(
     df: DataFrame, min_gap: int = MIN_GAP, max_ratio: float = MAX_RATIO,
     min_ratio: float = MIN_RATIO, source: str = "src", target: str = "tgt",
     pred1: str = "pred1", pred2: str = "pred2", error: str | None = None,
+    spread_by: str | None = None,
 ) -> DataFrame:
     """Add ``status``, ``chosen``, ``rejected`` and both distances.
 
     The first rule that applies names the status, so each row is counted once.
     Distances are only worked out where the cheap rules leave the row open.
+    They cost far more than moving the texts, so with ``spread_by``, a unique
+    key, rows are dealt out evenly to all tasks first; it pays where files are
+    few or long texts lie together.
     """
+    if spread_by:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartition(tasks, spread_by)
     p1, p2, tgt = F.col(pred1), F.col(pred2), F.col(target)
     broken = F.col(source).isNull() | tgt.isNull()
     if error:
@@ -48,12 +73,8 @@ def classify(
         .when((F.coalesce(p1, F.lit("")) == "") | (F.coalesce(p2, F.lit("")) == ""), "empty")
         .when(p1 == p2, "identical")
     )
-    measured = df.withColumn("_early", early).withColumns(
-        {
-            "_d1": F.when(F.col("_early").isNull(), F.levenshtein(p1, tgt)),
-            "_d2": F.when(F.col("_early").isNull(), F.levenshtein(p2, tgt)),
-        }
-    )
+    open_rows = df.withColumn("_early", early)
+    measured = add_distance(add_distance(open_rows, "_d1", p1, tgt), "_d2", p2, tgt)
     d1, d2 = F.col("_d1"), F.col("_d2")
     first = d1 < d2
     ratio = F.when(first, length_ratio(p1, p2)).otherwise(length_ratio(p2, p1))

@@ -64,7 +64,7 @@ def extract_answer_prompt(spark: SparkSession, sf: str) -> DataFrame:
 # --- preference build --------------------------------------------------------
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    return preference.classify(views.candidates(views.pairs(spark, sf)))
+    return preference.classify(views.candidates(views.pairs(spark, sf)), spread_by="pair_id")
 
 
 def pref_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +90,7 @@ def pref_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pref_failed(spark: SparkSession, sf: str) -> DataFrame:
-    judged = preference.classify(views.candidates(views.asked(spark, sf)))
+    judged = preference.classify(views.candidates(views.asked(spark, sf)), spread_by="pair_id")
     return preference.failed_rows(judged).select("pair_id", "src", "status")
 
 
@@ -113,7 +113,7 @@ def pref_from_hook(spark: SparkSession, sf: str) -> DataFrame:
         "pair_id", views.fold(F.col("src")).alias("src"), views.fold(F.col("tgt")).alias("tgt")
     )
     made = generate.with_candidates(pairs, generate.letter_editor)
-    return preference.classify(made, error="gen_error").select(
+    return preference.classify(made, error="gen_error", spread_by="pair_id").select(
         "pair_id", "pred1", "pred2", "gen_error", "status"
     )
 
@@ -422,7 +422,7 @@ def grid_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    found = views.planned_runs(spark, sf)
+    found = stored(views.planned_runs(spark, sf), "runs")
     models = found.where(F.col("eval_loss").isNotNull())
     return outcomes.plan_outcomes(grid.grid(spark), found, models)
 

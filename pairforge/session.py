@@ -15,6 +15,8 @@ def local_session(cores: str = "8", app: str = "pairforge", memory: str = "16g")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else cores)
         .config("spark.sql.adaptive.enabled", "true")
+        # Small tables with much work per row should still use all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
