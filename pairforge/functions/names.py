@@ -71,7 +71,7 @@ def rate_text(rate: Column) -> Column:
     digits = F.regexp_replace(F.split(rate.cast("string"), "E")[0], r"\.0$", "")
     exponent = F.get(F.split(rate.cast("string"), "E"), F.lit(1)).cast("int")
     tiny = F.concat(digits, F.lit("e-"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    small = F.regexp_replace(F.format_string("%.20f", rate.cast("decimal(38,20)")), "0+$", "")
+    small = F.regexp_replace(rate.cast("decimal(38,20)").cast("string"), "0+$", "")
     return (
         F.when(rate.isNull(), "-")
         .when((F.abs(rate) < 1e-4) & (rate != 0), tiny)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairforge.functions import names, text
@@ -124,18 +122,19 @@ def running_success(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def pref_incremental(spark: SparkSession, sf: str) -> DataFrame:
+def _streamed(spark: SparkSession, sf: str) -> str:
     stream = _candidate_files(spark, sf)
-    out, state = fresh_path(spark, "stream-pairs"), fresh_path(spark, "stream-state")
-    incremental.append_pairs(stream, out, state, "pair_id").awaitTermination()
-    return datasets.read_preferences(spark, out)
+    out, state = fresh_path(spark, "stream-judged"), fresh_path(spark, "stream-state")
+    incremental.append_judged(stream, out, state, "pair_id").awaitTermination()
+    return out
+
+
+def pref_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.pairs_so_far(spark, _streamed(spark, sf), "pair_id")
 
 
 def progress_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    name = f"progress_{uuid.uuid4().hex}"
-    stream = _candidate_files(spark, sf)
-    incremental.count_outcomes(stream, name, fresh_path(spark, "stream-state")).awaitTermination()
-    return spark.table(name)
+    return incremental.progress(spark, _streamed(spark, sf))
 
 
 def _candidate_files(spark: SparkSession, sf: str) -> DataFrame:

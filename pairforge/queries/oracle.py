@@ -84,6 +84,12 @@ judged AS (
 
 JUDGED = f"WITH {PAIRS},{cands('pairs')},{judged()}\n"
 KEPT = "SELECT src AS prompt, chosen, rejected FROM judged WHERE status = 'kept'"
+OUTCOME_COUNTS = JUDGED + (
+    "SELECT status, count(*) AS n, "
+    "CAST(coalesce(sum(chosen_dist) FILTER (status = 'kept'), 0) AS BIGINT) AS chosen_dist, "
+    "CAST(coalesce(sum(rejected_dist) FILTER (status = 'kept'), 0) AS BIGINT) AS rejected_dist "
+    "FROM judged GROUP BY status"
+)
 NUMBERED = (
     "SELECT row_number() OVER (ORDER BY pair_id) - 1 AS entry_number, src AS prompt, chosen, "
     "rejected FROM judged WHERE status = 'kept'"
@@ -340,10 +346,8 @@ ORACLE = {
     "extract_answer_prompt": answer(strip("replace(c, src, '')")),
     "pref_status": JUDGED + "SELECT pair_id, status, CAST(chosen_dist AS BIGINT) AS chosen_dist, "
     "CAST(rejected_dist AS BIGINT) AS rejected_dist, round(ratio, 9) AS length_ratio FROM judged",
-    "pref_outcomes": JUDGED + "SELECT status, count(*) AS n, "
-    "CAST(coalesce(sum(chosen_dist) FILTER (status = 'kept'), 0) AS BIGINT) AS chosen_dist, "
-    "CAST(coalesce(sum(rejected_dist) FILTER (status = 'kept'), 0) AS BIGINT) AS rejected_dist "
-    "FROM judged GROUP BY status",
+    "pref_outcomes": OUTCOME_COUNTS,
+    "progress_incremental": OUTCOME_COUNTS,
     "pref_report": JUDGED + """SELECT count(*) FILTER (status <> 'error') AS total_processed,
   count(*) FILTER (status = 'kept') AS successful,
   count(*) FILTER (status = 'identical') AS skipped_identical,
@@ -375,7 +379,6 @@ run AS (SELECT batch_id, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS proc
 SELECT batch_id, processed, successful, round(100.0 * successful / processed, 9) AS success_rate
 FROM run WHERE batch_id % 4 = 0 AND batch_id > 0""",
     "pref_incremental": JUDGED + "SELECT pair_id, src AS prompt, chosen, rejected FROM judged WHERE status = 'kept'",
-    "progress_incremental": JUDGED + "SELECT status, count(*) AS n FROM judged GROUP BY status",
     "split_90_10": """WITH p AS (SELECT doc_id, lang, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
 SELECT *, CASE WHEN pos < (SELECT floor(CAST(0.9 AS DOUBLE) * count(*)) FROM documents) THEN 'train' ELSE 'eval' END AS part FROM p""",
     "seeded_shuffle": """SELECT doc_id, lang, n_chars,

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pairforge.operators.preference import classify, kept_pairs
+from pairforge.operators.preference import classify, kept_pairs, outcome_counts
 
 
 def candidate_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -15,30 +15,35 @@ def candidate_stream(spark: SparkSession, path: str, schema, files_per_batch: in
     )
 
 
-def append_pairs(
+def append_judged(
     candidates: DataFrame, path: str, checkpoint: str, *keys: str, **rules
 ) -> StreamingQuery:
-    """Judge all new candidate files and append the kept pairs.
+    """Judge all new candidate files and append the rows, in folders by status.
 
-    The rules hold no state, so a restart goes on with the first file that
-    was not committed. Every micro-batch is a snapshot of the kept pairs.
+    The rules hold no state, so a restart goes on with the first micro-batch
+    that was not committed, and no row is written twice. Every micro-batch is
+    a snapshot of the build.
     """
+    judged = classify(candidates, **rules).select(
+        *keys, "src", "chosen", "rejected", "chosen_dist", "rejected_dist", "status"
+    )
     return (
-        kept_pairs(classify(candidates, **rules), *keys)
-        .writeStream.format("parquet").outputMode("append")
+        judged.writeStream.format("parquet").outputMode("append").partitionBy("status")
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
-def count_outcomes(candidates: DataFrame, table: str, checkpoint: str, **rules) -> StreamingQuery:
-    """Running outcome counts in an in-memory table of one row per status.
+def judged_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """All committed rows, also while the build runs."""
+    return spark.read.parquet(path)
 
-    The counts are state of the stream and survive a restart.
-    """
-    return (
-        classify(candidates, **rules).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-        .writeStream.format("memory").queryName(table).outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+
+def pairs_so_far(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The kept pairs; only their folder is read."""
+    return kept_pairs(judged_so_far(spark, path), *keys)
+
+
+def progress(spark: SparkSession, path: str) -> DataFrame:
+    """Outcome counts of the committed rows; texts are not read."""
+    return outcome_counts(judged_so_far(spark, path))
