@@ -142,18 +142,21 @@ def outcome_report(classified: DataFrame) -> DataFrame:
 
 
 def running_success(
-    classified: DataFrame, key: str, batch_size: int = 128, every: int = 20
+    candidates: DataFrame, key: str, batch_size: int = 128, every: int = 20, **rules
 ) -> DataFrame:
-    """Success rate so far after every ``every``-th batch, the first one excepted."""
-    # Positions come first: they need the key alone, so the distances of
-    # ``classified`` are only worked out on the way into the batch totals.
-    per_batch = (
-        with_batch(classified, key, batch_size)
-        .groupBy("batch_id")
-        .agg(
-            F.count_if(F.col("status") != "error").alias("n_seen"),
-            F.count_if(F.col("status") == KEPT).alias("n_kept"),
-        )
+    """Success rate so far after every ``every``-th batch, the first one excepted.
+
+    Batches are numbered before the rows are judged, as that needs the key
+    alone.
+    """
+    return success_so_far(classify(with_batch(candidates, key, batch_size), **rules), every)
+
+
+def success_so_far(judged: DataFrame, every: int = 20) -> DataFrame:
+    """Running counts over judged rows with a ``batch_id``."""
+    per_batch = judged.groupBy("batch_id").agg(
+        F.count_if(F.col("status") != "error").alias("n_seen"),
+        F.count_if(F.col("status") == KEPT).alias("n_kept"),
     )
     so_far = running_totals(
         per_batch, "batch_id", {"processed": F.col("n_seen"), "successful": F.col("n_kept")}

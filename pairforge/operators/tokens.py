@@ -22,8 +22,11 @@ MAX_PROMPT = 128
 
 def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """Ids from 0 by falling frequency, then by token, of an array column."""
+    # The outer form, as for the plain one Spark filters empty arrays first and
+    # works out the words once more to do so.
     counts = (
-        tokens.select(F.explode(column).alias("token"))
+        tokens.select(F.explode_outer(column).alias("token"))
+        .where(F.col("token").isNotNull())
         .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     )
     return ranked(counts, [F.desc("n"), F.col("token")], name="token_id", start=0)

@@ -117,9 +117,9 @@ def pref_from_hook(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def running_success(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(
-        preference.running_success(_judged(spark, sf), "pair_id", BATCH, 4), "success_rate"
-    )
+    candidates = views.candidates(views.pairs(spark, sf))
+    rates = preference.running_success(candidates, "pair_id", BATCH, 4, spread_by="pair_id")
+    return rounded(rates, "success_rate")
 
 
 def _streamed(spark: SparkSession, sf: str) -> str:

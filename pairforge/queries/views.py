@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pairforge.functions.text import EOS, PAD, SEP, training_text
 from pairforge.functions.words import words, words_and_specials
 from pairforge.operators.tokens import encode, vocabulary, with_specials
-from pairforge.session import stored
+from pairforge.session import spread, stored
 
 # Texts shared by both engines. Turn numbers stay below 2**32, so a pair id is
 # unique and keeps the order of conversation and turn.
@@ -73,7 +73,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns with the answer of the next turn, if there is one."""
-    return spark.sql(ASKED_SQL, conversations=table(spark, sf_dir, "conversations"))
+    turns = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    return spark.sql(ASKED_SQL, conversations=turns)
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +137,19 @@ def planned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, laid out for work on their texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return spread(docs, "doc_id")
+
+
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("tokens"))
+    return documents(spark, sf_dir).select("doc_id", words(F.col("text")).alias("tokens"))
 
 
 def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as references and an edited copy as predictions."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "lang", "text", F.replace("text", F.lit(" the "), F.lit(" a ")).alias("pred")
     )
 

@@ -56,3 +56,15 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a scan out to all tasks if its files give too few.
+
+    For work that costs far more per byte than a shuffle. A table of many
+    files has splits enough and is left as it is. ``keys`` should be unique.
+    """
+    spark = scan.sparkSession
+    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)

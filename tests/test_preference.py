@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from pairforge.operators import generate, preference
+from pairforge.operators.position import with_batch
 
 SCHEMA = "pair_id bigint, src string, tgt string, pred1 string, pred2 string"
 
@@ -84,7 +85,7 @@ def test_running_success_against_a_loop(spark):
     random.seed(5)
     rows = [(i * 3, random.choice(["kept", "empty", "error"])) for i in range(1000)]
     df = spark.createDataFrame(random.sample(rows, 1000), "k bigint, status string")
-    got = preference.running_success(df, "k", 7, 20).orderBy("batch_id").collect()
+    got = preference.success_so_far(with_batch(df, "k", 7), 20).orderBy("batch_id").collect()
     want = []
     for b in range(20, (len(rows) + 6) // 7, 20):
         seen = [s for _, s in rows[: (b + 1) * 7] if s != "error"]
