@@ -61,15 +61,17 @@ def ngram_counts(
         keys = [*keys, "_ref"]
     tokens = texts.select(*keys, _tokens(F.col("_p")).alias("_p"), _tokens(F.col("_r")).alias("_r"))
     is_pred = F.col("in_pred")
-    counted = _placed_grams(tokens, keys).groupBy(*keys, "_lp", "_lr", "n", "gram").agg(
-        F.count_if(is_pred).alias("in_pred"), F.count_if(~is_pred).alias("in_ref")
+    # Order and lengths follow from row and n-gram; as aggregates they keep the
+    # keys of the largest hash table short.
+    counted = _placed_grams(tokens, keys).groupBy(*keys, "gram").agg(
+        F.count_if(is_pred).alias("in_pred"), F.count_if(~is_pred).alias("in_ref"),
+        *[F.max(c).alias(c) for c in ("n", "_lp", "_lr")],
     )
     if several:
-        shortest = counted.groupBy(key, *carry, "n", "gram").agg(
-            F.max("in_pred").alias("in_pred"), F.max("in_ref").alias("in_ref"),
-            F.max("_lp").alias("_lp"), F.min("_lr").alias("_lr"),
+        counted = counted.groupBy(key, *carry, "gram").agg(
+            *[F.max(c).alias(c) for c in ("in_pred", "in_ref", "n", "_lp")],
+            F.min("_lr").alias("_lr"),
         )
-        counted = shortest
     return counted
 
 

@@ -20,12 +20,14 @@ def last_eval_loss(logs: DataFrame, *run: str, order: str = "step") -> DataFrame
     return logs.groupBy(*run).agg(last.alias("eval_loss"))
 
 
-def learning_curve(logs: DataFrame, *run: str, step: str = "step") -> DataFrame:
-    """Training and evaluation loss by step, one row per run and step."""
+def learning_curve(
+    logs: DataFrame, *run: str, step: str = "step", metric: str = "loss"
+) -> DataFrame:
+    """A training metric and its ``eval_`` twin by step, one row per run and step."""
 
     def mean(kind: str, value: str) -> Column:
         return F.avg(F.when(F.col("kind") == kind, F.col(value)))
 
     return logs.where(F.col("kind").isin("train", "eval")).groupBy(*run, step).agg(
-        mean("train", "loss").alias("train"), mean("eval", "eval_loss").alias("eval")
+        mean("train", metric).alias("train"), mean("eval", f"eval_{metric}").alias("eval")
     )

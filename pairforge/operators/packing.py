@@ -97,19 +97,21 @@ def pack_wrapped(df: DataFrame, key: str, ids: str = "ids", limit: int = 256) ->
     """
     filled = df.where(F.size(ids) > 0).select(key, ids, F.size(ids).alias("_n"))
     laid = prefix_sums(filled, key, {"_from": F.col("_n")})
-    end = F.col("_from") + F.col("_n")
-    chunks = F.sequence(F.floor(F.col("_from") / limit), F.floor((end - 1) / limit))
-    pieces = laid.select(key, ids, "_from", "_n", F.explode(chunks).alias("chunk"))
-    start = F.greatest(F.col("chunk") * limit, F.col("_from"))
-    stop = F.least((F.col("chunk") + 1) * limit, F.col("_from") + F.col("_n"))
-    skip = (start - F.col("_from")).cast("int")
-    size = (stop - start).cast("int")
-    cut = pieces.select(
-        "chunk",
-        F.struct(
-            start.alias("start"), F.col(key).alias("id"), skip.alias("skip"),
+    begin, end = F.col("_from"), F.col("_from") + F.col("_n")
+
+    def piece(chunk: Column) -> Column:
+        start = F.greatest(chunk * limit, begin)
+        skip = (start - begin).cast("int")
+        size = (F.least((chunk + 1) * limit, end) - start).cast("int")
+        return F.struct(
+            chunk.alias("chunk"), start.alias("start"), F.col(key).alias("id"), skip.alias("skip"),
             F.slice(F.col(ids), skip + 1, size).alias("ids"),
-        ).alias("piece"),
+        )
+
+    # Pieces are cut before they are exploded: a long row is not copied per chunk.
+    chunks = F.sequence(F.floor(begin / limit), F.floor((end - 1) / limit))
+    cut = laid.select(F.explode_outer(F.transform(chunks, piece)).alias("piece")).select(
+        "piece.chunk", "piece"
     )
     # A chunk has at most ``limit`` tokens, so at most ``limit`` pieces.
     grouped = cut.groupBy("chunk").agg(F.array_sort(F.collect_list("piece")).alias("_p"))
@@ -154,50 +156,46 @@ def pack_best_fit(
 ) -> DataFrame:
     """Pack whole sequences into bins of ``limit`` tokens, best fit decreasing.
 
-    Sequences over the limit are first cut into pieces. Rows are taken in
-    shards of ``shard_rows`` in key order, which bounds each Python group; only
-    ids and lengths go to Python. A shard leaves at most its last bins
-    partly filled. Bins are numbered within their shard.
+    Sequences over the limit are first cut into pieces; a full piece is a bin
+    of its own, named after its sequence. The other pieces are taken in shards
+    of ``shard_rows`` in key order, which bounds each Python group; only keys
+    and lengths go to Python. Their bins are numbered within the shard.
     """
-    filled = df.where(F.size(ids) > 0).select(key, F.col(ids).alias("_ids"))
-    pieces = filled.select(
-        key, F.explode(F.sequence(F.lit(0), F.floor((F.size("_ids") - 1) / limit).cast("int"))).alias("piece"),
-        F.size("_ids").alias("_n"),
-    ).withColumn("n", F.least(F.col("_n") - F.col("piece") * limit, F.lit(limit)))
-    rest = F.col("n") < limit
-    full = pieces.where(~rest).select(key, "piece", F.lit(-1).cast("bigint").alias("shard"), F.lit(None).cast("bigint").alias("bin"))
+    starts = F.sequence(F.lit(1), F.size(ids), F.lit(limit))
+    pieces = df.where(F.size(ids) > 0).select(
+        key, F.posexplode_outer(F.transform(starts, lambda i: F.slice(ids, i, limit))).alias("piece", "_ids")
+    ).withColumn("n", F.size("_ids"))
+    full = pieces.where(F.col("n") == limit).select(
+        F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), F.col("piece").cast("string")).alias("bin_id"),
+        F.array(F.struct(F.col(key).alias("id"), "piece", F.col("_ids").alias("ids"))).alias("_p"),
+    )
     # Only the last piece of a row can be short, so the key is still unique.
-    short = with_position(pieces.where(rest).select(key, "piece", "n"), key, "_pos")
+    short = pieces.where(F.col("n") < limit)
+    placed = with_position(short.select(key, "n"), key, "_pos")
     kind = df.schema[key].dataType.simpleString()
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k", kind="stable")
-        out = group[["k", "piece", "shard"]].copy()
+        out = group[["k", "shard"]].copy()
         out["bin"] = _best_fit(group["n"].to_numpy(), limit)
         return out
 
     placed = (
-        short.select(
-            F.col(key).alias("k"), "piece", "n", F.floor(F.col("_pos") / shard_rows).alias("shard")
-        )
+        placed.select(F.col(key).alias("k"), "n", F.floor(F.col("_pos") / shard_rows).alias("shard"))
         .groupBy("shard")
-        .applyInPandas(place, f"k {kind}, piece int, shard bigint, bin bigint")
+        .applyInPandas(place, f"k {kind}, shard bigint, bin bigint")
         .withColumnRenamed("k", key)
     )
-    # A full piece is a bin of its own, named after its sequence and piece.
-    where = placed.unionByName(full)
-    bin_id = F.when(
-        F.col("bin").isNull(), F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), F.col("piece").cast("string"))
-    ).otherwise(F.concat_ws("-", F.lit("bin"), F.col("shard").cast("string"), F.col("bin").cast("string")))
-    cut = where.join(filled, key).select(
-        bin_id.alias("bin_id"),
-        F.struct(
-            F.col(key).alias("id"), F.col("piece"),
-            F.slice("_ids", F.col("piece") * limit + 1, F.lit(limit)).alias("ids"),
-        ).alias("p"),
+    shared = (
+        short.join(placed, key)
+        .select(
+            F.concat_ws("-", F.lit("bin"), F.col("shard").cast("string"), F.col("bin").cast("string")).alias("bin_id"),
+            F.struct(F.col(key).alias("id"), "piece", F.col("_ids").alias("ids")).alias("_one"),
+        )
+        # Pieces are not empty, so a bin has at most ``limit`` of them.
+        .groupBy("bin_id").agg(F.array_sort(F.collect_list("_one")).alias("_p"))
     )
-    grouped = cut.groupBy("bin_id").agg(F.array_sort(F.collect_list("p")).alias("_p"))
-    return grouped.select(
+    return shared.unionByName(full).select(
         "bin_id",
         F.flatten(F.transform("_p", lambda p: p["ids"])).alias("input_ids"),
         F.flatten(F.transform("_p", lambda p: F.transform(p["ids"], lambda _, i: i))).alias("position_ids"),

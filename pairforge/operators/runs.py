@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairforge.functions.names import is_preference_run, numeric_rate, parse_name, rate_text, short_rate
 from pairforge.operators.position import ranked
+from pairforge.session import small_side
 
 
 def results_table(runs: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def box_outliers(
 ) -> DataFrame:
     """The rows beyond the whiskers."""
     figures, rows = _box(table, by, value, tie)
-    ends = figures.select(by, "whisker_low", "whisker_high")
+    ends = small_side(figures.select(by, "whisker_low", "whisker_high"), "whiskers")
     return rows.join(ends, by).where(
         (F.col(value) < F.col("whisker_low")) | (F.col(value) > F.col("whisker_high"))
     ).select(by, tie, value)
@@ -168,7 +169,7 @@ def _box(table: DataFrame, by: str, value: str, tie: str) -> tuple[DataFrame, Da
         F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"),
         F.min(value).alias("low"), F.max(value).alias("high"),
     )
-    placed = rows.join(size, by).withColumn("_at", F.col("_at") - F.col("_first"))
+    placed = rows.join(small_side(size, "sizes"), by).withColumn("_at", F.col("_at") - F.col("_first"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when(F.col("_at") == rank, F.col(value)))
@@ -184,7 +185,7 @@ def _box(table: DataFrame, by: str, value: str, tie: str) -> tuple[DataFrame, Da
         .withColumns(ends).select(by, "n", "low", "high", *ends)
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = placed.select(by, value).join(quartiles, by)
+    inside = placed.select(by, value).join(small_side(quartiles, "quartiles"), by)
     near = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     figures = inside.groupBy(by, "n", "low", "high", "q1", "median", "q3").agg(
         F.least("q1", F.min(F.when(near, F.col(value)))).alias("whisker_low"),

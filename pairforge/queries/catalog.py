@@ -66,8 +66,12 @@ def _judged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pref_status(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = views.pairs(spark, sf)
+    stored_texts = views.candidates(pairs).select("pair_id", "pred1", "pred2")
+    sources = pairs.withColumn("tgt", views.fold(F.col("tgt")))
+    matched = generate.with_stored_candidates(sources, stored_texts, "pair_id")
     ratio = text.length_ratio(F.col("chosen"), F.col("rejected"))
-    return _judged(spark, sf).select(
+    return preference.classify(matched, spread_by="pair_id").select(
         "pair_id", "status", F.col("chosen_dist").cast("bigint").alias("chosen_dist"),
         F.col("rejected_dist").cast("bigint").alias("rejected_dist"),
         F.round(ratio, 9).alias("length_ratio"),
@@ -83,6 +87,24 @@ def pref_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(report, "mean_chosen_dist", "mean_rejected_dist", "success_rate")
 
 
+def pref_record(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "pref-record")
+    record = records.preference_record(
+        preference.outcome_report(_judged(spark, sf)), 0.0, generate.SETTINGS, "final_model",
+        "conversations", generate.BATCH, preference.MIN_GAP, preference.MAX_RATIO, preference.MIN_RATIO,
+    )
+    records.write_records(record, path)
+    counters = "final_dataset_size bigint, total_processed bigint, successful bigint, total_chosen_dist bigint"
+    setting = "struct<temperature:double,do_sample:boolean>"
+    schema = (
+        f"config struct<generation_configs:struct<config_2:{setting}>,filtering:struct<min_length_ratio:double>>, "
+        f"metrics struct<{counters}>"
+    )
+    return spark.read.schema(schema).json(path).select(
+        "config.generation_configs.config_2.temperature", "config.filtering.min_length_ratio", "metrics.*"
+    )
+
+
 def pref_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return preference.kept_pairs(_judged(spark, sf), "pair_id")
 
@@ -547,7 +569,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         task_filter, split_counts, format_train_text, format_prompt, extract_answer,
-        extract_answer_prompt, pref_status, pref_outcomes, pref_report, pref_pairs, pref_failed,
+        extract_answer_prompt, pref_status, pref_outcomes, pref_report, pref_record, pref_pairs, pref_failed,
         pref_numbered, pref_sample, pref_from_hook, running_success, pref_incremental,
         progress_incremental, split_90_10, seeded_shuffle, batches, bleu_words, bleu_ngrams,
         bleu_by_lang, bleu_corpus, bleu_two_references, bleu_running, vocab, token_ids,

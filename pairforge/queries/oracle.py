@@ -360,6 +360,10 @@ ORACLE = {
   round(avg(rejected_dist) FILTER (status = 'kept'), 9) AS mean_rejected_dist,
   round(100.0 * count(*) FILTER (status = 'kept') / count(*) FILTER (status <> 'error'), 9) AS success_rate
 FROM judged""",
+    "pref_record": JUDGED + """SELECT CAST(0.7 AS DOUBLE) AS temperature, CAST(0.33 AS DOUBLE) AS min_length_ratio,
+  count(*) FILTER (status = 'kept') AS final_dataset_size, count(*) FILTER (status <> 'error') AS total_processed,
+  count(*) FILTER (status = 'kept') AS successful,
+  CAST(coalesce(sum(chosen_dist) FILTER (status = 'kept'), 0) AS BIGINT) AS total_chosen_dist FROM judged""",
     "pref_pairs": JUDGED + "SELECT pair_id, src AS prompt, chosen, rejected FROM judged WHERE status = 'kept'",
     "pref_failed": f"WITH {ASKED},{cands('asked')},{judged()} "
     "SELECT pair_id, src, status FROM judged WHERE status = 'error'",

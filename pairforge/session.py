@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", app: str = "pairforge", memory: str = "16g") -> SparkSession:
@@ -58,6 +58,15 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
+    """Store one side of a join and broadcast it only if it is counted small.
+
+    A larger one is joined by shuffle, where adaptive execution splits hot keys.
+    """
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows of a scan out to all tasks if its files give too few.
 

@@ -118,6 +118,35 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def preference_record(
+    report: DataFrame, seconds: float, settings: list[dict], model_path: str, dataset: str,
+    batch_size: int, min_gap: int, max_ratio: float, min_ratio: float, seed: int = 42,
+) -> DataFrame:
+    """The record of a preference build, from the one row of its outcome report."""
+
+    def struct(values: dict) -> Column:
+        return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+
+    counters = [
+        "total_processed", "successful", "skipped_identical", "skipped_empty",
+        "skipped_small_diff", "skipped_length_ratio", "total_chosen_dist", "total_rejected_dist",
+    ]
+    filters = {
+        "min_edit_distance_diff": min_gap, "max_length_ratio": max_ratio, "min_length_ratio": min_ratio
+    }
+    generation = [struct(s).alias(f"config_{i}") for i, s in enumerate(settings, 1)]
+    config = F.struct(
+        F.lit(model_path).alias("sft_model_path"), F.lit(dataset).alias("dataset_name"),
+        F.lit(batch_size).alias("batch_size"), F.struct(*generation).alias("generation_configs"),
+        struct(filters).alias("filtering"), F.lit(seed).alias("seed"),
+    )
+    metrics = F.struct(
+        F.col("successful").alias("final_dataset_size"),
+        F.lit(float(seconds)).alias("processing_time"), *counters,
+    )
+    return report.select(config.alias("config"), metrics.alias("metrics"))
+
+
 def write_pointer(best: DataFrame, path: str) -> None:
     """One JSON row with the best run's path and the time."""
     best.select(
