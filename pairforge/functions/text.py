@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-# Special tokens of the published tokenizer.
+# Special tokens of the published tokenizer, and their ids.
 SEP = "[SEP]"
 EOS = "<|endoftext|>"
 PAD = "[PAD]"

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairforge.functions.text import PAD_ID, SEP_ID
 from pairforge.operators.position import prefix_sums, with_position
 from pairforge.operators.tokens import last_place
 
@@ -13,7 +14,9 @@ IGNORED = -100
 MULTIPLE = 8
 
 
-def left_pad(batched: DataFrame, pad_id: int | Column, ids: str = "ids", batch: str = "batch_id") -> DataFrame:
+def left_pad(
+    batched: DataFrame, pad_id: int | Column = PAD_ID, ids: str = "ids", batch: str = "batch_id"
+) -> DataFrame:
     """Pad every row on the left to the longest row of its batch, with mask."""
     # A batch has a fixed number of rows, so this window is bounded.
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
@@ -27,7 +30,9 @@ def left_pad(batched: DataFrame, pad_id: int | Column, ids: str = "ids", batch:
     )
 
 
-def completion_labels(ids: Column, sep_id: int | Column, pad_id: int | Column, which: str = "last") -> Column:
+def completion_labels(
+    ids: Column, sep_id: int | Column = SEP_ID, pad_id: int | Column = PAD_ID, which: str = "last"
+) -> Column:
     """Labels of the completion only; a row without separator has none."""
     sep = F.lit(sep_id) if isinstance(sep_id, int) else sep_id
     pad = F.lit(pad_id) if isinstance(pad_id, int) else pad_id
@@ -83,7 +88,7 @@ def flatten_batches(
     )
 
 
-def pad_to_multiple(ids: Column, pad_id: int | Column, multiple: int = MULTIPLE) -> Column:
+def pad_to_multiple(ids: Column, pad_id: int | Column = PAD_ID, multiple: int = MULTIPLE) -> Column:
     pad = F.lit(pad_id) if isinstance(pad_id, int) else pad_id
     return F.concat(ids, F.array_repeat(pad.cast("bigint"), F.pmod(-F.size(ids), F.lit(multiple))))
 

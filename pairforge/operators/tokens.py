@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairforge.functions.text import EOS, PAD, SEP
+from pairforge.functions.text import EOS, PAD, SEP, SEP_ID
 from pairforge.operators.position import ranked
 
 # Frequent tokens that are broadcast: at most HEAD rows of at most HEAD_CHARS
@@ -100,7 +100,7 @@ def truncate(ids: Column, limit: int = MAX_TOKENS) -> Column:
     return F.slice(ids, 1, limit)
 
 
-def separator_lost(ids: Column, sep_id: int | Column, limit: int = MAX_TOKENS) -> Column:
+def separator_lost(ids: Column, sep_id: int | Column = SEP_ID, limit: int = MAX_TOKENS) -> Column:
     """Whether truncation cuts off the last separator."""
     sep = F.lit(sep_id) if isinstance(sep_id, int) else sep_id
     return F.array_contains(ids, sep) & (last_place(ids, sep) > limit)

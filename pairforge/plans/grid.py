@@ -92,10 +92,13 @@ def category_rank(name: Column) -> Column:
     return rank
 
 
-def in_category_order(plan: DataFrame) -> DataFrame:
-    """Category by category and by name; runs of no category are left out."""
+def in_category_order(plan: DataFrame, *ties: str) -> DataFrame:
+    """Category by category and by name; runs of no category are left out.
+
+    ``ties`` order rows of one name, and let the sort split a frequent one.
+    """
     ranked = plan.withColumn("category_rank", category_rank(F.col("experiment_name")))
-    return ranked.where(F.col("category_rank").isNotNull()).orderBy("category_rank", "experiment_name")
+    return ranked.where(F.col("category_rank").isNotNull()).orderBy("category_rank", "experiment_name", *ties)
 
 
 def step_counts(plan: DataFrame, rows: Column) -> DataFrame:

@@ -461,7 +461,7 @@ def plan_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plan_ordered(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.in_category_order(_outcomes(spark, sf)).select(
+    return grid.in_category_order(_outcomes(spark, sf), "run_id").select(
         "category_rank", "experiment_name", "run_id", "bleu_score"
     )
 
@@ -549,7 +549,7 @@ def config_files(spark: SparkSession, sf: str) -> DataFrame:
     planned = _outcomes(spark, sf).select(
         "experiment_name", "run_id", "training_type", "learning_rate", "effective_batch_size", "bleu_score"
     )
-    sinks.write_configs(planned, root)
+    sinks.write_configs(planned, root, "run_id")
     schema = (
         "experiment_name string, run_id string, training_type string, learning_rate double, "
         "effective_batch_size int, bleu_score double"

@@ -112,8 +112,8 @@ def write_summary(table: DataFrame, path: str) -> None:
     summary_document(table).write.mode("overwrite").text(path)
 
 
-def write_configs(plan: DataFrame, root: str) -> None:
+def write_configs(plan: DataFrame, root: str, *ties: str) -> None:
     """One config folder per planned run, and all of them in category order over
     the part files."""
     plan.write.mode("overwrite").partitionBy("experiment_name").json(f"{root}/runs")
-    in_category_order(plan).write.mode("overwrite").json(f"{root}/all")
+    in_category_order(plan, *ties).write.mode("overwrite").json(f"{root}/all")
