@@ -2,10 +2,10 @@
 
 No window here sees a whole table. Two ways, by kind of order:
 
-* ``prefix_sums`` orders by a unique BIGINT key. Rows are grouped by the upper
-  bits of the key, so one group holds at most ``2**12`` rows whatever the data;
-  group totals are summed up the same way, ``2**18`` at a time, and the top
-  level has at most ``2**16`` rows because a key has 64 bits.
+* ``prefix_sums`` orders by a unique integer key. Rows are grouped by the upper
+  bits of the key, so one group holds at most ``2**12`` rows whatever the data.
+  The group totals are written and counted: up to ``2**18`` are summed up in
+  one window and broadcast, more are grouped by their own upper bits first.
 * ``ranked`` orders by any columns. Spark's range exchange balances them, also
   if one leading value holds a third of the rows, as the tie-breaker is part of
   the range key. The laid out rows are written before they are counted, so
@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pairforge.session import stored
 
 ROW_BITS = 12
-LEVEL_BITS = 18
-TOP_BITS = 16
+TOTAL_BITS = 18
 
 
 def _before(partition: str | None, order: str):
@@ -28,63 +27,61 @@ def _before(partition: str | None, order: str):
     return spec.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _starts(totals: DataFrame, key: str, names: list[str], bits: int) -> DataFrame:
-    """Sum of all earlier totals for every key; ``bits`` bounds the key range."""
-    if bits <= TOP_BITS:
-        w = _before(None, key)  # at most 2**TOP_BITS rows
-        return totals.select(key, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names])
+def _starts(totals: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Sum of all earlier rows of a stored table, for every key."""
+
+    def earlier(partition: str | None) -> list[Column]:
+        w = _before(partition, key)
+        return [F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names]
+
+    bound = 1 << TOTAL_BITS
+    if totals.limit(bound + 1).count() <= bound:
+        return F.broadcast(totals.select(key, *earlier(None)))
     upper = f"{key}_"
-    grouped = totals.withColumn(upper, F.shiftright(key, LEVEL_BITS))
-    above = _starts(
-        grouped.groupBy(upper).agg(*[F.sum(n).alias(n) for n in names]),
-        upper, names, bits - LEVEL_BITS,
-    ).select(upper, *[F.col(n).alias(f"{n}_above") for n in names])
-    w = _before(upper, key)
-    inside = grouped.select(
-        upper, key, *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names]
-    )
+    grouped = totals.withColumn(upper, F.shiftright(key, TOTAL_BITS))
+    sums = stored(grouped.groupBy(upper).agg(*[F.sum(n).alias(n) for n in names]), "totals")
+    above = _starts(sums, upper, names).select(upper, *[F.col(n).alias(f"{n}_above") for n in names])
+    inside = grouped.select(upper, key, *earlier(upper))
     return inside.join(above, upper).select(
         key, *[(F.col(n) + F.col(f"{n}_above")).alias(n) for n in names]
     )
 
 
-def prefix_sums(
-    df: DataFrame, key: str, sums: dict[str, Column], inclusive: bool = False,
-    row_bits: int = ROW_BITS, key_bits: int = 64,
-) -> DataFrame:
-    """Add running totals of ``sums`` in the order of ``key``.
+def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Add, in the order of ``key``, the totals of ``sums`` over all earlier rows.
 
-    ``key`` must be a unique integer column. One group has ``2**row_bits`` rows
-    at most. ``key_bits`` may be lowered for keys of a known range, which saves
-    levels.
+    ``key`` must be a unique integer column without nulls. The table is read
+    twice: once for the group totals, with the columns of ``sums`` only.
     """
     names = list(sums)
     data = df.withColumns(
-        {"_bucket": F.shiftright(F.col(key).cast("bigint"), row_bits)}
+        {"_bucket": F.shiftright(F.col(key).cast("bigint"), ROW_BITS)}
         | {f"_v_{n}": sums[n].cast("bigint") for n in names}
     )
     totals = data.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    starts = _starts(totals, "_bucket", [f"_t_{n}" for n in names], key_bits - row_bits)
+    starts = _starts(stored(totals, "totals"), "_bucket", [f"_t_{n}" for n in names])
     w = _before("_bucket", key)
     local = data.withColumns(
         {f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in names}
     )
-    total = {
-        n: F.col(f"_t_{n}") + F.col(f"_l_{n}") + (F.coalesce(F.col(f"_v_{n}"), F.lit(0)) if inclusive else F.lit(0))
-        for n in names
-    }
     kept = [c for c in df.columns if c not in names]
-    return local.join(starts, "_bucket").select(*kept, *[c.alias(n) for n, c in total.items()])
+    return local.join(starts, "_bucket").select(
+        *kept, *[(F.col(f"_t_{n}") + F.col(f"_l_{n}")).alias(n) for n in names]
+    )
 
 
-def running_totals(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
-    """Running totals, own row included, over numbered blocks of rows.
+def running_totals(blocks: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """Totals up to and with each row of a table of numbered blocks.
 
-    Block rows are a few numbers each, so one group may have 2**18 of them;
-    two levels then reach 2**34 blocks. The blocks are written first, as each
-    level reads them and the rows behind them should be read once.
+    The blocks are written first, as the rows behind them should be read once.
     """
-    return prefix_sums(stored(df, "blocks"), key, sums, inclusive=True, row_bits=LEVEL_BITS, key_bits=LEVEL_BITS + TOP_BITS)
+    names = list(sums)
+    kept = stored(blocks.withColumns({f"_v_{n}": v.cast("bigint") for n, v in sums.items()}), "blocks")
+    values = kept.select(key, *[F.coalesce(f"_v_{n}", F.lit(0)).alias(f"_b_{n}") for n in names])
+    before = _starts(values, key, [f"_b_{n}" for n in names])
+    return kept.join(before, key).select(
+        *blocks.columns, *[(F.col(f"_b_{n}") + F.coalesce(f"_v_{n}", F.lit(0))).alias(n) for n in names]
+    )
 
 
 def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:

@@ -32,9 +32,15 @@ def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     return ranked(counts, [F.desc("n"), F.col("token")], name="token_id", start=0)
 
 
-def with_specials(vocab: DataFrame, specials: list[str] = (EOS, PAD, SEP)) -> DataFrame:
-    """Append the special tokens that are missing, in the given order."""
-    present = F.collect_set(F.when(F.col("token").isin(list(specials)), F.col("token")))
+def with_specials(
+    vocab: DataFrame, eos: str = EOS, pad: str | None = None, sep: str = SEP
+) -> DataFrame:
+    """Append the special tokens that are missing: end, pad, separator.
+
+    Without a pad token, or with one that also ends texts, ``[PAD]`` is added.
+    """
+    specials = [eos, PAD if pad in (None, eos) else pad, sep]
+    present = F.collect_set(F.when(F.col("token").isin(specials), F.col("token")))
     state = vocab.agg(
         F.coalesce(F.max("token_id"), F.lit(-1)).alias("last"), present.alias("present")
     )

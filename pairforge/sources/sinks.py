@@ -28,8 +28,9 @@ TITLES = {
 BLANKS = {"base_method": "unknown", "batch_size": "unknown", "sft_lr": "unknown", "final_lr": "-"}
 
 
-def write_preferences(pairs: DataFrame, path: str) -> None:
-    pairs.write.mode("overwrite").parquet(path)
+def write_preferences(pairs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Save a preference set; mode ``append`` adds to a growing one."""
+    pairs.write.mode(mode).parquet(path)
 
 
 def write_preferences_json(pairs: DataFrame, path: str) -> None:
