@@ -61,7 +61,7 @@ def flatten_batches(
     of rows, so the collected group is bounded.
     """
     rows = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("x")))),
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("x")))),
         lambda r: r["x"],
     )
 
@@ -119,7 +119,7 @@ def pack_wrapped(df: DataFrame, key: str, ids: str = "ids", limit: int = 256) ->
         "piece.chunk", "piece"
     )
     # A chunk has at most ``limit`` tokens, so at most ``limit`` pieces.
-    grouped = cut.groupBy("chunk").agg(F.array_sort(F.collect_list("piece")).alias("_p"))
+    grouped = cut.groupBy("chunk").agg(F.sort_array(F.collect_list("piece")).alias("_p"))
     return grouped.select(
         "chunk",
         F.flatten(F.transform("_p", lambda p: p["ids"])).alias("input_ids"),
@@ -198,7 +198,7 @@ def pack_best_fit(
             F.struct(F.col(key).alias("id"), "piece", F.col("_ids").alias("ids")).alias("_one"),
         )
         # Pieces are not empty, so a bin has at most ``limit`` of them.
-        .groupBy("bin_id").agg(F.array_sort(F.collect_list("_one")).alias("_p"))
+        .groupBy("bin_id").agg(F.sort_array(F.collect_list("_one")).alias("_p"))
     )
     return shared.unionByName(full).select(
         "bin_id",

@@ -81,7 +81,7 @@ def encode(
         rest = rest.withColumn("token_id", F.coalesce("token_id", F.lit(unknown).cast("bigint")))
     late = rest.groupBy(key).agg(F.collect_list(spot).alias("_far"))
     none = F.array().cast("array<struct<_at:int,token_id:bigint>>")
-    both = F.array_sort(F.concat(F.col("_near"), F.coalesce("_far", none)))
+    both = F.sort_array(F.concat(F.col("_near"), F.coalesce("_far", none)))
     return found.join(late, key, "left").select(
         key, F.transform(both, lambda x: x["token_id"]).alias("ids")
     )

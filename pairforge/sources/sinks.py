@@ -86,7 +86,7 @@ def summary_document(table: DataFrame) -> DataFrame:
     bases = in_order_of_appearance(table, "base_method")
 
     def listed(places: DataFrame):
-        pairs = F.array_sort(F.collect_list(F.struct("place", "value")))
+        pairs = F.sort_array(F.collect_list(F.struct("place", "value")))
         return places.agg(F.transform(pairs, lambda p: p["value"]).alias("v")).scalar()
 
     stats = summary_by_method(table).agg(
