@@ -82,7 +82,9 @@ def encode(
     late = rest.groupBy(key).agg(F.collect_list(spot).alias("_far"))
     none = F.array().cast("array<struct<_at:int,token_id:bigint>>")
     both = F.sort_array(F.concat(F.col("_near"), F.coalesce("_far", none)))
-    return found.join(late, key, "left").select(
+    # Every key of ``late`` is in ``found``. A left join would let Spark filter
+    # one side for null keys, and then it would not run the exchange once.
+    return found.join(late, key, "full").select(
         key, F.transform(both, lambda x: x["token_id"]).alias("ids")
     )
 

@@ -125,10 +125,14 @@ def test_unknown_words(spark, unknown, want):
 
 
 def test_frequent_words_are_broadcast_and_texts_laid_out_once(spark, physical):
-    df = spark.createDataFrame([], "id bigint, tokens array<string>")
-    vocab = spark.createDataFrame([], "token string, token_id bigint")
-    plan = physical(tokens.encode(df, "id", "tokens", vocab))
-    assert plan.count("BroadcastHashJoin") >= 2
+    df = spark.range(100).select("id", F.split(F.repeat(F.lit("a b "), 3), " ").alias("tokens"))
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("", 2)], "token string, token_id bigint")
+    out = tokens.encode(df, "id", "tokens", vocab, head=1)
+    assert physical(out).count("BroadcastHashJoin") >= 2
+    assert out.count() == 100
+    out.collect()
+    final = physical(out).split("== Initial Plan")[0]
+    assert "ReusedExchange" in final and final.count("Range (") == 1
 
 
 def test_truncation(spark):
