@@ -164,7 +164,7 @@ def _candidate_files(spark: SparkSession, sf: str) -> DataFrame:
     made = views.candidates(views.pairs(spark, sf))
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made.repartition(files, "pair_id").write.parquet(path)
-    return incremental.candidate_stream(spark, path, made.schema, files_per_batch=4)
+    return incremental.candidate_stream(spark, path, made.schema, max(1, files // 4))
 
 
 # --- positions ---------------------------------------------------------------
