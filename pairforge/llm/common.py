@@ -80,10 +80,15 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return _written(df, fresh_path(self.spark, name))
 
-    def small(self, df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
-        """Store a side of a join; broadcast it only if it is counted small."""
+    def small(self, df: DataFrame, name: str, max_rows: int = 100_000, weight: Column | None = None) -> DataFrame:
+        """Store a side of a join; broadcast it only if it is counted small.
+
+        Any other goes through a shuffle join with the same result. ``weight``
+        counts more for a row that holds an array.
+        """
         kept = self.stored(df, name)
-        return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+        n = kept.agg(F.count(F.lit(1)) if weight is None else F.sum(weight + 1)).first()[0]
+        return F.broadcast(kept) if (n or 0) <= max_rows else kept
 
 
 def _written(df: DataFrame, path: str, *partitions: str) -> DataFrame:
