@@ -112,7 +112,7 @@ def _first_edges(nodes: DataFrame, size: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            key = batch.column(0).to_numpy() * (1 << 40) + batch.column(1).to_numpy()
+            key = batch.column(0).to_numpy().astype(np.int64) * (1 << 40) + batch.column(1).to_numpy()
             node, vec = batch.column(3).to_numpy(), batch.column(4)
             cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
             for a, b in zip(cuts, cuts[1:]):

@@ -7,11 +7,16 @@ executor never loses them, and are deleted once their readers are done.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pairforge.session import fresh_path
 
@@ -115,6 +120,25 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of this session the package, once."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        made = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="pairforge-code-"), "pairforge_code"), "zip", root.parent, root.name
+        )
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(app)
+
+
 def arrow_map(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str
 ) -> DataFrame:
@@ -122,10 +146,7 @@ def arrow_map(
 
     ``make()`` returns a function from a batch to dicts of equally long columns.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -134,6 +155,7 @@ def arrow_map(
                 for columns in each(batch):
                     yield record(columns, kinds)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -166,10 +188,7 @@ def grouped_map(
     more, and the number of the group of every row. Groups must be bounded by
     the caller. No group is split.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    kinds = arrow_schema(schema)
 
     def groups(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, dtype=bool)
@@ -198,6 +217,7 @@ def grouped_map(
             for columns in each(t, groups(t)):
                 yield record(columns, kinds)
 
+    ship(df.sparkSession)
     dealt = df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, schema)
 

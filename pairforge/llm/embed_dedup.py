@@ -27,9 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairforge.llm.common import Workspace, arrow_map, components, grouped_map, partitions
+from pairforge.llm.common import (
+    Workspace, arrow_map, arrow_schema, components, grouped_map, partitions, record, ship,
+)
 
 PASSES = 24
 BITS = 60
@@ -120,15 +123,10 @@ def _window_pairs(classes: DataFrame, ws: Workspace, passes: int, window: int, c
     carried = "pass int, label int, node bigint, embedding array<float>"
     schema = f"a bigint, b bigint, border int, place int, {carried}"
 
+    kinds = arrow_schema(schema)
+
     def make_run():
         def run(batches):
-            from pyspark import TaskContext
-            from pyspark.sql.pandas.types import to_arrow_schema
-            from pyspark.sql.types import _parse_datatype_string
-
-            from pairforge.llm.common import record
-
-            kinds = to_arrow_schema(_parse_datatype_string(schema))
             here = TaskContext.get().partitionId()
             tail, n_head = None, 0
 
@@ -161,6 +159,7 @@ def _window_pairs(classes: DataFrame, ws: Workspace, passes: int, window: int, c
 
         return run
 
+    ship(classes.sparkSession)
     found = ws.stored(spread.mapInArrow(make_run(), schema), "windows")
 
     def over(t: pa.Table, group: np.ndarray):
