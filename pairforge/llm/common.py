@@ -120,8 +120,13 @@ def held_out(name: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def arrow_schema(schema: str) -> pa.Schema:
-    return to_arrow_schema(T._parse_datatype_string(schema))
+def arrow_schema(schema: str | T.StructType) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
+
+
+def with_fields(schema: T.StructType, extra: str) -> T.StructType:
+    """A schema and the fields of a DDL string after it."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(extra).fields])
 
 
 _shipped: set[str] = set()
@@ -140,7 +145,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict]]], schema: str | T.StructType
 ) -> DataFrame:
     """``mapInArrow`` whose function is made once in each task.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import arrow_map, held_out, mix
+from pairforge.llm.common import arrow_map, held_out, mix, with_fields
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -203,14 +203,18 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
-def identify(docs: DataFrame, model: Model, spans: bool = False, switch: float = SWITCH) -> DataFrame:
-    """``doc_id, h, held_out, lang_pred, score``; ``h`` tells texts of one id apart.
+def with_language(
+    docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score",
+    spans: str | None = None, switch: float = SWITCH,
+) -> DataFrame:
+    """All columns of ``docs``, the language and its score under new names.
 
-    With ``spans`` also an array of ``(lang, first_word, n_words)``.
+    With ``spans`` also an array of ``(lang, first_word, n_words)``. Each row
+    stays where it is scanned.
     """
-    from pairforge.llm.common import text_key
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+    given = [f.name for f in docs.schema.fields]
 
     def make():
         m: Model = shared.value
@@ -219,7 +223,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False, switch: float =
         def each(batch: pa.RecordBatch):
             for at in range(0, batch.num_rows, TOGETHER):
                 some = batch.slice(at, TOGETHER)
-                w = Words(some.column(3))
+                w = Words(some.column(text))
                 n = some.num_rows
                 of_text = np.repeat(np.arange(n), w.sizes)
                 letters_ = w.letters[w.codes]
@@ -231,21 +235,24 @@ def identify(docs: DataFrame, model: Model, spans: bool = False, switch: float =
                     np.add.at(share, (of_text, labels), letters_)
                 share /= np.maximum(total, 1)[:, None]
                 known = (total > 0) & bool(m.langs)
-                pred = np.where(known, share.argmax(axis=1), len(m.langs))
-                out = {
-                    "doc_id": some.column(0), "h": some.column(1), "held_out": some.column(2),
-                    "lang_pred": list(names[pred]), "score": np.where(known, share.max(axis=1), 0.0),
-                }
+                best = np.where(known, share.argmax(axis=1), len(m.langs))
+                out = {c: some.column(i) for i, c in enumerate(given)}
+                out |= {pred: list(names[best]), score: np.where(known, share.max(axis=1), 0.0)}
                 if spans:
-                    out["spans"] = _spans(labels, w.sizes, names, known)
+                    out[spans] = _spans(labels, w.sizes, names, known)
                 yield out
 
         return each
 
-    schema = "doc_id bigint, h bigint, held_out boolean, lang_pred string, score double"
-    schema += ", spans array<struct<lang:string,first_word:int,n_words:int>>" if spans else ""
-    rows = docs.select("doc_id", text_key().alias("h"), held_out().alias("held_out"), "text")
-    return arrow_map(rows, make, schema)
+    extra = f"`{pred}` string, `{score}` double"
+    extra += f", `{spans}` array<struct<lang:string,first_word:int,n_words:int>>" if spans else ""
+    return arrow_map(docs, make, with_fields(docs.schema, extra))
+
+
+def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score``, and ``spans`` if they are asked for."""
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return with_language(rows, model, spans="spans" if spans else None).drop("text")
 
 
 def _spans(labels: np.ndarray, sizes: np.ndarray, names: np.ndarray, known: np.ndarray) -> list[list[dict]]:

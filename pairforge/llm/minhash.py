@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.common import (
-    Workspace, arrow_map, column, components, grouped_map, id_key, mix, seeds, text_key,
+    Workspace, arrow_map, components, free_name, grouped_map, id_key, mix, seeds, text_key,
 )
 
 TREES = 16
@@ -288,9 +288,11 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ws: Workspace,
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
-    """``doc_id, h, n_shingles, component_id, kept``, one row per document.
+    """``doc_id, id, h, n_shingles, component_id, kept, stays``, one row per document.
 
-    Links are pairs with ``100 * intersection >= percent * union``.
+    Links are pairs with ``100 * intersection >= percent * union``. ``id`` and
+    ``h`` tell documents apart; ``stays`` is true for one of them in each
+    component, also where ids are null or repeat.
     """
     with Workspace(docs.sparkSession) as ws:
         return ws.keep(_near_duplicates(docs, ws, k, percent), "near-duplicates")
@@ -312,15 +314,41 @@ def _near_duplicates(docs: DataFrame, ws: Workspace, k: int, percent: int) -> Da
         sets = _sets(docs, classes, rest, ws, k)
         links = ws.stored(links.unionByName(_confirmed(rest, sets, ws, percent)), "all-links")
         roots = components(ws, links)
-    own = marked.select("doc_id", "h", F.col("size").alias("n_shingles"), "node")
+    own = marked.select("doc_id", "id", "h", F.col("size").alias("n_shingles"), "node")
     roots = ws.stored(roots, "roots")
     own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = own.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = own.join(least, "root", "left").withColumn(
-        "component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    )
+    one = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id"), F.col("id"), F.col("h"))
+    least = own.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(one).alias("least"))
+    out = own.join(least, "root", "left")
+    alone = F.col("root").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    stays = alone | ((F.col("id") == F.col("least.id")) & (F.col("h") == F.col("least.h")))
+    out = out.withColumns({"component_id": component, "stays": stays})
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    return out.select("doc_id", "h", "n_shingles", "component_id", kept)
+    return out.select("doc_id", "id", "h", "n_shingles", "component_id", kept, "stays")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """The documents, one of each component; all columns stay.
+
+    Of repeated rows one stays, if they have any word. Texts are only shuffled
+    where rows repeat, unless the removed documents are too many to send to all.
+    """
+    with Workspace(docs.sparkSession) as ws:
+        return ws.keep(_one_of_each(docs, ws, k, percent), "one-of-each")
+
+
+def _one_of_each(docs: DataFrame, ws: Workspace, k: int, percent: int) -> DataFrame:
+    id_, h = free_name(docs, "id"), free_name(docs, "h")
+    found = ws.stored(_near_duplicates(docs, ws, k, percent), "near-duplicates")
+    found = found.withColumnsRenamed({"id": id_, "h": h})
+    gone = ws.small(found.where("not stays").select(id_, h).distinct(), "removed")
+    times = found.where("stays and n_shingles > 0").groupBy(id_, h).agg(F.count(F.lit(1)).alias("times"))
+    repeated = ws.small(times.where("times > 1").select(id_, h), "repeated-rows")
+    rows = docs.withColumns({id_: id_key(), h: text_key()}).join(gone, [id_, h], "left_anti")
+    single = rows.join(repeated, [id_, h], "left_anti")
+    several = rows.join(repeated, [id_, h], "left_semi").dropDuplicates([id_, h])
+    return single.unionByName(several).select(*docs.columns)
 
 
 def _unsettled(

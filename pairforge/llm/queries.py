@@ -47,8 +47,7 @@ def op7_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = langid.identify(docs, langid.learn(docs))
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(docs, langid.learn(docs))
 
 
 def op9_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:

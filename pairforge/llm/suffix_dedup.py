@@ -276,43 +276,76 @@ def _whole_characters(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[n
     return a[a < b], b[a < b]
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, texts: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row.
-
-    With ``texts`` also the key ``doc`` and what is left as ``kept_text``, for
-    which spans are shrunk to whole characters.
-    """
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row."""
     with Workspace(docs.sparkSession) as ws:
-        return ws.keep(_removed(docs, ws, length, seed, texts), "repeats-removed")
+        runs = ws.small(repeated(docs, ws, length, seed), "runs", weight=F.size("runs"))
+        rows = _documents(docs).join(runs, "doc", "left").select("doc_id", "raw", "runs")
 
+        def make():
+            def each(batch: pa.RecordBatch):
+                out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
+                for raw, own in zip(batch.column(1), batch.column(2)):
+                    data = raw.as_buffer()
+                    a, b = _found(own, length)
+                    out["n_bytes"].append(len(data))
+                    out["n_removed"].append(int((b - a).sum()))
+                    out["n_spans"].append(len(a))
+                    out["kept_sha256"].append(hashlib.sha256(_left(data, a, b)).hexdigest())
+                yield {"doc_id": batch.column(0)} | out
 
-def _removed(docs: DataFrame, ws: Workspace, length: int, seed: int, texts: bool) -> DataFrame:
-    runs = ws.small(repeated(docs, ws, length, seed), "runs", weight=F.size("runs"))
-    rows = _documents(docs).join(runs, "doc", "left").select("doc_id", "doc", "raw", "runs")
+            return each
 
-    def make():
-        def each(batch: pa.RecordBatch):
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-            for raw, own in zip(batch.column(2), batch.column(3)):
-                data = raw.as_buffer()
-                n_removed = n_spans = 0
-                kept = bytes(data)
-                if own.is_valid:
-                    first, last = (own.values.field(i).to_numpy() for i in range(2))
-                    a, b = spans(first, last, length)
-                    if texts:
-                        a, b = _whole_characters(np.frombuffer(data, dtype=np.uint8), a, b)
-                    view, ends = memoryview(data), [*a, len(data)]
-                    kept = b"".join([view[i:j] for i, j in zip([0, *b], ends)])
-                    n_removed, n_spans = int((b - a).sum()), len(a)
-                out["n_bytes"].append(len(data))
-                out["n_removed"].append(n_removed)
-                out["n_spans"].append(n_spans)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept_text"].append(kept.decode() if texts else None)
-            yield {"doc_id": batch.column(0), "doc": batch.column(1)} | out
+        schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+        return ws.keep(arrow_map(rows, make, schema), "repeats-removed")
 
-        return each
 
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return arrow_map(rows, make, schema + (", doc bigint, kept_text string" if texts else ""))
+def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """The documents with what is left of their texts; all columns stay.
+
+    Spans are shrunk to whole characters. ``n_chars`` follows the text. A
+    document of which nothing is left goes.
+    """
+    with Workspace(docs.sparkSession) as ws:
+        runs = ws.small(repeated(docs, ws, length, seed), "runs", weight=F.size("runs"))
+        key, own = free_name(docs, "doc"), free_name(docs, "runs")
+        runs = runs.withColumnsRenamed({"doc": key, "runs": own})
+        rows = docs.withColumn(key, F.xxhash64(id_key(), text_key())).join(runs, key, "left")
+        rows = rows.select(*docs.columns, own)
+        given, text = list(docs.columns), docs.columns.index("text")
+
+        def make():
+            def each(batch: pa.RecordBatch):
+                kept, stays = [], []
+                for was, own_ in zip(batch.column(text), batch.column(len(given))):
+                    if not own_.is_valid:
+                        kept.append(was.as_py())
+                        stays.append(True)
+                        continue
+                    data = was.as_buffer()
+                    a, b = _whole_characters(np.frombuffer(data, dtype=np.uint8), *_found(own_, length))
+                    left = _left(data, a, b)
+                    kept.append(left.decode())
+                    stays.append(bool(left))
+                t = pa.Table.from_batches([batch]).set_column(text, "text", pa.array(kept, pa.large_string()))
+                t = t.filter(pa.array(stays))
+                yield {c: t.column(i) for i, c in enumerate(given)}
+
+            return each
+
+        out = arrow_map(rows, make, docs.schema)
+        if "n_chars" in docs.columns:
+            n = F.when(F.col("n_chars").isNotNull(), F.length("text"))
+            out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
+        return ws.keep(out, "without-repeats")
+
+
+def _found(own: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:
+    if not own.is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return spans(*(own.values.field(i).to_numpy() for i in range(2)), length)
+
+
+def _left(data, a: np.ndarray, b: np.ndarray) -> bytes:
+    view = memoryview(data)
+    return b"".join([view[i:j] for i, j in zip([0, *b], [*a, len(data)])])
