@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -133,7 +132,7 @@ def boilerplate(
 
     rest = lines.join(exact, "line", "left_anti")
     hot = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    hot = ws.small(hot, "frequent-leaves")
+    hot = ws.small(hot, "frequent-leaves", 1_000_000)
     texts = _lines(docs, leading, min_tokens, True).join(exact, "line", "left_anti").join(hot, "leaf")
     texts = ws.stored(texts.withColumn("tokens", F.split("tokens", " ")), "leaf-lines")
     formed = texts.join(ws.small(_forms(texts, leading, constant), "leaf-forms"), "leaf")
@@ -172,7 +171,8 @@ def drop_lines(docs: DataFrame, **settings) -> DataFrame:
 
 
 def _without(docs: DataFrame, ws: Workspace, **settings) -> DataFrame:
-    marks = ws.small(boilerplate(docs, ws, **settings), "dropped-lines")
+    # As many rows as documents, so always by shuffle.
+    marks = ws.stored(boilerplate(docs, ws, **settings), "dropped-lines").hint("merge")
     own, n_lines, n_dropped = (free_name(docs, n) for n in ("dropped", "n_lines", "n_dropped"))
     id_, h = free_name(docs, "id"), free_name(docs, "h")
     marks = marks.select(F.col("id").alias(id_), F.col("h").alias(h), F.col("lines").alias(own))
