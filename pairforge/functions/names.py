@@ -27,7 +27,7 @@ def is_preference_run(name: Column) -> Column:
 def _tagged(parts: Column, tag: str) -> Column:
     """Texts behind ``tag`` in the parts that start with it, in order."""
     hits = F.filter(parts, lambda p: p.startswith(tag))
-    return F.transform(hits, lambda p: F.substring(p, len(tag) + 1, 1 << 20))
+    return F.transform(hits, lambda p: F.substr(p, F.lit(len(tag) + 1)))
 
 
 def parse_name(name: Column) -> Column:

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairforge.functions.text import WHITESPACE
+
 # The published 13a rules, applied in this order. The first class
 # leaves out the space, which the rules would only widen before the split.
 UNESCAPE = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
@@ -15,6 +17,8 @@ SPACING = [
     (r"([\.,])([^0-9])", r" $1 $2"),
     (r"([0-9])(-)", r"$1 $2 "),
 ]
+#: The published splitter ends in a split at any Unicode white space.
+SPACES = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]+"
 JOINER = "\x01"
 MAX_N = 4
 
@@ -28,7 +32,7 @@ def words(text: Column) -> Column:
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for pattern, spaced in SPACING:
         t = F.regexp_replace(t, pattern, spaced)
-    return F.array_remove(F.split(t, r"\s+"), "")
+    return F.array_remove(F.split(t, SPACES), "")
 
 
 def words_and_specials(text: Column, specials: list[str]) -> Column:

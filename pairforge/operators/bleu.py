@@ -140,5 +140,12 @@ def running_bleu(
 
 
 def with_targets(predictions: DataFrame, targets: DataFrame, key: str) -> DataFrame:
-    """Predictions matched to their targets by row id."""
-    return predictions.join(targets, key)
+    """Targets with their predictions by row id.
+
+    A target without a prediction has an empty one, so its length counts.
+    """
+    own = [c for c in predictions.columns if c != key]
+    texts = [c for c in own if predictions.schema[c].dataType.simpleString() == "string"]
+    return targets.join(predictions, key, "left").fillna("", subset=texts).select(
+        key, *own, *[c for c in targets.columns if c != key]
+    )

@@ -88,5 +88,8 @@ def letter_editor() -> Generator:
 
 
 def with_stored_candidates(pairs: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """Candidates made elsewhere, matched to their sources by row id."""
-    return pairs.join(candidates, key)
+    """Candidates made elsewhere, matched to their sources by row id.
+
+    A source without stored candidates stays, with nulls: it is judged empty.
+    """
+    return pairs.join(candidates, key, "left")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairforge.functions.text import PAD_ID, SEP_ID
-from pairforge.operators.position import prefix_sums, with_position
+from pairforge.operators.position import prefix_sums, ranked
 from pairforge.operators.tokens import last_place
+from pairforge.session import stored
 
 IGNORED = -100
 MULTIPLE = 8
@@ -131,41 +130,60 @@ def pack_wrapped(df: DataFrame, key: str, ids: str = "ids", limit: int = 256) ->
     )
 
 
-def _best_fit(lengths: np.ndarray, limit: int) -> np.ndarray:
-    """Bin number per piece: longest piece first, into the fullest bin with room.
+def best_fit_plan(counts: dict[int, int], limit: int) -> tuple[list[tuple[int, list[tuple[int, int, int]]]], int]:
+    """Best fit decreasing on counted lengths, and the number of bins.
 
-    Open bins are kept by free room; a bit mask finds the smallest room that
-    is large enough.
+    Takes the longest first, each into the fullest bin with room. Bins of equal
+    content are one group, and each length splits at most one group and opens
+    at most two, so the plan grows with ``limit`` and not with the pieces. For
+    each length it has runs ``(first rank, pieces per bin, first bin)``.
     """
-    room_bins: list[list[int]] = [[] for _ in range(limit + 1)]
-    mask, n_bins = 0, 0
-    bins = np.empty(len(lengths), dtype=np.int64)
-    for i in np.argsort(-lengths, kind="stable"):
-        need = int(lengths[i])
-        fitting = mask >> need
-        if fitting:
-            room = need + (fitting & -fitting).bit_length() - 1
-            chosen = room_bins[room].pop()
-            if not room_bins[room]:
-                mask &= ~(1 << room)
-        else:
-            room, chosen, n_bins = limit, n_bins, n_bins + 1
-        bins[i] = chosen
-        room_bins[room - need].append(chosen)
-        mask |= 1 << (room - need)
-    return bins
-
-
-def pack_best_fit(
-    df: DataFrame, key: str, ids: str = "ids", limit: int = 256, shard_rows: int = 65_536
-) -> DataFrame:
+    groups: list[tuple[int, int, int]] = []  # room, first bin, bins
+    n_bins = 0
+    plan = []
+    for length in sorted(counts, reverse=True):
+        left, rank, runs = counts[length], 0, []
+        kept = []
+        for room, first, bins in sorted(groups):
+            fit = room // length
+            if not left or not fit:
+                kept.append((room, first, bins))
+                continue
+            whole = min(bins, left // fit)
+            if whole:
+                runs.append((rank, fit, first))
+                kept.append((room - fit * length, first, whole))
+                rank, left = rank + whole * fit, left - whole * fit
+            if whole < bins:
+                # Fewer pieces are left than a bin takes.
+                if left:
+                    runs.append((rank, left, first + whole))
+                    kept.append((room - left * length, first + whole, 1))
+                    rank, left, whole = rank + left, 0, whole + 1
+                if whole < bins:
+                    kept.append((room, first + whole, bins - whole))
+        groups = kept
+        fit = limit // length
+        for take, bins in ((fit, left // fit), (left % fit, 1)):
+            if take and bins:
+                runs.append((rank, take, n_bins))
+                groups.append((limit - take * length, n_bins, bins))
+                rank, n_bins = rank + take * bins, n_bins + bins
+        plan.append((length, runs))
+    return plan, n_bins
+
+
+def pack_best_fit(df: DataFrame, key: str, ids: str = "ids", limit: int = 256) -> DataFrame:
     """Pack whole sequences into bins of ``limit`` tokens, best fit decreasing.
 
     Sequences over the limit are first cut into pieces; a full piece is a bin
-    of its own, named after its sequence. The other pieces are taken in shards
-    of ``shard_rows`` in key order, which bounds each Python group; only keys
-    and lengths go to Python. Their bins are numbered within the shard.
+    of its own, named after its sequence. The others are counted by length, at
+    most ``limit`` numbers, from which the bins of all of them follow. A piece
+    finds its bin by its rank among those of its length, in key order, so the
+    result does not depend on the table's size or layout. Equal or null keys
+    are pieces like any other.
     """
+    spark = df.sparkSession
     starts = F.sequence(F.lit(1), F.size(ids), F.lit(limit))
     pieces = df.where(F.size(ids) > 0).select(
         key, F.posexplode_outer(F.transform(starts, lambda i: F.slice(ids, i, limit))).alias("piece", "_ids")
@@ -174,27 +192,25 @@ def pack_best_fit(
         F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), F.col("piece").cast("string")).alias("bin_id"),
         F.array(F.struct(F.col(key).alias("id"), "piece", F.col("_ids").alias("ids"))).alias("_p"),
     )
-    # Only the last piece of a row can be short, so the key is still unique.
-    short = pieces.where(F.col("n") < limit)
-    placed = with_position(short.select(key, "n"), key, "_pos")
-    kind = df.schema[key].dataType.simpleString()
-
-    def place(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k", kind="stable")
-        out = group[["k", "shard"]].copy()
-        out["bin"] = _best_fit(group["n"].to_numpy(), limit)
-        return out
-
-    placed = (
-        placed.select(F.col(key).alias("k"), "n", F.floor(F.col("_pos") / shard_rows).alias("shard"))
-        .groupBy("shard")
-        .applyInPandas(place, f"k {kind}, shard bigint, bin bigint")
-        .withColumnRenamed("k", key)
+    laid = stored(
+        ranked(pieces.where(F.col("n") < limit), [F.col("n"), F.col(key), F.col("piece")], "_rank", 0), "short-pieces"
+    )
+    # One row for each length below the limit.
+    counts = {r["n"]: r["k"] for r in laid.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    plan, _ = best_fit_plan(counts, limit)
+    before = {n: sum(k for m, k in counts.items() if m < n) for n in counts}
+    runs = spark.createDataFrame(
+        [(n, before[n], own) for n, own in plan],
+        "n int, _before bigint, _runs array<struct<rank:bigint,take:bigint,bin:bigint>>",
+    )
+    rank = F.col("_rank") - F.col("_before")
+    placed = laid.join(F.broadcast(runs), "n").withColumn(
+        "_run", F.element_at(F.filter("_runs", lambda r: r["rank"] <= rank), -1)
     )
+    bin_ = F.col("_run.bin") + F.floor((rank - F.col("_run.rank")) / F.col("_run.take"))
     shared = (
-        short.join(placed, key)
-        .select(
-            F.concat_ws("-", F.lit("bin"), F.col("shard").cast("string"), F.col("bin").cast("string")).alias("bin_id"),
+        placed.select(
+            F.concat(F.lit("bin-"), bin_.cast("string")).alias("bin_id"),
             F.struct(F.col(key).alias("id"), "piece", F.col("_ids").alias("ids")).alias("_one"),
         )
         # Pieces are not empty, so a bin has at most ``limit`` of them.

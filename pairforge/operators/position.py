@@ -22,6 +22,12 @@ ROW_BITS = 12
 TOTAL_BITS = 18
 
 
+def _required(key: str, value: Column) -> Column:
+    """``value``, or an error where the key is null."""
+    error = F.raise_error(F.lit(f"{key} is null")).cast("bigint")
+    return F.when(F.col(key).isNull(), error).otherwise(value)
+
+
 def _before(partition: str | None, order: str):
     spec = Window.partitionBy(partition) if partition else Window.partitionBy()
     return spec.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -50,23 +56,27 @@ def _starts(totals: DataFrame, key: str, names: list[str]) -> DataFrame:
 def prefix_sums(df: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
     """Add, in the order of ``key``, the totals of ``sums`` over all earlier rows.
 
-    ``key`` must be a unique integer column without nulls. The table is read
-    twice: once for the group totals, with the columns of ``sums`` only.
+    ``key`` must be a unique integer column without nulls; a null or repeated
+    key raises an error. The table is read twice: once for the group totals,
+    with the columns of ``sums`` only.
     """
     names = list(sums)
     data = df.withColumns(
-        {"_bucket": F.shiftright(F.col(key).cast("bigint"), ROW_BITS)}
+        {"_bucket": _required(key, F.shiftright(F.col(key).cast("bigint"), ROW_BITS))}
         | {f"_v_{n}": sums[n].cast("bigint") for n in names}
     )
     totals = data.groupBy("_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
     starts = _starts(stored(totals, "totals"), "_bucket", [f"_t_{n}" for n in names])
     w = _before("_bucket", key)
+    repeated = F.lag(key).over(Window.partitionBy("_bucket").orderBy(key)) == F.col(key)
+    error = F.raise_error(F.concat(F.lit(f"{key} repeats: "), F.col(key).cast("string"))).cast("bigint")
     local = data.withColumns(
-        {f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in names}
+        {"_again": F.coalesce(repeated, F.lit(False))}
+        | {f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in names}
     )
     kept = [c for c in df.columns if c not in names]
     return local.join(starts, "_bucket").select(
-        *kept, *[(F.col(f"_t_{n}") + F.col(f"_l_{n}")).alias(n) for n in names]
+        *kept, *[F.when(F.col("_again"), error).otherwise(F.col(f"_t_{n}") + F.col(f"_l_{n}")).alias(n) for n in names]
     )
 
 

@@ -13,7 +13,7 @@ MAX_RATIO = 3.0
 MIN_RATIO = 0.33
 
 KEPT = "kept"
-BANDS = (32, 256)
+BANDS = (32, 256, 2048, 16384)
 
 
 def prefer(pred1: Column, pred2: Column, dist1: Column, dist2: Column) -> Column:

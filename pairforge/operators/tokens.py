@@ -89,18 +89,48 @@ def encode(
     )
 
 
+ENCODE_BATCH = 256
+Encoder = Callable[[list[str]], list[list[int]]]
+
+
+def _encode(encoder: Encoder, texts: list[str]) -> tuple[list, list]:
+    """Ids and errors; a failing batch is run again row by row."""
+    try:
+        ids = [[int(x) for x in row] for row in encoder(texts)]
+        if len(ids) != len(texts):
+            raise ValueError(f"{len(ids)} rows for {len(texts)} texts")
+        return ids, [None] * len(ids)
+    except Exception as failure:
+        if len(texts) == 1:
+            return [None], [f"{type(failure).__name__}: {failure}"]
+    rows = [_encode(encoder, [t]) for t in texts]
+    return [i[0] for i, _ in rows], [e[0] for _, e in rows]
+
+
 def encode_with(
-    df: DataFrame, text: str, make_encoder: Callable[[], Callable[[str], list[int]]]
+    df: DataFrame, text: str, make_encoder: Callable[[], Encoder], batch_size: int = ENCODE_BATCH
 ) -> DataFrame:
-    """Token ids by a user's own tokenizer, made once per Python worker batch run."""
+    """Add ``ids`` and ``encode_error`` by a user's own tokenizer.
 
-    @F.pandas_udf("array<bigint>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    The tokenizer is made once per task and takes a list of texts; a row that
+    fails keeps its error. A null text has null ids and no error.
+    """
+
+    @F.pandas_udf("ids array<bigint>, encode_error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
         for batch in batches:
-            yield batch.map(lambda t: None if t is None else list(encoder(t)))
-
-    return df.withColumn("ids", ids(F.col(text)))
+            live = [t for t in batch if t is not None]
+            ids, errors = [], []
+            for at in range(0, len(live), batch_size):
+                some = _encode(encoder, live[at : at + batch_size])
+                ids += some[0]
+                errors += some[1]
+            found = iter(zip(ids, errors))
+            rows = [(None, None) if t is None else next(found) for t in batch]
+            yield pd.DataFrame(rows, columns=["ids", "encode_error"])
+
+    return df.withColumn("_encoded", run(F.col(text))).select(*df.columns, "_encoded.ids", "_encoded.encode_error")
 
 
 def truncate(ids: Column, limit: int = MAX_TOKENS) -> Column:

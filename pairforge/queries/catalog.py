@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairforge.functions import names, text
@@ -89,8 +91,10 @@ def pref_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def pref_record(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "pref-record")
+    began = time.perf_counter()
+    report = stored(preference.outcome_report(_judged(spark, sf)), "pref-report")
     record = records.preference_record(
-        preference.outcome_report(_judged(spark, sf)), 0.0, generate.SETTINGS, "final_model",
+        report, time.perf_counter() - began, generate.SETTINGS, "final_model",
         "conversations", generate.BATCH, preference.MIN_GAP, preference.MAX_RATIO, preference.MIN_RATIO,
     )
     records.write_records(record, path)
@@ -125,7 +129,7 @@ def pref_numbered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pref_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return sinks.sample(pref_numbered(spark, sf))
+    return sinks.sample(preference.kept_pairs(_judged(spark, sf), "pair_id"), "pair_id")
 
 
 def pref_from_hook(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,9 +235,13 @@ def token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return views.encoded_documents(spark, sf).select("doc_id", joined("ids").alias("ids"))
 
 
+def _word_lengths(texts: list[str]) -> list[list[int]]:
+    return [[len(w) for w in t.split(" ")] for t in texts]
+
+
 def token_ids_hook(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select("doc_id", "text")
-    encoded = tokens.encode_with(docs, "text", lambda: lambda t: [len(w) for w in t.split(" ")])
+    encoded = tokens.encode_with(docs, "text", lambda: _word_lengths)
     return encoded.select("doc_id", joined("ids").alias("ids"))
 
 
@@ -309,24 +317,36 @@ def pack_wrapped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pack_best_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """All bins in one row: their tokens, the fullest, and whether they are few enough."""
     encoded = stored(views.encoded_documents(spark, sf), "encoded")
     packed = packing.pack_best_fit(encoded, "doc_id", "ids", LIMIT)
-    return packed.select(
-        "bin_id", *[joined(c).alias(c) for c in ("input_ids", "position_ids", "sequences", "lengths")]
+    tokens_ = F.sum(F.size("input_ids")).cast("bigint")
+    return packed.agg(
+        F.coalesce(tokens_, F.lit(0)).alias("n_tokens"),
+        (F.max(F.size("input_ids")) <= LIMIT).alias("fits"),
+        (F.count(F.lit(1)) <= F.floor(tokens_ * 1.05 / LIMIT) + 1).alias("near_the_bound"),
     )
 
 
 def pack_best_fit_cover(spark: SparkSession, sf: str) -> DataFrame:
-    """Per document the tokens found in bins, and whether all those bins keep the limit."""
+    """Per document its ids put together from the bins again."""
     encoded = stored(views.encoded_documents(spark, sf), "encoded")
     packed = packing.pack_best_fit(encoded, "doc_id", "ids", LIMIT)
-    parts = packed.select(
-        (F.size("input_ids") <= LIMIT).alias("fits"),
-        F.explode(F.arrays_zip("sequences", "lengths")).alias("p"),
-    )
-    return parts.groupBy(F.col("p.sequences").alias("doc_id")).agg(
-        F.sum("p.lengths").cast("bigint").alias("n_tokens"), F.every("fits").alias("fits")
+    ends = F.aggregate(
+        "lengths", F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n))
     )
+    cut = packed.withColumn("_ends", ends).select(
+        F.explode(
+            F.transform("lengths", lambda n, i: F.struct(
+                F.get("sequences", i).alias("doc_id"), (n == LIMIT).alias("whole"), F.col("bin_id").alias("bin_id"),
+                F.slice("input_ids", F.get("_ends", i) + 1, n).alias("ids"),
+            ))
+        ).alias("p")
+    ).select("p.*")
+    # Whole pieces are named after their place; what is left is the last piece.
+    place = F.when(F.col("whole"), F.element_at(F.split("bin_id", "-"), -1).cast("int")).otherwise(F.lit((1 << 31) - 1))
+    again = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), "ids"))).alias("p"))
+    return again.select("doc_id", joined(F.flatten("p.ids")).alias("ids"))
 
 
 # --- runs --------------------------------------------------------------------
@@ -444,8 +464,11 @@ def grid_steps(spark: SparkSession, sf: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
     found = stored(views.planned_runs(spark, sf), "runs")
-    models = found.where(F.col("eval_loss").isNotNull())
-    return outcomes.plan_outcomes(grid.grid(spark), found, models)
+    models = found.where(F.col("eval_loss").isNotNull()).select("run_id")
+    # Folders with a model but no record, named after their planned run.
+    planned = grid.grid(spark)
+    unrecorded = planned.where(F.col("experiment_name").contains("bs64")).select(F.col("experiment_name").alias("run_id"))
+    return outcomes.plan_outcomes(planned, found, models.unionByName(unrecorded))
 
 
 def plan_outcomes(spark: SparkSession, sf: str) -> DataFrame:

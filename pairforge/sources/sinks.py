@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairforge.operators.position import with_position
 from pairforge.operators.runs import in_order_of_appearance, ranked_runs, summary, summary_by_method
@@ -44,9 +44,14 @@ def numbered(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def sample(numbered_pairs: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """The first records, for a look by eye."""
-    return numbered_pairs.orderBy("entry_number").limit(n)
+def sample(pairs: DataFrame, key: str, n: int = SAMPLE) -> DataFrame:
+    """The first records with their numbers, for a look by eye.
+
+    Each task sorts out its own first ``n``, and only those are numbered.
+    """
+    first = pairs.orderBy(key).limit(n)
+    number = F.row_number().over(Window.partitionBy().orderBy(key)) - 1
+    return first.select(number.cast("bigint").alias("entry_number"), "prompt", "chosen", "rejected")
 
 
 def write_numbered(numbered_pairs: DataFrame, path: str) -> None:

@@ -101,6 +101,8 @@ def test_ngrams_are_not_shuffled(spark, physical):
 
 def test_targets_by_id(spark):
     p = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, p string")
-    t = spark.createDataFrame([(2, "v"), (1, "u")], "id bigint, t string")
+    t = spark.createDataFrame([(2, "v"), (1, "u"), (3, "w w")], "id bigint, t string")
     got = bleu.with_targets(p, t, "id").orderBy("id").select("p", "t").collect()
-    assert got == [("x", "u"), ("y", "v")]
+    assert got == [("x", "u"), ("y", "v"), ("", "w w")]
+    alone = bleu.corpus_bleu(bleu.with_targets(p, t.where("id = 3"), "id"), "id", "p", "t").first()
+    assert (alone["ref_len"], alone["pred_len"], alone["bleu"]) == (2, 0, 0.0)

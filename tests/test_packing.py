@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def test_wrapped_against_a_loop(spark):
 def test_best_fit_keeps_every_token_once(spark):
     rng = random.Random(2)
     rows = [(i, [i * 1000 + j for j in range(rng.choice([0, 1, 7, 10, 33]))]) for i in range(400)]
-    got = packing.pack_best_fit(frame(spark, rows), "id", limit=10, shard_rows=100).collect()
+    got = packing.pack_best_fit(frame(spark, rows), "id", limit=10).collect()
     assert sorted(t for r in got for t in r["input_ids"]) == sorted(t for _, ids in rows for t in ids)
     assert max(len(r["input_ids"]) for r in got) <= 10
     for r in got:
@@ -45,20 +46,57 @@ def test_best_fit_keeps_every_token_once(spark):
 
 
 def test_best_fit_is_close_to_the_bound():
-    import numpy as np
-
-    lengths = np.random.default_rng(0).integers(1, 257, 5000)
-    bins = packing._best_fit(lengths, 256)
-    fill = np.bincount(bins, weights=lengths)
-    assert fill.max() <= 256
-    assert len(fill) <= 1.05 * lengths.sum() / 256
+    rng = random.Random(0)
+    counts = Counter(rng.randrange(1, 257) for _ in range(5000))
+    plan, n_bins = packing.best_fit_plan(counts, 256)
+    fill = Counter()
+    for n, runs in plan:
+        ends = [r[0] for r in runs[1:]] + [counts[n]]
+        for (rank, take, first), end in zip(runs, ends):
+            for r in range(rank, end):
+                fill[first + (r - rank) // take] += n
+    assert max(fill.values()) <= 256 and set(fill) == set(range(n_bins))
+    assert sum(fill.values()) == sum(n * k for n, k in counts.items())
+    assert n_bins <= 1.05 * sum(fill.values()) / 256
+
+
+def one_by_one(lengths, limit):
+    """Best fit decreasing, piece by piece: the bins' contents."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [b for b in bins if sum(b) + n <= limit]
+        if fitting:
+            max(fitting, key=sum).append(n)
+        else:
+            bins.append([n])
+    return Counter(tuple(b) for b in bins)
+
+
+def test_best_fit_on_counts_equals_best_fit_on_pieces():
+    rng = random.Random(4)
+    for limit in (5, 10, 37):
+        for _ in range(60):
+            lengths = [rng.randrange(1, limit) for _ in range(rng.randrange(1, 80))]
+            counts = Counter(lengths)
+            bins = {}
+            for n, runs in packing.best_fit_plan(counts, limit)[0]:
+                ends = [r[0] for r in runs[1:]] + [counts[n]]
+                for (rank, take, first), end in zip(runs, ends):
+                    for r in range(rank, end):
+                        bins.setdefault(first + (r - rank) // take, []).append(n)
+            assert Counter(tuple(b) for b in bins.values()) == one_by_one(lengths, limit)
+
+
+def test_best_fit_with_equal_and_null_keys(spark):
+    rows = [(1, [1, 2]), (1, [3, 4]), (None, [5, 6, 7]), (None, [8] * 9)]
+    got = packing.pack_best_fit(frame(spark, rows), "id", limit=4).collect()
+    assert sorted(t for r in got for t in r["input_ids"]) == sorted(t for _, ids in rows for t in ids)
 
 
 def test_best_fit_takes_the_fullest_bin():
-    import numpy as np
-
     # 6 and 5 open two bins; 4 closes the first, so 3 and 2 close the second.
-    assert packing._best_fit(np.array([6, 5, 4, 3, 2]), 10).tolist() == [0, 1, 0, 1, 1]
+    plan, n_bins = packing.best_fit_plan(dict.fromkeys([6, 5, 4, 3, 2], 1), 10)
+    assert [(n, runs[0][2]) for n, runs in plan] == [(6, 0), (5, 1), (4, 0), (3, 1), (2, 1)] and n_bins == 2
 
 
 def test_left_padding(spark):

@@ -80,3 +80,10 @@ def test_seeded_shuffle_is_repeatable(spark):
     c = position.seeded_shuffle(spark.range(500), "id", 2).orderBy("pos").collect()
     assert a == b != c
     assert sorted(r["id"] for r in a) == list(range(500))
+
+
+@pytest.mark.parametrize("keys", [[1, None, 3], [1, 2, 2, 3]])
+def test_null_and_repeated_keys_raise(spark, keys):
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint")
+    with pytest.raises(Exception, match="k is null|k repeats"):
+        position.with_position(df, "k").collect()

@@ -124,10 +124,10 @@ def test_plan_outcomes(spark):
     plan = spark.createDataFrame([("sft_a",), ("dpo_a",)], "experiment_name string")
     schema = "experiment_name string, run_id string, bleu_score double, final_loss double, eval_loss double"
     found = spark.createDataFrame([("sft_a", "1", 0.5, 1.0, None), ("sft_a", "2", 0.4, 1.0, 2.0), ("zzz", "3", 0.1, 1.0, 1.0)], schema)
-    models = found.where("run_id = '2'")
+    models = found.where("run_id = '2'").select("run_id").union(spark.createDataFrame([("dpo_a",)], "run_id string"))
     got = outcomes.plan_outcomes(plan, found, models)
     rows = {(r["experiment_name"], r["run_id"], r["training_completed"], r["has_final_model"]) for r in got.collect()}
-    assert rows == {("sft_a", "1", True, False), ("sft_a", "2", True, True), ("dpo_a", None, False, False)}
+    assert rows == {("sft_a", "1", True, False), ("sft_a", "2", True, True), ("dpo_a", None, False, True)}
     assert outcomes.plan_missing(plan, found).collect() == [("dpo_a",)]
     assert outcomes.plan_counts(got).first() == (3, 2, 1, 0, 2)
 

@@ -41,6 +41,7 @@ def test_records_of_many_folders(spark, tmp_path):
     write(tmp_path / "broken" / "results.json", "{")
     found = records.read_records(spark, f"{tmp_path}/*/results.json")
     good = records.good_records(found)
+    assert good.count() == 2 and records.bad_records(found).count() == 1
     assert {r["experiment_name"] for r in good.collect()} == {"dpo_a", "sft_b_bs4_lr1e-5"}
     bad = records.bad_records(found).collect()
     assert [(r["experiment_name"], r["content"]) for r in bad] == [("broken", "{")]
@@ -110,7 +111,7 @@ def test_pointer(spark, tmp_path):
 
 def test_sample_is_the_first_hundred(spark):
     pairs = spark.range(1000).select((F.col("id") * 2).alias("k"), *[F.lit("x").alias(c) for c in ("prompt", "chosen", "rejected")])
-    rows = sinks.sample(sinks.numbered(pairs, "k")).collect()
+    rows = sinks.sample(pairs, "k").collect()
     assert [r["entry_number"] for r in rows] == list(range(100))
 
 

@@ -99,3 +99,8 @@ def test_numeric_rate(spark):
     assert one(spark, "1e-07", names.numeric_rate(F.col("x"))) == 1e-07
     for bad in ("-", "unknown", "x"):
         assert one(spark, bad, names.numeric_rate(F.col("x"))) is None
+
+
+def test_words_split_at_unicode_white_space(spark):
+    df = spark.createDataFrame([("a\u00a0b\u3000c\u2028d\x1ce f\u202f:",)], "t string")
+    assert df.select(words(F.col("t"))).first()[0] == ["a", "b", "c", "d", "e", "f", ":"]
