@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairforge.functions.words import MAX_N, add_ngrams, gram_count, words
-from pairforge.operators.position import running_totals
+from pairforge.operators.position import running_totals, with_position
 
 SPREAD = 4
 ORDERS = range(1, MAX_N + 1)
@@ -118,16 +118,18 @@ def corpus_bleu(
 
 
 def running_bleu(
-    df: DataFrame, position: str, prediction: str, reference: str, every: int = 100
+    df: DataFrame, key: str, prediction: str, reference: str, every: int = 100
 ) -> DataFrame:
     """BLEU of all rows so far after each full block of ``every`` rows.
 
-    ``position`` counts from 0 in dataset order. Each row is tokenised once;
-    the rest is sums over blocks.
+    ``key`` is a unique integer in dataset order. Rows are numbered by the key
+    alone and the numbers meet the counts of each row; the texts move once.
     """
-    block = F.floor(F.col(position) / every)
+    place = with_position(df.select(key), key, "_pos")
+    block = F.floor(F.col("_pos") / every)
     blocks = (
-        row_counts(df, position, prediction, reference)
+        row_counts(df, key, prediction, reference)
+        .join(place, key)
         .groupBy(block.alias("block"))
         .agg(F.count(F.lit(1)).alias("in_block"), *[F.sum(c).alias(f"_{c}") for c in COUNTS])
     )

@@ -146,10 +146,12 @@ def running_success(
 ) -> DataFrame:
     """Success rate so far after every ``every``-th batch, the first one excepted.
 
-    Batches are numbered before the rows are judged, as that needs the key
-    alone.
+    Batches are numbered by the key alone and meet the status of each row, so
+    the texts are not moved for it.
     """
-    return success_so_far(classify(with_batch(candidates, key, batch_size), **rules), every)
+    batches = with_batch(candidates.select(key), key, batch_size).select(key, "batch_id")
+    judged = classify(candidates, **rules).select(key, "status")
+    return success_so_far(judged.join(batches, key), every)
 
 
 def success_so_far(judged: DataFrame, every: int = 20) -> DataFrame:

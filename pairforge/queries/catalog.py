@@ -159,6 +159,14 @@ def pref_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.pairs_so_far(spark, _streamed(spark, sf), "pair_id")
 
 
+def progress_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The running totals after the last batch of a build."""
+    out, state = fresh_path(spark, "build"), fresh_path(spark, "build-state")
+    incremental.build_by_batch(_candidate_files(spark, sf), out, state, "pair_id").awaitTermination()
+    last = incremental.progress_by_batch(spark, out).orderBy(F.desc("batch_id")).limit(1)
+    return rounded(last.select("processed", "successful", "success_rate"), "success_rate")
+
+
 def progress_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.progress(spark, _streamed(spark, sf))
 
@@ -221,8 +229,7 @@ def bleu_two_references(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bleu_running(spark: SparkSession, sf: str) -> DataFrame:
-    placed = position.with_position(views.edited_documents(spark, sf), "doc_id")
-    return rounded(bleu.running_bleu(placed, "pos", "pred", "text", 100), "bleu")
+    return rounded(bleu.running_bleu(views.edited_documents(spark, sf), "doc_id", "pred", "text", 100), "bleu")
 
 
 # --- tokens and packing ------------------------------------------------------
@@ -594,7 +601,7 @@ QUERIES = {
         task_filter, split_counts, format_train_text, format_prompt, extract_answer,
         extract_answer_prompt, pref_status, pref_outcomes, pref_report, pref_record, pref_pairs, pref_failed,
         pref_numbered, pref_sample, pref_from_hook, running_success, pref_incremental,
-        progress_incremental, split_90_10, seeded_shuffle, batches, bleu_words, bleu_ngrams,
+        progress_incremental, progress_batches, split_90_10, seeded_shuffle, batches, bleu_words, bleu_ngrams,
         bleu_by_lang, bleu_corpus, bleu_two_references, bleu_running, vocab, token_ids,
         token_ids_hook, truncate, pref_truncate, left_pad, completion_labels, batch_flatten,
         pad_multiple, pack_wrapped, pack_best_fit, pack_best_fit_cover, run_names, runs_table,

@@ -348,6 +348,9 @@ ORACLE = {
     "CAST(rejected_dist AS BIGINT) AS rejected_dist, round(ratio, 9) AS length_ratio FROM judged",
     "pref_outcomes": OUTCOME_COUNTS,
     "progress_incremental": OUTCOME_COUNTS,
+    "progress_batches": JUDGED + """SELECT count(*) FILTER (status <> 'error') AS processed,
+  count(*) FILTER (status = 'kept') AS successful,
+  round(100.0 * count(*) FILTER (status = 'kept') / count(*) FILTER (status <> 'error'), 9) AS success_rate FROM judged""",
     "pref_report": JUDGED + """SELECT count(*) FILTER (status <> 'error') AS total_processed,
   count(*) FILTER (status = 'kept') AS successful,
   count(*) FILTER (status = 'identical') AS skipped_identical,
@@ -407,6 +410,7 @@ SELECT token, (SELECT count(*) FROM base) + k AS token_id
 FROM (VALUES ('{EOS}', 0), ('{PAD}', 1), ('{SEP}', 2)) s(token, k)""",
     "token_ids": f"""{DOC_IDS} SELECT doc_id, coalesce({joined('ids')}, '') AS ids
 FROM documents LEFT JOIN enc ON doc_id = id""",
+    "pack_best_fit_cover": f"""{DOC_IDS} SELECT id AS doc_id, {joined('ids')} AS ids FROM enc WHERE len(ids) > 0""",
     "token_ids_hook": "SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w: length(w)), ' ') AS ids FROM documents",
     "truncate": PAIR_IDS + f"SELECT id AS pair_id, {joined(f'ids[1:{LIMIT}]')} AS ids, sep_at > {LIMIT} AS sep_lost FROM placed",
     "pref_truncate": PAIR_IDS + f""", cut AS (SELECT id, ids[greatest(sep_at - 128, 0) + 1 : sep_at] AS p, ids[sep_at + 1 :] AS c FROM placed)

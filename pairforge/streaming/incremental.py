@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from pairforge.operators.preference import classify, kept_pairs, outcome_counts
+from pyspark.sql import functions as F
+
+from pairforge.operators.position import running_totals
+from pairforge.operators.preference import KEPT, classify, kept_pairs, outcome_counts
 
 
 def candidate_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -34,6 +37,47 @@ def append_judged(
     )
 
 
+def build_by_batch(
+    candidates: DataFrame, path: str, checkpoint: str, *keys: str, **rules
+) -> StreamingQuery:
+    """Judge new candidate files; every micro-batch leaves its rows and its counts.
+
+    Both lie in a folder named after the batch and are overwritten if the batch
+    runs again, so a restart neither loses nor repeats any. Progress is a sum
+    over the counts: its cost does not grow with the rows judged before.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        rows = classify(batch, **rules).select(
+            *keys, "src", "chosen", "rejected", "chosen_dist", "rejected_dist", "status"
+        )
+        there = f"{path}/rows/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(there)
+        counts = outcome_counts(batch.sparkSession.read.parquet(there))
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+
+    return (
+        candidates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def batch_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Outcome counts of each finished batch."""
+    return spark.read.parquet(f"{path}/counts")
+
+
+def progress_by_batch(spark: SparkSession, path: str) -> DataFrame:
+    """Rows judged and kept up to and with each batch, and the success rate so far."""
+    per_batch = batch_counts(spark, path).groupBy(F.col("batch").cast("bigint").alias("batch_id")).agg(
+        F.sum(F.when(F.col("status") != "error", F.col("n")).otherwise(0)).alias("n_seen"),
+        F.sum(F.when(F.col("status") == KEPT, F.col("n")).otherwise(0)).alias("n_kept"),
+    )
+    so_far = running_totals(per_batch, "batch_id", {"processed": F.col("n_seen"), "successful": F.col("n_kept")})
+    rate = F.when(F.col("processed") > 0, 100.0 * F.col("successful") / F.col("processed")).otherwise(F.lit(0.0))
+    return so_far.select("batch_id", "processed", "successful", rate.alias("success_rate"))
+
+
 def judged_so_far(spark: SparkSession, path: str) -> DataFrame:
     """All committed rows, also while the build runs."""
     return spark.read.parquet(path)
