@@ -15,6 +15,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -75,12 +76,15 @@ class Workspace:
         return self.paths[-1]
 
     def stored(self, df: DataFrame, name: str, *partitions: str) -> DataFrame:
-        return _written(df, self.path(name), *partitions)
+        """Write a step's table and read it back.
 
-    def drop(self, df_path: str) -> None:
-        """Delete one table before the end."""
-        self.paths.remove(df_path)
-        self._delete(df_path)
+        Spark deletes shuffle files when the driver has collected the step that
+        made them, by default every half hour; here after each step, so that
+        the shuffles of many steps do not add up on the executors' disks.
+        """
+        out = _written(df, self.path(name), *partitions)
+        self.spark._jvm.System.gc()
+        return out
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return _written(df, fresh_path(self.spark, name))
@@ -124,6 +128,33 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
+def ascii_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words between ASCII white space, A to Z in lower case.
+
+    The distinct words, the number of each word of all texts, and its text.
+    """
+    raw = pc.fill_null(texts.cast(pa.large_string()), "").cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data = np.zeros(0, np.uint8)
+    if raw.buffers()[2] is not None:
+        data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    upper = (data >= 65) & (data <= 90)
+    data = np.where(upper, data | 32, data)
+    inside = (data != 32) & ((data < 9) | (data > 13))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    borders = (offsets - offsets[0])[:-1]
+    borders = borders[borders < len(data)]
+    first[borders] = inside[borders]
+    at = np.flatnonzero(first)
+    of_text = np.searchsorted(offsets - offsets[0], at, side="right") - 1
+    starts = (np.cumsum(inside) - 1)[at]
+    ends = np.r_[starts, inside.sum()].astype(np.int64)
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[inside]))]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), buffers).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), of_text
+
+
 def with_fields(schema: T.StructType, extra: str) -> T.StructType:
     """A schema and the fields of a DDL string after it."""
     return T.StructType([*schema.fields, *T._parse_datatype_string(extra).fields])

@@ -28,12 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.common import (
-    Workspace, arrow_map, components, free_name, grouped_map, id_key, mix, seeds, text_key,
+    Workspace, arrow_map, ascii_words, components, free_name, grouped_map, id_key, mix, seeds, text_key,
 )
 
 TREES = 16
@@ -53,17 +52,10 @@ SIMILARITY = 80  # in percent
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``k``-word shingles of each text."""
-    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    split = pc.ascii_split_whitespace(lower)
-    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = split.flatten().dictionary_encode()
-    distinct = words.dictionary.to_pylist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in distinct), np.uint64, len(distinct))
-    code = words.indices.to_numpy(zero_copy_only=False)
-    there = np.array([w != "" for w in distinct], dtype=bool)[code]
-    word = hashes[code][there]
-    of_text = np.repeat(np.arange(len(sizes)), sizes)[there]
-    sizes = np.bincount(of_text, minlength=len(sizes))
+    distinct, code, of_text = ascii_words(texts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    word = hashes[code]
+    sizes = np.bincount(of_text, minlength=len(texts))
     starts = np.cumsum(sizes) - sizes
     key = word.copy()
     for i in range(1, k):
