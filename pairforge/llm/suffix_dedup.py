@@ -2,7 +2,7 @@
 
 Every string of ``LENGTH`` bytes has an anchor: the leftmost of its ``SEED``-byte
 grams with the least hash. Equal strings have their anchors at the same place,
-so suffixes that start at anchors are enough, one in 70 bytes. A suffix array
+so suffixes that start at anchors are enough, one in some 70 bytes. A suffix array
 here is a table of such suffixes in the order of a 64-bit fingerprint of their
 first ``SEED`` bytes and then of a second one of the whole stretch of strings
 that share the anchor.
@@ -15,9 +15,9 @@ when another batch comes. After the last batch every repeated anchor is known.
 What remains is exact and small: suffixes with a repeated anchor fall into
 classes of equal stretches. A class with two members is repeated as a whole.
 Where one anchor has several classes, each string of a class is compared with
-the strings of the other classes by position and fingerprint. A passage with
-many copies is one class, so no pairs are made, and all counts are summed
-before they are shuffled.
+the strings of the other classes by position and fingerprint, up to ``GROUP``
+classes inside one task, more by counts that are summed before they are
+shuffled. A passage with many copies is one class, and no pairs are made.
 
 Cases: null and empty texts, and texts under ``LENGTH`` bytes, lose nothing;
 overlapping repeats inside one text count; rows that repeat are documents of
@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.common import (
-    Workspace, arrow_map, free_name, id_key, mix, partitions, seeds, text_key,
+    Workspace, arrow_map, free_name, grouped_map, id_key, mix, partitions, seeds, text_key,
 )
 
 LENGTH = 200
-SEED = 64
+SEED = 32
 BATCHES = 4
 #: String starts that are looked at together.
 CHUNK = 1 << 20
@@ -48,7 +48,15 @@ SPREAD = 8
 #: Odd base of the rolling hash (any odd number does).
 BASE = 0x9E3779B97F4A7C15
 
-ARRAY = "fp bigint, ext bigint, doc bigint, pos bigint, near smallint, far smallint, batch int"
+#: Classes of one anchor that are compared in one task; more are compared by shuffled counts.
+GROUP = 2048
+
+#: ``place`` holds the anchor's position, and how far before it the first and
+#: the last string of the stretch start, in 48, 8 and 8 bits.
+ARRAY = "fp bigint, ext bigint, doc bigint, place bigint, batch int"
+FAR = "(shiftright(place, 8) & 255)"
+FIRST = f"(shiftright(place, 16) - {FAR})"
+LAST = "(shiftright(place, 16) - (place & 255))"
 
 
 @lru_cache(maxsize=1)
@@ -147,6 +155,9 @@ def _documents(docs: DataFrame) -> DataFrame:
 def suffixes(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """The anchored suffixes of all documents, with the batch of each."""
 
+    if not 0 <= length - seed < 256:
+        raise ValueError("a string may be up to 255 bytes longer than its anchor")
+
     def make():
         def each(batch: pa.RecordBatch):
             key = batch.column(0).to_numpy()
@@ -157,7 +168,7 @@ def suffixes(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 doc = key[owner[part]]
                 yield {
                     "batch": doc % BATCHES, "fp": fp, "ext": ext, "doc": doc,
-                    "pos": anchor - base[part] + shift[part], "near": anchor - hi, "far": anchor - lo,
+                    "place": (anchor - base[part] + shift[part]) << 16 | (anchor - lo) << 8 | (anchor - hi),
                 }
 
         return each
@@ -193,43 +204,97 @@ def in_order(array: DataFrame, *before: str) -> DataFrame:
     """Dealt out by fingerprint, a hot one over several tasks, and sorted."""
     n = partitions(array.sparkSession)
     dealt = array.repartition(n, *before, "fp", F.pmod("doc", F.lit(SPREAD)))
-    return dealt.sortWithinPartitions(*before, "fp", "ext", "doc", "pos")
+    return dealt.sortWithinPartitions(*before, "fp", "ext", "doc", "place")
 
 
-def _windows(docs: DataFrame, classes: DataFrame, ws: Workspace, length: int) -> DataFrame:
-    """Each string of one member of each class: ``fp, k, hash, single, doc, start``."""
-    wanted = classes.select("fp", "n", "one.*").groupBy("doc").agg(
-        F.collect_list(F.struct("fp", "n", "pos", "near", "far")).alias("wanted")
-    )
-    rows = _documents(docs).select("doc", "raw").join(ws.small(wanted, "class-members"), "doc")
+def _contexts(docs: DataFrame, members: DataFrame, ws: Workspace, length: int) -> DataFrame:
+    """``fp, k, single, doc, first, far, size, raw``: all strings of one member of each class."""
+    wanted = members.groupBy("doc").agg(F.collect_list(F.struct("fp", "k", "single", "first", "far", "size")).alias("wanted"))
+    rows = _documents(docs).select("doc", "raw").join(ws.stored(wanted, "class-members").hint("merge"), "doc")
 
     def make():
         def each(batch: pa.RecordBatch):
             for doc, raw, list_ in zip(*(batch.column(i) for i in range(3))):
-                text = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                want = list_.values
-                fp, n, pos, near, far = (want.field(i).to_numpy() for i in range(5))
-                lo, size = pos - far, far.astype(np.int64) - near + 1
-                row = np.repeat(np.arange(len(lo)), size)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                yield {
-                    "fp": fp[row], "k": far[row] - step, "hash": _hashes(text, lo, size, length),
-                    "single": n[row] == 1, "doc": np.full(len(row), doc.as_py()), "start": lo[row] + step,
+                text, want = memoryview(raw.as_buffer()), list_.values
+                names = ("fp", "k", "single", "first", "far", "size")
+                out = {c: want.field(i) for i, c in enumerate(names)}
+                ends = zip(out["first"].to_pylist(), out["size"].to_pylist())
+                yield out | {
+                    "doc": np.full(len(want), doc.as_py()),
+                    "raw": [bytes(text[a : a + n + length - 1]) for a, n in ends],
                 }
 
         return each
 
-    return arrow_map(rows, make, "fp bigint, k int, hash bigint, single boolean, doc bigint, start bigint")
+    schema = "fp bigint, k bigint, single boolean, doc bigint, first bigint, far int, size int, raw binary"
+    return ws.stored(arrow_map(rows, make, schema), "contexts")
+
+
+def _hashes(raws: list[bytes], size: np.ndarray, length: int):
+    """Row, number and hash of each string of the contexts."""
+    ends = np.cumsum(size + length - 1)
+    base = ends - (size + length - 1)
+    row = np.repeat(np.arange(len(size)), size)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    start = base[row] + step
+    return row, step, Rolling(np.frombuffer(b"".join(raws), dtype=np.uint8)).of(start, start + length)
+
+
+def _compared(contexts: DataFrame, length: int) -> DataFrame:
+    """``doc, first, last``: strings that another class of the same anchor has, group by group."""
+
+    def part(t: pa.Table, group: np.ndarray) -> dict | None:
+        size, far, single, doc, first = (
+            t.column(c).to_numpy().astype(np.int64) for c in ("size", "far", "single", "doc", "first")
+        )
+        row, step, key = _hashes(t.column("raw").to_pylist(), size, length)
+        place = (group[row] << 9 | (far[row] - step)).astype(np.uint64)
+        _, of_key, times = np.unique(mix(key ^ mix(place)), return_inverse=True, return_counts=True)
+        hit = np.flatnonzero((times[of_key] > 1) & (single[row] == 1))
+        if not len(hit):
+            return None
+        cut = np.r_[True, (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)]
+        a, b = hit[cut], hit[np.r_[cut[1:], True]]
+        return {"doc": doc[row[a]], "first": first[row[a]] + step[a], "last": first[row[b]] + step[b]}
+
+    def each(t: pa.Table, group: np.ndarray):
+        bytes_ = np.cumsum(t.column("size").to_numpy().astype(np.int64) + length - 1)
+        a = 0
+        while a < len(group):
+            b = int(np.searchsorted(bytes_, (bytes_[a - 1] if a else 0) + CHUNK, side="right"))
+            if b < len(group):  # whole groups only
+                b = int(np.searchsorted(group, group[b]))
+            found = part(t.slice(a, b - a), group[a:b])
+            if found:
+                yield found
+            a = b
+
+    return grouped_map(contexts, ["fp"], ["doc", "first"], each, "doc bigint, first bigint, last bigint", 2_000)
+
+
+def _counted(contexts: DataFrame, ws: Workspace, length: int) -> DataFrame:
+    """The same for groups of any size, by a row per string and counts."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            for at in range(0, batch.num_rows, 1_000):
+                t = pa.Table.from_batches([batch.slice(at, 1_000)])
+                fp, far, size, doc, first = (
+                    t.column(c).to_numpy().astype(np.int64) for c in ("fp", "far", "size", "doc", "first")
+                )
+                row, step, key = _hashes(t.column("raw").to_pylist(), size, length)
+                yield {
+                    "fp": fp[row], "k": far[row] - step, "key": key.view(np.int64),
+                    "single": t.column("single").take(pa.array(row)), "doc": doc[row], "first": first[row] + step,
+                }
 
+        return each
 
-def _hashes(text: np.ndarray, lo: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the strings that start at ``lo`` and the ``size - 1`` places after it."""
-    out = []
-    for a, s in zip(lo, size):
-        piece = text[a : a + s + length - 1]
-        i = np.arange(s)
-        out.append(Rolling(piece).of(i, i + length))
-    return np.concatenate(out).view(np.int64)
+    schema = "fp bigint, k int, key bigint, single boolean, doc bigint, first bigint"
+    strings = ws.stored(arrow_map(contexts, make, schema), "strings")
+    twice = strings.groupBy("fp", "k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hits = strings.where("single").join(twice.select("fp", "k", "key"), ["fp", "k", "key"])
+    return hits.select("doc", "first", F.col("first").alias("last"))
 
 
 def repeated(docs: DataFrame, ws: Workspace, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -243,18 +308,21 @@ def repeated(docs: DataFrame, ws: Workspace, length: int = LENGTH, seed: int = S
     every = family.levels[0][1]
     for _, level in family.levels[1:]:
         every = every.unionByName(level)
-    chosen = ws.stored(every.join(ws.small(found.distinct(), "anchors"), "fp"), "repeated-suffixes")
-    classes = chosen.groupBy("fp", "ext").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos", "near", "far")).alias("one")
-    )
+    found = ws.stored(found.distinct(), "anchors").hint("merge")
+    chosen = ws.stored(every.join(found, "fp"), "repeated-suffixes")
+    classes = chosen.groupBy("fp", "ext").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one"))
     classes = ws.stored(classes, "classes")
     whole = chosen.join(classes.where("n > 1").select("fp", "ext"), ["fp", "ext"])
-    runs = whole.select("doc", (F.col("pos") - F.col("far")).alias("first"), (F.col("pos") - F.col("near")).alias("last"))
-    several = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp")
-    strings = ws.stored(_windows(docs, classes.join(several, "fp"), ws, length), "strings")
-    twice = strings.groupBy("fp", "k", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    single = strings.where("single").join(twice.select("fp", "k", "hash"), ["fp", "k", "hash"])
-    runs = runs.unionByName(single.select("doc", F.col("start").alias("first"), F.col("start").alias("last")))
+    runs = ws.stored(whole.selectExpr("doc", f"{FIRST} AS first", f"{LAST} AS last"), "whole-stretches")
+    several = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    members = classes.join(several, "fp").select("fp", "k", (F.col("n") == 1).alias("single"), "one.*")
+    members = members.selectExpr(
+        "fp", "k", "single", "doc", f"{FIRST} AS first", f"int({FAR}) AS far", f"int({LAST} - {FIRST} + 1) AS size"
+    )
+    contexts = _contexts(docs, members, ws, length)
+    compared = _compared(contexts.where(F.col("k") <= GROUP).drop("k"), length)
+    counted = _counted(contexts.where(F.col("k") > GROUP).drop("k"), ws, length)
+    runs = runs.unionByName(compared).unionByName(counted)
     return runs.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
 
@@ -279,7 +347,7 @@ def _whole_characters(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[n
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row."""
     with Workspace(docs.sparkSession) as ws:
-        runs = ws.small(repeated(docs, ws, length, seed), "runs", weight=F.size("runs"))
+        runs = ws.stored(repeated(docs, ws, length, seed), "runs").hint("merge")
         rows = _documents(docs).join(runs, "doc", "left").select("doc_id", "raw", "runs")
 
         def make():
@@ -307,7 +375,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     document of which nothing is left goes.
     """
     with Workspace(docs.sparkSession) as ws:
-        runs = ws.small(repeated(docs, ws, length, seed), "runs", weight=F.size("runs"))
+        runs = ws.stored(repeated(docs, ws, length, seed), "runs").hint("merge")
         key, own = free_name(docs, "doc"), free_name(docs, "runs")
         runs = runs.withColumnsRenamed({"doc": key, "runs": own})
         rows = docs.withColumn(key, F.xxhash64(id_key(), text_key())).join(runs, key, "left")

@@ -38,8 +38,9 @@ def test_op2(query, docs):
     assert any(w[1] for w in wanted) and any(not w[1] for w in wanted)
 
 
-@pytest.mark.parametrize("length, seed", [(40, 8), (64, 64), (200, 64)])
-def test_repeats_in_small_texts(spark, length, seed):
+@pytest.mark.parametrize("length, seed, group", [(40, 8, 2048), (40, 8, 1), (64, 64, 2048), (200, 32, 2048)])
+def test_repeats_in_small_texts(spark, monkeypatch, length, seed, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     body = "abcdefghij klmnop qrstuv wxyz 0123456789 " * 3
     texts = [
         "a" * 500, "ab" * 300, body, "x" + body[:90] + "y", body[5:] + "é" * 60, "q" * length, "q" * (length - 1),
@@ -73,8 +74,8 @@ def test_levels_merge_geometrically(spark):
         family = suffix_dedup.SuffixFamily(ws)
         sizes = []
         for b in range(5):
-            rows = [(b, 1, b, 0, 0, 0), (99, 1, b, 0, 0, 0)]
-            schema = "fp bigint, ext bigint, doc bigint, pos bigint, near smallint, far smallint"
+            rows = [(b, 1, b, 0), (99, 1, b, 0)]
+            schema = "fp bigint, ext bigint, doc bigint, place bigint"
             found = [r.fp for r in family.add(spark.createDataFrame(rows, schema)).collect()]
             assert found == ([99] if b else [])
             sizes.append([n for n, _ in family.levels])
@@ -159,7 +160,8 @@ def test_odd_rows_near(odd, no_docs):
     left = minhash.one_of_each(odd)
     assert left.columns == odd.columns
     ids = [r.doc_id for r in left.collect()]
-    assert ids.count(1) == 1 and 2 not in ids and 9 not in ids and ids.count(12) == 2 and ids.count(None) == 2
+    assert ids.count(1) == 1 and 2 not in ids and 9 not in ids and ids.count(None) == 2
+    assert ids.count(12) == 1  # the other text of this number is close to that of 11
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
@@ -208,10 +210,12 @@ def test_op10_drops_recurring_lines(query, docs):
 
 
 def test_templates_with_fields(spark):
+    name = lambda i: chr(97 + i % 26) + chr(97 + i // 26) + "na"
     rows = []
     for i in range(30):
-        own = [f"unique{i}{w} text{w} number{i} {w}" for w in "abc"]
-        rows.append("\n".join([own[0], f"Posted by user{i} in group {i}", f"Share this page on {'xyz'[i % 3]} now dear", own[1], own[2]]))
+        own = [f"{name(i + 31 * k)} {name(2 * i + k)} alone here {name(i)}" for k in range(3)]
+        shared = [f"Posted by user{i} in group {i}", f"Share this page on {name(i)} now dear"]
+        rows.append("\n".join([own[0], shared[0], own[1], shared[1], own[2]]))
     copies = ["same first line here\nsame second line here\nsame third line here"] * 20
     df = spark.createDataFrame(list(enumerate(rows + copies)), "doc_id bigint, text string")
     found = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
