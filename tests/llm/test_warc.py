@@ -3,8 +3,6 @@
 import gzip
 import hashlib
 
-from pyspark.sql import functions as F
-
 from pairforge.llm import warc
 from pairforge.llm.common import Workspace
 
@@ -80,4 +78,3 @@ def test_url_keys(spark):
     df = spark.createDataFrame([("http://www.Example.com:80/a?b#c",), ("https://x.org",), ("plain",), (None,)], "u string")
     keys = [r[0] for r in df.select(warc.url_key("u")).collect()]
     assert keys == ["com,example,www)/a?b", "org,x)/", "plain", ""]
-    assert F is not None
