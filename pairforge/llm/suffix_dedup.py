@@ -49,7 +49,8 @@ SPREAD = 8
 BASE = 0x9E3779B97F4A7C15
 
 #: Classes of one anchor that are compared in one task; more are compared by shuffled counts.
-GROUP = 2048
+#: A context has under 460 bytes and 256 strings, so a group stays under some 100 MB.
+GROUP = 16_384
 
 #: ``place`` holds the anchor's position, and how far before it the first and
 #: the last string of the stretch start, in 48, 8 and 8 bits.
@@ -232,12 +233,17 @@ def _contexts(docs: DataFrame, members: DataFrame, ws: Workspace, length: int) -
 
 def _hashes(raws: list[bytes], size: np.ndarray, length: int):
     """Row, number and hash of each string of the contexts."""
-    ends = np.cumsum(size + length - 1)
-    base = ends - (size + length - 1)
     row = np.repeat(np.arange(len(size)), size)
     step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    start = base[row] + step
-    return row, step, Rolling(np.frombuffer(b"".join(raws), dtype=np.uint8)).of(start, start + length)
+    base = np.cumsum(size + length - 1) - (size + length - 1)
+    keys = []
+    for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(base // (CHUNK // 2))) + 1):
+        if len(part):
+            own = (row >= part[0]) & (row <= part[-1])
+            start = base[row[own]] - base[part[0]] + step[own]
+            data = np.frombuffer(b"".join(raws[part[0] : part[-1] + 1]), dtype=np.uint8)
+            keys.append(Rolling(data).of(start, start + length))
+    return row, step, np.concatenate(keys)
 
 
 def _compared(contexts: DataFrame, length: int) -> DataFrame:
@@ -262,8 +268,9 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
         a = 0
         while a < len(group):
             b = int(np.searchsorted(bytes_, (bytes_[a - 1] if a else 0) + CHUNK, side="right"))
-            if b < len(group):  # whole groups only
+            if b < len(group):  # whole groups only, one that is larger by itself
                 b = int(np.searchsorted(group, group[b]))
+                b = b if b > a else int(np.searchsorted(group, group[a], side="right"))
             found = part(t.slice(a, b - a), group[a:b])
             if found:
                 yield found
