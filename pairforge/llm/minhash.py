@@ -12,10 +12,12 @@ Small nodes are compared exhaustively, by size and a sketch of ``BINS`` minima
 first; the sketch's bound lies over five standard deviations under the
 threshold. What is left is confirmed on the full sets of 64-bit shingle hashes.
 
-A node still too large at full depth holds classes that share whatever is
-chosen. All are compared with a few hubs. Whoever is not in the component of
-most of its node after that is compared with the whole node, in blocks, so no
-cap decides. Pairs inside one component need no comparison.
+Only components are asked for, so in a small node classes that are surely
+close to its first one are compared with that one alone. A node still too large
+at full depth holds classes that share whatever is chosen. All are compared
+with one hub. Whoever is not in the component of most of its node after that
+is compared with the whole node, in blocks, so no cap decides. Pairs inside one
+component need no comparison.
 
 Cases: a text without words has no shingles, links with nothing and is its own
 component; one with fewer words than a shingle is one shingle; rows of one id
@@ -41,7 +43,9 @@ LEAF = 16
 BINS = 128
 #: A sketch below this share of equal minima is not compared further.
 SKETCH = 0.6
-HUBS = 4
+#: In a small node, classes with this share of equal minima with its first one
+#: are compared with it and not with each other.
+CLOSE = 0.9
 BLOCK = 1024
 #: Pairs of one class whose sets are compared together.
 TOGETHER = 512
@@ -135,11 +139,15 @@ def _alike(sizes: np.ndarray, marks: np.ndarray, i: np.ndarray, j: np.ndarray, p
     """Pairs that sizes and sketches do not rule out."""
     a, b = sizes[i], sizes[j]
     ok = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    i, j = i[ok], j[ok]
+    ok[ok] = _shares(marks, i[ok], j[ok]) >= SKETCH
+    return ok
+
+
+def _shares(marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Share of equal minima of the sketches ``i`` and ``j``, an estimate of their similarity."""
     both = (marks[i] | marks[j]) != 0
     same = (marks[i] == marks[j]) & both
-    ok[ok] = same.sum(axis=1) >= SKETCH * both.sum(axis=1)
-    return ok
+    return same.sum(axis=1) / np.maximum(both.sum(axis=1), 1)
 
 
 def _sketches(t: pa.Table) -> np.ndarray:
@@ -148,15 +156,19 @@ def _sketches(t: pa.Table) -> np.ndarray:
 
 
 def _node_pairs(percent: int):
-    """All pairs inside small nodes."""
+    """All pairs inside small nodes, but for those that are both close to the first."""
 
     def each(t: pa.Table, group: np.ndarray):
         node, size, marks = t.column("node").to_numpy(), t.column("size").to_numpy(), _sketches(t)
         a, b = [], []
+        rows = np.arange(len(group))
+        first = np.searchsorted(group, group)
+        close = _shares(marks, first, rows) >= CLOSE
         for step in range(1, len(group)):
             i = np.flatnonzero(group[step:] == group[:-step])
             if not len(i):
                 break
+            i = i[(first[i] == i) | ~(close[i] & close[i + step])]
             i = i[_alike(size, marks, i, i + step, percent)]
             a.append(node[i])
             b.append(node[i + step])
@@ -185,7 +197,7 @@ def _block_pairs(percent: int):
 
 
 def _candidates(classes: DataFrame, ws: Workspace, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs from small nodes and hubs; and the rows of nodes too large to compare."""
+    """Pairs from small nodes, and with hubs; and the rows of nodes too large to compare."""
     rows = classes.select(
         "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
                              lambda t: F.slice("paths", t * DEPTH + 1, DEPTH))).alias("tree", "path")
@@ -205,18 +217,12 @@ def _candidates(classes: DataFrame, ws: Workspace, percent: int) -> tuple[DataFr
     pairs = grouped_map(
         leaves.join(marks, "node"), ["at"], ["node"], _node_pairs(percent), "a bigint, b bigint"
     )
-    # Every member with each hub: at most HUBS rows for a member.
-    stars = large.join(_hubs(large), "at").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # Every member with the hub, the least by a hash.
+    hubs = large.groupBy("at").agg(F.min_by("node", F.xxhash64("at", "node")).alias("hub"))
+    stars = large.join(hubs, "at").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return pairs.unionByName(stars.where("a != b")), large
 
 
-def _hubs(large: DataFrame) -> DataFrame:
-    """``HUBS`` members of each node, the least by a hash, each found by a minimum."""
-    turn = F.xxhash64("at", "node")
-    keyed = large.select("at", "node", F.pmod(turn, F.lit(HUBS)).alias("share"), turn.alias("turn"))
-    return keyed.groupBy("at", "share").agg(F.min_by("node", "turn").alias("hub")).select("at", "hub")
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets are similar enough."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
