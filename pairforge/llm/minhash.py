@@ -217,9 +217,9 @@ def _candidates(classes: DataFrame, ws: Workspace, percent: int) -> tuple[DataFr
     pairs = grouped_map(
         leaves.join(marks, "node"), ["at"], ["node"], _node_pairs(percent), "a bigint, b bigint"
     )
-    # Every member with the hub, the least by a hash.
+    # Every member with the hub of one of its large nodes, the least by a hash.
     hubs = large.groupBy("at").agg(F.min_by("node", F.xxhash64("at", "node")).alias("hub"))
-    stars = large.join(hubs, "at").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    stars = large.join(hubs, "at").groupBy(F.col("node").alias("a")).agg(F.min_by("hub", "at").alias("b"))
     return pairs.unionByName(stars.where("a != b")), large
 
 
