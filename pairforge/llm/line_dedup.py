@@ -11,10 +11,14 @@ variable field. A leaf gives two kinds of templates:
 
 A template recurs if ``MIN_DOCS`` documents have it and its surroundings vary:
 neither one line before it nor one line after it (by leaf) stands next to it in
-more than ``SAME_PLACE`` of these documents on both sides. Lines of copied
+more than ``SAME_PLACE`` of these documents on both sides. This is asked of the
+lines next to it and, as a header or footer of several lines is one unit, of the
+nearest own lines: those that are of no frequent template. Lines of copied
 documents keep their neighbours, so copies do not make a line boilerplate; they
-are the work of the near-duplicate stages. Every line of a recurring template
-is dropped, the first one too.
+are the work of the near-duplicate stages. A document of whose lines less than
+``OWN`` are its own is taken for a copy, and its own lines (edits, mostly) say
+nothing of its templates. Every line of a recurring template is dropped, the
+first one too.
 
 Only counts per line, leaf and position are shuffled, each summed before the
 shuffle. Lines are split at line feeds.
@@ -31,7 +35,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairforge.llm.common import Workspace, arrow_map, free_name, id_key, text_key
 
@@ -40,6 +44,7 @@ MIN_TOKENS = 3
 LEADING = 2
 CONSTANT = 0.6
 SAME_PLACE = 0.5
+OWN = 0.2
 
 DIGIT = re.compile(r"\d")
 FIELD = "<*>"
@@ -58,8 +63,8 @@ def masked(line: str) -> list[str]:
     return tokens
 
 
-def parsed(text: str, leading: int, min_tokens: int) -> list[tuple[int, int, int, int, int, str]]:
-    """Of each line that can be a template: number, line, leaf, leaf before and after, tokens."""
+def all_lines(text: str, leading: int) -> list[tuple[int, int, int, int, int, str, int]]:
+    """Of each line that is not blank: number, line, leaf, leaf before and after, tokens and how many."""
     found = []
     for i, line in enumerate(text.split("\n")):
         tokens = masked(line)
@@ -68,27 +73,31 @@ def parsed(text: str, leading: int, min_tokens: int) -> list[tuple[int, int, int
             found.append((i, " ".join(tokens), leaf, len(tokens)))
     leaves = [0, *[f[2] for f in found], 0]
     return [
-        (i, _hash(line), leaf, leaves[k], leaves[k + 2], line)
+        (i, _hash(line), leaf, leaves[k], leaves[k + 2], line, n)
         for k, (i, line, leaf, n) in enumerate(found)
-        if n >= min_tokens
     ]
 
 
-def _lines(docs: DataFrame, leading: int, min_tokens: int, with_text: bool) -> DataFrame:
-    """One row per template-worthy line; ``first`` marks a line's first time in its document."""
+def parsed(text: str, leading: int, min_tokens: int) -> list[tuple[int, int, int, int, int, str]]:
+    """Of each line that can be a template: number, line, leaf, leaf before and after, tokens."""
+    return [line[:-1] for line in all_lines(text, leading) if line[-1] >= min_tokens]
+
+
+def _lines(docs: DataFrame, leading: int, with_text: bool) -> DataFrame:
+    """One row per line of ``size`` tokens; ``first`` marks a line's first time in its document."""
 
     def make():
         def each(batch: pa.RecordBatch):
             rows, out = [], []
             for row, text in enumerate(batch.column(2)):
                 seen = set()
-                for line in parsed(text.as_py() or "", leading, min_tokens):
+                for line in all_lines(text.as_py() or "", leading):
                     rows.append(row)
                     out.append((*line, line[1] not in seen))
                     seen.add(line[1])
             if rows:
                 at = pa.array(rows)
-                names = ("idx", "line", "leaf", "before", "after", "tokens", "first")
+                names = ("idx", "line", "leaf", "before", "after", "tokens", "size", "first")
                 columns = dict(zip(names, zip(*out)))
                 if not with_text:
                     del columns["tokens"]
@@ -96,11 +105,17 @@ def _lines(docs: DataFrame, leading: int, min_tokens: int, with_text: bool) -> D
 
         return each
 
-    schema = "id bigint, h bigint, idx int, line bigint, leaf bigint, before bigint, after bigint, first boolean"
+    schema = "id bigint, h bigint, idx int, line bigint, leaf bigint, before bigint, after bigint, size int, first boolean"
     schema += ", tokens string" if with_text else ""
     return arrow_map(docs.select(id_key().alias("id"), text_key().alias("h"), "text"), make, schema)
 
 
+def _once(found: DataFrame, key: str) -> DataFrame:
+    """The first line of each key in each document."""
+    sides = (F.min_by(side, "idx").alias(side) for side in ("before", "after"))
+    return found.groupBy(key, "id", "h").agg(*sides)
+
+
 def _recurring(once: DataFrame, key: str, min_docs: int, same_place: float) -> DataFrame:
     """Keys of rows, one per document, that recur in varying surroundings."""
 
@@ -113,6 +128,27 @@ def _recurring(once: DataFrame, key: str, min_docs: int, same_place: float) -> D
     return both.where((F.col("docs_before") >= min_docs) & varied).select(key)
 
 
+def _outside(lines: DataFrame, marked: DataFrame) -> DataFrame:
+    """``id, h, idx, before, after`` of the marked lines: the nearest own lines, by leaf.
+
+    Only in documents with enough own lines; a document counts once however
+    many rows have its id and text.
+    """
+    marked = marked.select("id", "h", "idx", F.lit(None).cast("bigint").alias("leaf"), F.lit(True).alias("marked"))
+    rows = lines.select("id", "h", "idx", "leaf", F.lit(False).alias("marked")).unionByName(marked)
+    rows = rows.groupBy("id", "h", "idx").agg(F.max("leaf").alias("leaf"), F.max("marked").alias("marked"))
+    doc = Window.partitionBy("id", "h")
+    up_to = (Window.unboundedPreceding, Window.currentRow)
+    own = F.when(~F.col("marked"), F.col("leaf"))
+    near = rows.select(
+        "id", "h", "idx", "marked",
+        F.coalesce(F.last(own, True).over(doc.orderBy("idx").rowsBetween(*up_to)), F.lit(0)).alias("before"),
+        F.coalesce(F.last(own, True).over(doc.orderBy(F.desc("idx")).rowsBetween(*up_to)), F.lit(0)).alias("after"),
+        F.avg(F.when(F.col("marked"), 0.0).otherwise(1.0)).over(doc).alias("own"),
+    )
+    return near.where(F.col("marked") & (F.col("own") >= OWN)).select("id", "h", "idx", "before", "after")
+
+
 def boilerplate(
     docs: DataFrame,
     ws: Workspace,
@@ -123,28 +159,37 @@ def boilerplate(
     same_place: float = SAME_PLACE,
 ) -> DataFrame:
     """``id, h, lines``: numbers of the lines to drop in each document that has some."""
-    lines = ws.stored(_lines(docs, leading, min_tokens, False), "lines")
-    once = lines.where("first")
-    often = once.groupBy("line").count().where(F.col("count") >= min_docs).select("line")
-    often = once.join(ws.small(often, "frequent-lines"), "line")
-    exact = ws.small(_recurring(often, "line", min_docs, same_place), "line-templates")
-    dropped = lines.join(exact, "line").select("id", "h", "idx")
+    every = ws.stored(_lines(docs, leading, False), "lines")
+    lines = every.where(F.col("size") >= min_tokens)
+    often = lines.where("first").groupBy("line").count().where(F.col("count") >= min_docs).select("line")
+    often = lines.join(ws.small(often, "frequent-lines"), "line")
+    exact = ws.small(_recurring(often.where("first"), "line", min_docs, same_place), "line-templates")
 
     rest = lines.join(exact, "line", "left_anti")
     hot = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     hot = ws.small(hot, "frequent-leaves", 1_000_000)
-    texts = _lines(docs, leading, min_tokens, True).join(exact, "line", "left_anti").join(hot, "leaf")
+    texts = _lines(docs, leading, True).where(F.col("size") >= min_tokens)
+    texts = texts.join(exact, "line", "left_anti").join(hot, "leaf")
     texts = ws.stored(texts.withColumn("tokens", F.split("tokens", " ")), "leaf-lines")
     formed = texts.join(ws.small(_forms(texts, leading, constant), "leaf-forms"), "leaf")
     fits = F.forall("form", lambda c: F.element_at("tokens", c["pos"] + 1) == c["token"])
-    formed = ws.stored(
-        formed.where(fits).select("id", "h", "idx", "leaf", "before", "after"), "formed-lines"
-    )
-    per_doc = formed.groupBy("leaf", "id", "h").agg(
-        F.min_by("before", "idx").alias("before"), F.min_by("after", "idx").alias("after")
-    )
-    forms = ws.small(_recurring(per_doc, "leaf", min_docs, same_place), "leaf-templates")
-    dropped = dropped.unionByName(formed.join(forms, "leaf").select("id", "h", "idx"))
+    formed = formed.where(fits).select("id", "h", "idx", F.col("leaf").alias("form"), "before", "after")
+    formed = ws.stored(formed, "formed-lines")
+    frequent = _once(formed, "form").groupBy("form").count().where(F.col("count") >= min_docs).select("form")
+    formed = formed.join(ws.small(frequent, "frequent-forms"), "form")
+
+    marked = often.select("id", "h", "idx").unionByName(formed.select("id", "h", "idx"))
+    outside = ws.stored(_outside(every, marked), "outside")
+
+    def recurring(found: DataFrame, once: DataFrame, key: str) -> DataFrame:
+        far = found.select(key, "id", "h", "idx").distinct().join(outside, ["id", "h", "idx"])
+        near = _recurring(once, key, min_docs, same_place)
+        return near.unionByName(_recurring(_once(far, key), key, min_docs, same_place)).distinct()
+
+    exact = ws.small(recurring(often, often.where("first"), "line"), "all-line-templates")
+    forms = ws.small(recurring(formed, _once(formed, "form"), "form"), "form-templates")
+    dropped = often.join(exact, "line").select("id", "h", "idx")
+    dropped = dropped.unionByName(formed.join(forms, "form").select("id", "h", "idx"))
     return dropped.groupBy("id", "h").agg(F.collect_set("idx").alias("lines"))
 
 

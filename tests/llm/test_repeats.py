@@ -222,6 +222,29 @@ def test_templates_with_fields(spark):
     assert all(found[30 + i].n_dropped == 0 for i in range(20))
 
 
+def words(i, k, n=5):
+    """A line of its own: words that no other line has at this place."""
+    name = lambda j: "".join(chr(97 + j // 26**p % 26) for p in range(4))
+    return " ".join(name(7919 * (i + 1) + 104_729 * (k + 1) + 31 * j) for j in range(n))
+
+
+HEADER = ["Welcome to our site", "All the news you need", "Updated several times a day"]
+FOOTER = ["Imprint and contact of ours", "All rights are reserved here", "Back to the top now"]
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_headers_and_footers_of_several_lines(spark, n):
+    rows = ["\n".join([*HEADER[:n], *(words(i, k) for k in range(3)), *FOOTER[-n:]]) for i in range(20)]
+    rows += ["\n".join(words(900, k) for k in range(4))] * 20
+    near = [words(950, k) for k in range(12)]  # near copies, one line of each is changed
+    rows += ["\n".join([*near[: i % 12], words(960 + i, 0), *near[i % 12 + 1 :]]) for i in range(24)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
+    for i in range(20):
+        assert found[i].text == "\n".join(words(i, k) for k in range(3))
+    assert all(found[20 + i].n_dropped == 0 for i in range(44))
+
+
 def test_odd_rows_lines(odd, no_docs):
     left = line_dedup.drop_lines(odd)
     assert left.columns[:-2] == odd.columns and left.columns[-2:] == ["_n_lines", "n_dropped"]
