@@ -13,7 +13,9 @@ A template recurs if ``MIN_DOCS`` documents have it and its surroundings vary:
 neither one line before it nor one line after it (by leaf) stands next to it in
 more than ``SAME_PLACE`` of these documents on both sides. This is asked of the
 lines next to it and, as a header or footer of several lines is one unit, of the
-nearest own lines: those that are of no frequent template. Lines of copied
+nearest own lines: those that are of no frequent template. It also recurs if
+``MIN_DOCS`` different pairs of nearest own lines stand around it, however many
+copies of one document have it too. Lines of copied
 documents keep their neighbours, so copies do not make a line boilerplate; they
 are the work of the near-duplicate stages. A document of whose lines less than
 ``OWN`` are its own is taken for a copy, and its own lines (edits, mostly) say
@@ -128,6 +130,12 @@ def _recurring(once: DataFrame, key: str, min_docs: int, same_place: float) -> D
     return both.where((F.col("docs_before") >= min_docs) & varied).select(key)
 
 
+def _apart(once: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """Keys of rows, one per document, that have enough different surroundings."""
+    pairs = once.groupBy(key, "before", "after").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select(key)
+
+
 def _outside(lines: DataFrame, marked: DataFrame) -> DataFrame:
     """``id, h, idx, before, after`` of the marked lines: the nearest own lines, by leaf.
 
@@ -183,8 +191,9 @@ def boilerplate(
 
     def recurring(found: DataFrame, once: DataFrame, key: str) -> DataFrame:
         far = found.select(key, "id", "h", "idx").distinct().join(outside, ["id", "h", "idx"])
-        near = _recurring(once, key, min_docs, same_place)
-        return near.unionByName(_recurring(_once(far, key), key, min_docs, same_place)).distinct()
+        far = ws.stored(_once(far, key), f"outside-{key}")
+        both = _recurring(once, key, min_docs, same_place).union(_recurring(far, key, min_docs, same_place))
+        return both.union(_apart(far, key, min_docs)).distinct()
 
     exact = ws.small(recurring(often, often.where("first"), "line"), "all-line-templates")
     forms = ws.small(recurring(formed, _once(formed, "form"), "form"), "form-templates")

@@ -245,6 +245,16 @@ def test_headers_and_footers_of_several_lines(spark, n):
     assert all(found[20 + i].n_dropped == 0 for i in range(44))
 
 
+def test_copies_do_not_hide_boilerplate(spark):
+    licence = "Licensed to you under these terms"
+    rows = ["\n".join([words(i, 0), licence, words(i, 1), words(i, 2)]) for i in range(40)]
+    copy = [words(900, k) for k in range(4)]
+    rows += ["\n".join([*copy[:2], licence, *copy[2:]])] * 60
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = line_dedup.drop_lines(df).collect()
+    assert len(found) == 100 and all(r.n_dropped == 1 and licence not in r.text for r in found)
+
+
 def test_odd_rows_lines(odd, no_docs):
     left = line_dedup.drop_lines(odd)
     assert left.columns[:-2] == odd.columns and left.columns[-2:] == ["_n_lines", "n_dropped"]
