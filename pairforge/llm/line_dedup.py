@@ -5,9 +5,13 @@ tokens, then the leading tokens, where a token with a digit counts as a
 variable field. A leaf gives two kinds of templates:
 
 * the masked line itself, so lines that differ in numbers only share it;
-* the leaf's common form: at each later position the token that more than half
-  of the leaf's remaining lines have, and a variable field elsewhere. It counts
-  if constant tokens make up ``CONSTANT`` of the line.
+* common forms: a line's tokens that are frequent at their position in the leaf
+  are constant, the others are variable fields. Frequent is asked at several
+  levels: ``MIN_DOCS`` lines, twice, four times as many and so on, and more than
+  half of the leaf's remaining lines. So a leaf has a form for each group of
+  similar lines, also if other lines outnumber it, and a template of n lines is
+  one form as long as no word in its fields is in n/2 lines of the leaf at that
+  place. A form counts if constant tokens make up ``CONSTANT`` of the line.
 
 A template recurs if ``MIN_DOCS`` documents have it and its surroundings vary:
 neither one line before it nor one line after it (by leaf) stands next to it in
@@ -178,11 +182,9 @@ def boilerplate(
     hot = ws.small(hot, "frequent-leaves", 1_000_000)
     texts = _lines(docs, leading, True).where(F.col("size") >= min_tokens)
     texts = texts.join(exact, "line", "left_anti").join(hot, "leaf")
-    texts = ws.stored(texts.withColumn("tokens", F.split("tokens", " ")), "leaf-lines")
-    formed = texts.join(ws.small(_forms(texts, leading, constant), "leaf-forms"), "leaf")
-    fits = F.forall("form", lambda c: F.element_at("tokens", c["pos"] + 1) == c["token"])
-    formed = formed.where(fits).select("id", "h", "idx", F.col("leaf").alias("form"), "before", "after")
-    formed = ws.stored(formed, "formed-lines")
+    tokens = F.transform(F.split("tokens", " "), lambda t: F.xxhash64(t))
+    texts = ws.stored(texts.drop("line", "first").withColumn("tokens", tokens), "leaf-lines")
+    formed = ws.stored(_forms(texts, ws, min_docs, leading, constant), "formed-lines")
     frequent = _once(formed, "form").groupBy("form").count().where(F.col("count") >= min_docs).select("form")
     formed = formed.join(ws.small(frequent, "frequent-forms"), "form")
 
@@ -202,16 +204,28 @@ def boilerplate(
     return dropped.groupBy("id", "h").agg(F.collect_set("idx").alias("lines"))
 
 
-def _forms(texts: DataFrame, leading: int, constant: float) -> DataFrame:
-    """Constant tokens ``(pos, token)`` of each leaf's common form, if there are enough."""
-    tokens = texts.select("leaf", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "token"))
-    counts = tokens.groupBy("leaf", "pos", "token").agg(
-        F.count(F.lit(1)).alias("k"), F.first("n").alias("n"), F.first("size").alias("size")
+def _forms(texts: DataFrame, ws: Workspace, min_docs: int, leading: int, constant: float) -> DataFrame:
+    """``id, h, idx, form, before, after``: each line with the forms that it has."""
+    own = ["id", "h", "idx", "leaf", "before", "after", "size"]
+    tokens = texts.select(*own, "n", F.posexplode("tokens").alias("pos", "token"))
+    counts = tokens.groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    level = F.floor(F.log2(F.col("k") / F.lit(min_docs)) + F.lit(1e-9)).cast("int")
+    counts = counts.where(F.col("k") >= min_docs).select(
+        "leaf", "pos", "token", level.alias("level"), (F.col("k") * 2 > F.col("n")).alias("most")
     )
-    same = counts.where(F.col("k") * 2 > F.col("n")).groupBy("leaf").agg(
-        F.collect_list(F.struct("pos", "token")).alias("form"), F.first("size").alias("size")
+    counts = ws.small(counts, "frequent-tokens", 300_000)
+    enough = F.greatest(F.lit(constant) * F.col("size"), F.lit(leading))
+    found = tokens.drop("n").join(counts, ["leaf", "pos", "token"]).groupBy(*own).agg(
+        F.array_sort(F.collect_set(F.struct("pos", "token", "level", "most"))).alias("found")
     )
-    return same.where(F.size("form") >= F.greatest(F.lit(constant) * F.col("size"), F.lit(leading))).select("leaf", "form")
+    found = found.where(F.size("found") >= enough)
+    levels = F.transform(
+        F.array_distinct(F.col("found.level")), lambda at: F.filter("found", lambda c: c["level"] >= at)
+    )
+    levels = F.concat(levels, F.array(F.filter("found", lambda c: c["most"])))
+    levels = F.array_distinct(F.transform(levels, lambda form: F.transform(form, lambda c: F.struct(c["pos"], c["token"]))))
+    formed = found.select(*own, F.explode(levels).alias("form")).where(F.size("form") >= enough)
+    return formed.select("id", "h", "idx", F.xxhash64("leaf", "form").alias("form"), "before", "after")
 
 
 def drop_lines(docs: DataFrame, **settings) -> DataFrame:

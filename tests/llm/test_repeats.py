@@ -255,6 +255,22 @@ def test_copies_do_not_hide_boilerplate(spark):
     assert len(found) == 100 and all(r.n_dropped == 1 and licence not in r.text for r in found)
 
 
+def test_several_templates_in_a_leaf(spark):
+    one = lambda i, k: words(i, k, 1)
+    shared = [
+        lambda i: f"This article was written by {one(i, 10)}",
+        lambda i: f"This article can displease {one(i, 11)} readers",
+    ]
+    rows = ["\n".join([words(i, 0), shared[i % 2](i), words(i, 1), words(i, 2)]) for i in range(40)]
+    # Ordinary lines of the same leaf, more than of both templates together.
+    plain = [f"This article {words(100 + i, 3, 4)}" for i in range(60)]
+    rows += ["\n".join([words(100 + i, 0), plain[i], words(100 + i, 1)]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
+    assert all(found[i].n_dropped == 1 and "article" not in found[i].text for i in range(40))
+    assert all(found[40 + i].n_dropped == 0 for i in range(60))
+
+
 def test_odd_rows_lines(odd, no_docs):
     left = line_dedup.drop_lines(odd)
     assert left.columns[:-2] == odd.columns and left.columns[-2:] == ["_n_lines", "n_dropped"]
