@@ -26,11 +26,14 @@ are the work of the near-duplicate stages. A document of whose lines less than
 nothing of its templates. Every line of a recurring template is dropped, the
 first one too.
 
-Only counts per line, leaf and position are shuffled, each summed before the
-shuffle. Lines are split at line feeds.
-
-Cases: null and empty texts have no lines and stay as they are; blank lines and
-lines of fewer than ``MIN_TOKENS`` tokens are kept and are not templates; a
+Counts per line, leaf and position are summed before they are shuffled; a
+document's lines meet as hashes, to find the own lines next to a template, and
+the tokens of lines in frequent leaves meet their counts. Lines are split at line feeds, tokens at white space; scripts that do
+not part words by spaces give a token for each character.
+
+Cases: null and empty texts have no lines and stay as they are; blank lines are
+kept; a line of fewer than ``MIN_TOKENS`` tokens has no common form, and is a
+template itself if it has a letter and ``SHORT_DOCS`` documents have it; a
 document counts once for a template however often it has it; rows that repeat
 count as documents of their own and get the same result; other columns stay.
 """
@@ -46,6 +49,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pairforge.llm.common import Workspace, arrow_map, free_name, id_key, text_key
 
 MIN_DOCS = 8
+SHORT_DOCS = 16
 MIN_TOKENS = 3
 LEADING = 2
 CONSTANT = 0.6
@@ -54,6 +58,13 @@ OWN = 0.2
 
 DIGIT = re.compile(r"\d")
 FIELD = "<*>"
+#: Letters of Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = (
+    "\u0e01-\u0e4e\u0e81-\u0ecf\u1000-\u103f\u1780-\u17d3\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\U00020000-\U0003ffff"
+)
+UNSPACED = re.compile(f"[{_UNSPACED}]")
+PIECE = re.compile(rf"[{_UNSPACED}]|[^{_UNSPACED}\s]+")
 
 
 def _hash(text: str) -> int:
@@ -63,14 +74,14 @@ def _hash(text: str) -> int:
 
 def masked(line: str) -> list[str]:
     """Tokens of a line, those with a digit as a variable field."""
-    tokens = line.split()
+    tokens = line.split() if line.isascii() or not UNSPACED.search(line) else PIECE.findall(line)
     if DIGIT.search(line):
         tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
     return tokens
 
 
-def all_lines(text: str, leading: int) -> list[tuple[int, int, int, int, int, str, int]]:
-    """Of each line that is not blank: number, line, leaf, leaf before and after, tokens and how many."""
+def all_lines(text: str, leading: int) -> list[tuple[int, int, int, int, int, str, int, bool]]:
+    """Of each line that is not blank: number, line, leaf, leaf before and after, tokens, how many, any letter."""
     found = []
     for i, line in enumerate(text.split("\n")):
         tokens = masked(line)
@@ -79,14 +90,14 @@ def all_lines(text: str, leading: int) -> list[tuple[int, int, int, int, int, st
             found.append((i, " ".join(tokens), leaf, len(tokens)))
     leaves = [0, *[f[2] for f in found], 0]
     return [
-        (i, _hash(line), leaf, leaves[k], leaves[k + 2], line, n)
+        (i, _hash(line), leaf, leaves[k], leaves[k + 2], line, n, any(map(str.isalpha, line)))
         for k, (i, line, leaf, n) in enumerate(found)
     ]
 
 
 def parsed(text: str, leading: int, min_tokens: int) -> list[tuple[int, int, int, int, int, str]]:
     """Of each line that can be a template: number, line, leaf, leaf before and after, tokens."""
-    return [line[:-1] for line in all_lines(text, leading) if line[-1] >= min_tokens]
+    return [line[:6] for line in all_lines(text, leading) if line[6] >= min_tokens]
 
 
 def _lines(docs: DataFrame, leading: int, with_text: bool) -> DataFrame:
@@ -103,7 +114,7 @@ def _lines(docs: DataFrame, leading: int, with_text: bool) -> DataFrame:
                     seen.add(line[1])
             if rows:
                 at = pa.array(rows)
-                names = ("idx", "line", "leaf", "before", "after", "tokens", "size", "first")
+                names = ("idx", "line", "leaf", "before", "after", "tokens", "size", "letter", "first")
                 columns = dict(zip(names, zip(*out)))
                 if not with_text:
                     del columns["tokens"]
@@ -111,7 +122,7 @@ def _lines(docs: DataFrame, leading: int, with_text: bool) -> DataFrame:
 
         return each
 
-    schema = "id bigint, h bigint, idx int, line bigint, leaf bigint, before bigint, after bigint, size int, first boolean"
+    schema = "id bigint, h bigint, idx int, line bigint, leaf bigint, before bigint, after bigint, size int, letter boolean, first boolean"
     schema += ", tokens string" if with_text else ""
     return arrow_map(docs.select(id_key().alias("id"), text_key().alias("h"), "text"), make, schema)
 
@@ -173,8 +184,12 @@ def boilerplate(
     """``id, h, lines``: numbers of the lines to drop in each document that has some."""
     every = ws.stored(_lines(docs, leading, False), "lines")
     lines = every.where(F.col("size") >= min_tokens)
-    often = lines.where("first").groupBy("line").count().where(F.col("count") >= min_docs).select("line")
-    often = lines.join(ws.small(often, "frequent-lines"), "line")
+    once = every.where("first").groupBy("line").agg(
+        F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("letter").alias("letter")
+    )
+    long, short = F.col("size") >= min_tokens, F.col("letter") & (F.col("n") >= max(SHORT_DOCS, min_docs))
+    often = once.where((F.col("n") >= min_docs) & (long | short)).select("line")
+    often = every.join(ws.small(often, "frequent-lines"), "line")
     exact = ws.small(_recurring(often.where("first"), "line", min_docs, same_place), "line-templates")
 
     rest = lines.join(exact, "line", "left_anti")
@@ -183,7 +198,7 @@ def boilerplate(
     texts = _lines(docs, leading, True).where(F.col("size") >= min_tokens)
     texts = texts.join(exact, "line", "left_anti").join(hot, "leaf")
     tokens = F.transform(F.split("tokens", " "), lambda t: F.xxhash64(t))
-    texts = ws.stored(texts.drop("line", "first").withColumn("tokens", tokens), "leaf-lines")
+    texts = ws.stored(texts.drop("line", "letter", "first").withColumn("tokens", tokens), "leaf-lines")
     formed = ws.stored(_forms(texts, ws, min_docs, leading, constant), "formed-lines")
     frequent = _once(formed, "form").groupBy("form").count().where(F.col("count") >= min_docs).select("form")
     formed = formed.join(ws.small(frequent, "frequent-forms"), "form")

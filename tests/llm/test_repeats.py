@@ -271,6 +271,18 @@ def test_several_templates_in_a_leaf(spark):
     assert all(found[40 + i].n_dropped == 0 for i in range(60))
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    han = lambda i, k: "".join(chr(0x4E00 + (7919 * (i + 1) + 104_729 * k + 613 * j) % 20_000) for j in range(12))
+    thai, footer = "สงวนลิขสิทธิ์ทุกประการ", "版权所有第{}页不得转载本文"
+    rows = ["\n".join([words(i, 0), "Read more", words(i, 1), "42", words(i, 2), "Log in"]) for i in range(20)]
+    rows += ["\n".join([han(i, 0), han(i, 1) + "7", footer.format(i), han(i, 2), thai, han(i, 3)]) for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in line_dedup.drop_lines(df).collect()}
+    for i in range(20):
+        assert found[i].text == "\n".join([words(i, 0), words(i, 1), "42", words(i, 2)])
+        assert found[20 + i].text == "\n".join([han(i, 0), han(i, 1) + "7", han(i, 2), han(i, 3)])
+
+
 def test_odd_rows_lines(odd, no_docs):
     left = line_dedup.drop_lines(odd)
     assert left.columns[:-2] == odd.columns and left.columns[-2:] == ["_n_lines", "n_dropped"]
