@@ -19,17 +19,17 @@ more than ``SAME_PLACE`` of these documents on both sides. This is asked of the
 lines next to it and, as a header or footer of several lines is one unit, of the
 nearest own lines: those that are of no frequent template. It also recurs if
 ``MIN_DOCS`` different pairs of nearest own lines stand around it, however many
-copies of one document have it too. Lines of copied
-documents keep their neighbours, so copies do not make a line boilerplate; they
-are the work of the near-duplicate stages. A document of whose lines less than
-``OWN`` are its own is taken for a copy, and its own lines (edits, mostly) say
-nothing of its templates. Every line of a recurring template is dropped, the
-first one too.
+copies of one document have it too. Lines of copied documents keep their
+neighbours, so copies do not make a line boilerplate; they are the work of the
+near-duplicate stages. A document of whose lines less than ``OWN`` are its own
+is taken for a copy, and its own lines (edits, mostly) say nothing of its
+templates. Every line of a recurring template is dropped, the first one too.
 
 Counts per line, leaf and position are summed before they are shuffled; a
 document's lines meet as hashes, to find the own lines next to a template, and
-the tokens of lines in frequent leaves meet their counts. Lines are split at line feeds, tokens at white space; scripts that do
-not part words by spaces give a token for each character.
+the tokens of lines in frequent leaves meet their counts. Lines are split at
+line feeds, tokens at white space; scripts that do not part words by spaces
+give a token for each character.
 
 Cases: null and empty texts have no lines and stay as they are; blank lines are
 kept; a line of fewer than ``MIN_TOKENS`` tokens has no common form, and is a
