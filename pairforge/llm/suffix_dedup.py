@@ -7,9 +7,10 @@ here is a table of such suffixes in the order of a 64-bit fingerprint of their
 first ``SEED`` bytes and then of a second one of the whole stretch of strings
 that share the anchor.
 
-Documents come in ``BATCHES`` batches. Each gets its array; the array is merge-
-scanned against all existing levels, which finds the fingerprints that occur
-again; then it becomes level 0, and two levels of equal size merge to the next
+Documents come in ``BATCHES`` batches. Each gets its array; the fingerprints of
+the array and of all existing levels are united and counted by hash, which finds
+those that occur again (no merge scan: the order of the levels is not used, and
+is one of hashes, not of bytes); then it becomes level 0, and two levels of equal size merge to the next
 when another batch comes. After the last batch every repeated anchor is known.
 
 What remains is exact and small: suffixes with a repeated anchor fall into
@@ -185,7 +186,7 @@ class SuffixFamily:
         self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, array: DataFrame, last: bool = False) -> DataFrame:
-        """Merge-scan a new array against all levels; returns its repeated fingerprints.
+        """Count a new array's fingerprints with those of all levels; returns its repeated ones.
 
         Unless it is the ``last``, levels of equal size are merged afterwards.
         """
