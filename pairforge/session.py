@@ -65,10 +65,16 @@ def stored(df: DataFrame, name: str = "stored") -> DataFrame:
     and its size is known to the optimizer.
     """
     path = fresh_path(df.sparkSession, name)
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Lists that gather the paths of stored tables; whoever adds one deletes them.
+owners: list[list[str]] = []
+
+
 def small_side(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
     """Store one side of a join and broadcast it only if it is counted small.
 
