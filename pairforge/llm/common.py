@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pairforge.session import fresh_path
+from pairforge.session import fresh_path, owners
 
 #: Odd 64-bit multipliers of a public integer mixer (fixed values).
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -53,7 +53,9 @@ def free_name(df: DataFrame, name: str) -> str:
 class Workspace:
     """Intermediate tables of one call, deleted together at its end.
 
-    ``keep`` writes a table that outlives the workspace: the result.
+    ``keep`` writes a table that outlives the workspace: the result. Inside
+    another workspace the result belongs to that one. Tables that ``stored``
+    of the session writes meanwhile belong to it as well.
     """
 
     def __init__(self, spark: SparkSession):
@@ -61,9 +63,11 @@ class Workspace:
         self.paths: list[str] = []
 
     def __enter__(self) -> "Workspace":
+        owners.append(self.paths)
         return self
 
     def __exit__(self, *_) -> None:
+        del owners[next(i for i, paths in enumerate(owners) if paths is self.paths)]
         for path in self.paths:
             self._delete(path)
 
@@ -87,7 +91,11 @@ class Workspace:
         return out
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return _written(df, fresh_path(self.spark, name))
+        path = fresh_path(self.spark, name)
+        above = [paths for paths in owners if paths is not self.paths]
+        if above:
+            above[-1].append(path)
+        return _written(df, path)
 
     def small(self, df: DataFrame, name: str, max_rows: int = 100_000, weight: Column | None = None) -> DataFrame:
         """Store a side of a join; broadcast it only if it is counted small.
@@ -155,6 +163,19 @@ def ascii_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False), of_text
 
 
+def text_slices(texts: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 2_000) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of texts: at most so many rows and bytes, or one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at, n = 0, len(ends)
+    while at < n:
+        before = ends[at] - sizes[at]
+        end = int(np.searchsorted(ends, before + most_bytes, side="right"))
+        end = min(max(end, at + 1), at + most_rows, n)
+        yield at, end - at
+        at = end
+
+
 def with_fields(schema: T.StructType, extra: str) -> T.StructType:
     """A schema and the fields of a DDL string after it."""
     return T.StructType([*schema.fields, *T._parse_datatype_string(extra).fields])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairforge.llm import (
-    ann, bpe, embed_dedup, langid, line_dedup, minhash, packing, quality, suffix_dedup, warc,
+    ann, bpe, embed_dedup, langid, line_dedup, minhash, packing, quality, resampling, suffix_dedup,
+    token_files, warc, whitening,
 )
 from pairforge.llm.common import table
 
@@ -63,11 +64,25 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op12_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_nn_descent, op2_suffix_dedup, op3_concat_packing, op4_word_bpe, op5_chosen_path, op6_rule_quality,
-        op7_capture_index, op8_language_id, op9_sorted_passes, op10_line_templates,
+        op7_capture_index, op8_language_id, op9_sorted_passes, op10_line_templates, op11_token_files,
+        op12_polarisation_whitening, op13_prefix_crc_resampling,
     )
 }
 #: None of the queries can be said in SQL over whole tables; tests compare each with a plain version.
