@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Workspace(spark) as ws:
         for name, stage in STAGES[:-1]:
             docs = ws.stored(stage(spark, docs, sf_dir), f"stage-{name}")
-        return STAGES[-1][1](spark, docs, sf_dir)
+        # The stages' own results belong to this workspace; only the pieces stay.
+        return ws.keep(STAGES[-1][1](spark, docs, sf_dir), "pieces")

@@ -12,12 +12,14 @@ costs ``SWITCH``; that labels the spans of mixed texts. The text's language is
 the one with most letters, its score their share.
 
 Words are the pieces between white space in lower case. Each distinct word of
-a batch is scored once; the search steps through all texts of a batch at once.
+a slice is scored once; the search steps through all texts of a slice at once.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; words
 without a letter take the language around them; ties go to the language first
 in alphabetical order; a null ``lang`` is not learned; without any learned
-language every text is ``und``; rows that repeat get the same result.
+language every text is ``und``; rows that repeat get the same result; texts are searched
+whole, in slices of ``TOGETHER`` bytes, and a very long one alone; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pairforge.llm.common import arrow_map, held_out, mix, with_fields
+from pairforge.llm.common import arrow_map, held_out, mix, text_slices, with_fields
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -40,8 +42,9 @@ SMOOTH = 0.1
 SCRIPT_SHARE = 0.001
 #: Score of a language that does not use a word's script.
 FOREIGN = -1000.0
-#: Texts that are searched together.
-TOGETHER = 2_000
+#: Texts that are searched together: at most so many bytes, or one text. Their
+#: n-grams take some sixty times as much memory.
+TOGETHER = 512 << 10
 
 #: First and last code points of script ranges (fixed values, from Unicode).
 SCRIPTS = [
@@ -89,7 +92,7 @@ class Words:
         if len(distinct):
             self.letters = np.add.reduceat((script >= 0).astype(np.int64), self.starts)
             self.script = np.maximum.reduceat(script, self.starts).astype(np.int64)
-        grams, owners = [], []
+        grams, owners = [], []  # of 32 bits: they are the bulk of what a slice holds
         key = np.zeros(len(points), dtype=np.uint64)
         for order in range(1, max(ORDERS) + 1):
             n = len(points) - order + 1
@@ -98,10 +101,10 @@ class Words:
             key = mix(key[:n] ^ mix(points[order - 1 :].astype(np.uint64) + np.uint64(order)))
             if order in ORDERS:
                 inside = of_word[:n] == of_word[order - 1 :]
-                grams.append((key[inside] % np.uint64(BUCKETS)).astype(np.int64))
-                owners.append(of_word[:n][inside])
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.int64)
-        self.owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+                grams.append((key[inside] % np.uint64(BUCKETS)).astype(np.int32))
+                owners.append(of_word[:n][inside].astype(np.int32))
+        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.int32)
+        self.owners = np.concatenate(owners) if owners else np.zeros(0, np.int32)
 
 
 def learn(docs: DataFrame) -> "Model":
@@ -117,9 +120,9 @@ def learn(docs: DataFrame) -> "Model":
             codes = langs.indices.to_numpy(zero_copy_only=False)
             size = BUCKETS + len(NAMES)
             total = np.zeros((len(langs.dictionary), size), dtype=np.int64)
-            for at in range(0, batch.num_rows, TOGETHER):
-                w = Words(batch.column(1).slice(at, TOGETHER))
-                of_text = np.repeat(codes[at : at + TOGETHER], w.sizes)
+            for at, n in text_slices(batch.column(1), TOGETHER):
+                w = Words(batch.column(1).slice(at, n))
+                of_text = np.repeat(codes[at : at + n], w.sizes)
                 for k in np.unique(of_text):
                     times = np.bincount(w.codes[of_text == k], minlength=len(w.script))
                     total[k, :BUCKETS] += np.bincount(
@@ -221,10 +224,9 @@ def with_language(
         names = np.array([*m.langs, "und"], dtype=object)
 
         def each(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
+            for at, n in text_slices(batch.column(text), TOGETHER):
+                some = batch.slice(at, n)
                 w = Words(some.column(text))
-                n = some.num_rows
                 of_text = np.repeat(np.arange(n), w.sizes)
                 letters_ = w.letters[w.codes]
                 total = np.bincount(of_text, weights=letters_, minlength=n)

@@ -31,8 +31,10 @@ from pairforge.operators.position import prefix_sums
 
 LIMIT = 1024
 END_ID = 0
-#: Pieces of text that one worker remembers.
-CACHE = 1_000_000
+#: Pieces of text that one worker remembers, each of at most so many
+#: characters: together below 64 MB.
+CACHE = 1 << 18
+CACHED = 48
 
 
 class PieceTokenizer:
@@ -87,9 +89,11 @@ class PieceTokenizer:
         word, _, line = p.partition("\n")
         if line and word and not word[-1].isspace() and not line[0].isspace():
             return (self.known.get(word) or self._piece(word)) + self._new("\n" + line)
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        ids = self.known[p] = self._new(" " + p)
+        ids = self._new(" " + p)
+        if len(p) <= CACHED:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[p] = ids
         return ids
 
 

@@ -13,7 +13,8 @@ Cases: null and empty texts have the statistics of an empty text and are
 scored like any other; null labels, and labels of ids without a document, are
 not learned; an id with several labels counts with each; without labels of
 both kinds every score is the share of label 1, or 0.5 without any label; rows
-that repeat get the same score; other columns are never read.
+that repeat get the same score; texts are read whole, in slices of ``TOGETHER``
+bytes, and a very long one alone; other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairforge.llm.common import Workspace, arrow_map, held_out
+from pairforge.llm.common import Workspace, arrow_map, held_out, text_slices
 
 TREES = 24
 DEPTH = 3
@@ -34,7 +35,8 @@ LASSO = 5e-4
 ITERATIONS = 60
 SEED = 7
 GOOD = 0.7
-TOGETHER = 2_000
+#: Bytes of text whose statistics are worked out together, or one text.
+TOGETHER = 1 << 20
 
 STATISTICS = (
     "n_words", "word_length", "upper", "digits", "symbols", "exclaims", "bars", "commas", "stops",
@@ -110,8 +112,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
+            for at, n in text_slices(batch.column(2), TOGETHER):
+                some = batch.slice(at, n)
                 found = statistics(some.column(2))
                 yield {"doc_id": some.column(0), "held_out": some.column(1)} | found
 
