@@ -1,96 +1,106 @@
 """Corpus BLEU without smoothing, overall, by group and running.
 
-Texts are shuffled once by row id. All n-gram work then stays inside that
-partitioning: the counts per (id, n, gram) and the sums per id need no second
-exchange, so the many times larger n-gram rows never cross the network. The
-key holds the id, so a frequent word is no hot spot.
+The texts never move. Where they are scanned, each row is reduced to ten counts:
+its words get numbers, an n-gram is the number of the shorter run before it and
+of one more word, numbered again, so every key has one fixed width and no n-gram
+is ever built as a string or a row. Only the counts are summed across tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from pairforge.functions.words import MAX_N, add_ngrams, gram_count, words
+from pairforge.functions.words import MAX_N, split_words
+from pairforge.operators.arrow import map_batches, slices
 from pairforge.operators.position import running_totals, with_position
+from pairforge.session import stored
 
-SPREAD = 4
 ORDERS = range(1, MAX_N + 1)
 COUNTS = [f"match{n}" for n in ORDERS] + [f"total{n}" for n in ORDERS] + ["pred_len", "ref_len"]
 
 
-def _tokens(text: Column) -> Column:
-    return F.coalesce(words(text), F.array().cast("array<string>"))
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word of all texts, equal for equal words, and its text."""
+    flat, of_text = split_words(texts)
+    return flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), of_text
+
+
+def _highest(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, each with its highest count."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.maximum.reduceat(counts, first)
+
+
+def text_counts(pred: pa.Array, refs: pa.Array) -> list[np.ndarray]:
+    """``COUNTS`` of each row; ``refs`` has a list of texts per row."""
+    n = len(pred)
+    n_refs = pc.fill_null(pc.list_value_length(refs), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    every = pa.concat_arrays([pred.cast(pa.large_string()), refs.flatten().cast(pa.large_string())])
+    row_of = np.r_[np.arange(n), np.repeat(np.arange(n), n_refs)]
+    word, of_text = _numbered(every)
+    lengths = np.bincount(of_text, minlength=len(every))
+    shortest = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(shortest, row_of[n:], lengths[n:])
+    matches, totals = [], []
+    gram, n_words = word, int(word.max(initial=-1)) + 1
+    for order in ORDERS:
+        if order > 1:
+            whole = of_text[: max(len(of_text) - order + 1, 0)] == of_text[order - 1 :]
+            # The shorter runs, cut to those one more word of the text follows.
+            longer = gram[: len(whole)] * n_words + word[order - 1 :]
+            gram = np.full(len(whole), -1)
+            gram[whole] = np.unique(longer[whole], return_inverse=True)[1]
+        at = np.flatnonzero(gram >= 0)
+        kinds = int(gram.max(initial=-1)) + 1
+        keys, times = np.unique(of_text[at] * kinds + gram[at], return_counts=True)
+        text, kind = np.divmod(keys, max(kinds, 1))
+        own = text < n
+        row_keys = row_of[text] * kinds + kind
+        wanted, most = _highest(row_keys[~own], times[~own])
+        place = np.searchsorted(wanted, row_keys[own])
+        there = place < len(wanted)
+        there[there] = wanted[place[there]] == row_keys[own][there]
+        shared = np.minimum(times[own][there], most[place[there]])
+        matches.append(np.bincount(text[own][there], weights=shared, minlength=n).astype(np.int64))
+        totals.append(np.maximum(lengths[:n] - order + 1, 0))
+    return [*matches, *totals, lengths[:n], np.where(n_refs > 0, shortest, 0)]
 
 
-def _placed_grams(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per n-gram of the word lists ``_p`` and ``_r``, with its order
-    and side told from its place in the joined array."""
-    sized = df.withColumns({"_lp": F.size("_p"), "_lr": F.size("_r")})
-    listed = add_ngrams(add_ngrams(sized, "_p"), "_r")
-    arrays = [f"{side}{'' if n == 1 else n}" for side in ("_p", "_r") for n in ORDERS]
-    rows = listed.select(*keys, "_lp", "_lr", F.posexplode_outer(F.concat(*arrays)).alias("_at", "gram"))
-    n_pred = sum((gram_count(F.col("_lp"), n) for n in ORDERS), F.lit(0))
-    rows = rows.withColumn("in_pred", F.col("_at") < n_pred)
-    place = F.col("_at") - F.when(F.col("in_pred"), 0).otherwise(n_pred)
-    length = F.when(F.col("in_pred"), F.col("_lp")).otherwise(F.col("_lr"))
-    order, upto = F.lit(1), F.lit(0)
-    for n in ORDERS[:-1]:
-        upto = upto + gram_count(length, n)
-        order = order + (place >= upto).cast("int")
-    return rows.withColumn("n", order)
-
-
-def ngram_counts(
+def row_counts(
     df: DataFrame, key: str, prediction: str, reference: str, carry: list[str] = ()
 ) -> DataFrame:
-    """Per row and n-gram: occurrences in the prediction and in the reference.
+    """Per row: clipped matches and possible matches for n = 1 to 4, and lengths.
 
     ``reference`` is a string, or an array of strings of which the highest
-    count and the shortest length are taken. Rows without any word keep one
-    row with null ``gram``.
+    count and the shortest length are taken. Texts without any word have zeros.
     """
     keys = [key, *carry]
     several = df.schema[reference].dataType.typeName() == "array"
-    texts = df.select(*keys, F.col(prediction).alias("_p"), F.col(reference).alias("_r"))
-    # A fixed number, as adaptive execution would size partitions by the texts
-    # and not by the n-grams, which are some thirty times larger.
-    n = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = texts.repartition(n, key)
-    if several:
-        texts = texts.select(*keys, "_p", F.posexplode_outer("_r").alias("_ref", "_r"))
-        keys = [*keys, "_ref"]
-    tokens = texts.select(*keys, _tokens(F.col("_p")).alias("_p"), _tokens(F.col("_r")).alias("_r"))
-    is_pred = F.col("in_pred")
-    # Order and lengths follow from row and n-gram; as aggregates they keep the
-    # keys of the largest hash table short.
-    counted = _placed_grams(tokens, keys).groupBy(*keys, "gram").agg(
-        F.count_if(is_pred).alias("in_pred"), F.count_if(~is_pred).alias("in_ref"),
-        *[F.max(c).alias(c) for c in ("n", "_lp", "_lr")],
-    )
-    if several:
-        counted = counted.groupBy(key, *carry, "gram").agg(
-            *[F.max(c).alias(c) for c in ("in_pred", "in_ref", "n", "_lp")],
-            F.min("_lr").alias("_lr"),
-        )
-    return counted
+    refs = F.col(reference) if several else F.array(reference)
+    texts = df.select(*keys, F.col(prediction).alias("_p"), refs.alias("_r"))
 
+    def make():
+        def each(batch: pa.RecordBatch):
+            pred, refs_ = batch.column(len(keys)), batch.column(len(keys) + 1)
+            inside = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(refs_.flatten()), 0).to_numpy(zero_copy_only=False))]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(refs_), 0).to_numpy(zero_copy_only=False))
+            sizes = np.diff(inside[np.r_[0, ends]].astype(np.int64))
+            sizes = sizes + pc.fill_null(pc.binary_length(pred), 0).to_numpy(zero_copy_only=False)
+            for at, n in slices(sizes):
+                kept = [batch.column(i).slice(at, n) for i in range(len(keys))]
+                yield kept + text_counts(pred.slice(at, n), refs_.slice(at, n))
 
-def row_counts(
-    df: DataFrame, key: str, prediction: str, reference: str, carry: list[str] = ()
-) -> DataFrame:
-    """Per row: clipped matches and possible matches for n = 1 to 4, and lengths."""
-    grams = ngram_counts(df, key, prediction, reference, carry)
-    clipped = F.least("in_pred", "in_ref")
-
-    def over(n: int, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
-
-    return grams.groupBy(key, *carry).agg(
-        *[over(n, clipped).alias(f"match{n}") for n in ORDERS],
-        *[over(n, F.col("in_pred")).alias(f"total{n}") for n in ORDERS],
-        F.max("_lp").cast("bigint").alias("pred_len"),
-        F.min("_lr").cast("bigint").alias("ref_len"),
-    )
+        return each
+
+    fields = [df.schema[k] for k in keys] + [T.StructField(c, T.LongType()) for c in COUNTS]
+    return map_batches(texts, make, T.StructType(fields))
 
 
 def score() -> Column:
@@ -122,14 +132,13 @@ def running_bleu(
 ) -> DataFrame:
     """BLEU of all rows so far after each full block of ``every`` rows.
 
-    ``key`` is a unique integer in dataset order. Rows are numbered by the key
-    alone and the numbers meet the counts of each row; the texts move once.
+    ``key`` is a unique integer in dataset order. The counts of the rows are
+    written, numbered by the key and summed by block; texts are read once.
     """
-    place = with_position(df.select(key), key, "_pos")
+    counted = stored(row_counts(df, key, prediction, reference), "row-counts")
     block = F.floor(F.col("_pos") / every)
     blocks = (
-        row_counts(df, key, prediction, reference)
-        .join(place, key)
+        with_position(counted, key, "_pos")
         .groupBy(block.alias("block"))
         .agg(F.count(F.lit(1)).alias("in_block"), *[F.sum(c).alias(f"_{c}") for c in COUNTS])
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairforge.functions.text import length_ratio
 from pairforge.operators.position import running_totals, with_batch
+from pairforge.session import balanced
 
 # Defaults of the published build.
 MIN_GAP = 2
@@ -62,8 +63,7 @@ def classify(
     few or long texts lie together.
     """
     if spread_by:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(tasks, spread_by)
+        df = balanced(df, spread_by)
     p1, p2, tgt = F.col(pred1), F.col(pred2), F.col(target)
     broken = F.col(source).isNull() | tgt.isNull()
     if error:

@@ -2,24 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairforge.functions.text import EOS, PAD, SEP, SEP_ID
+from pairforge.functions.words import split_words
+from pairforge.operators.arrow import map_batches, slices
 from pairforge.operators.position import ranked
+from pairforge.session import stored
 
-# Frequent tokens that are broadcast: at most HEAD rows of at most HEAD_CHARS
-# characters, so at most about 50 MB whatever the corpus.
-HEAD = 50_000
-HEAD_CHARS = 256
+# Frequent tokens that are broadcast: at most HEAD rows of at most HEAD_BYTES
+# bytes, so at most some 40 MB whatever the corpus.
+HEAD = 1 << 19
+HEAD_BYTES = 64
 
 # Published limits.
 MAX_TOKENS = 256
 MAX_PROMPT = 128
 
 
+def add_words(df: DataFrame, text: str, specials: Sequence[str] = (), name: str = "tokens") -> DataFrame:
+    """Replace the column ``text`` by the list of its words.
+
+    Special tokens stay whole, and the text on either side of one is split by
+    itself. Rows stay where they are; a null text has no words.
+    """
+    place = df.columns.index(text)
+    marks = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            sizes = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+            for at, n in slices(sizes):
+                some = batch.slice(at, n)
+                parts, of_row, whole = some.column(place), np.arange(n), None
+                if marks:
+                    cut = [marks.split(t or "") for t in parts.to_pylist()]
+                    parts = pa.array([p for c in cut for p in c], pa.large_string())
+                    of_row = np.repeat(of_row, [len(c) for c in cut])
+                    whole = np.concatenate([np.arange(len(c)) % 2 == 1 for c in cut])
+                flat, of_part = split_words(parts, whole)
+                ends = np.r_[0, np.cumsum(np.bincount(of_row[of_part], minlength=n))].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), flat.cast(pa.string()))
+                yield [lists if i == place else some.column(i) for i in range(some.num_columns)]
+
+        return each
+
+    words = T.StructField(name, T.ArrayType(T.StringType()))
+    return map_batches(df, make, T.StructType([words if f.name == text else f for f in df.schema.fields]))
+
+
 def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """Ids from 0 by falling frequency, then by token, of an array column."""
     # The outer form, as for the plain one Spark filters empty arrays first and
@@ -59,33 +97,57 @@ def encode(
 ) -> DataFrame:
     """``key`` and ``ids``: the ids of the words in ``tokens``, in their order.
 
-    Texts are laid out by ``key`` once. Tokens with a low id, the frequent
-    ones, are looked up in a broadcast table of bounded size and never leave
-    that layout. Only the rare tokens are shuffled by word, and as they are
-    rare no word is a hot spot. Words outside the vocabulary become
-    ``unknown`` or are left out.
+    Tokens with a low id, the frequent ones, are looked up where the rows lie,
+    in a broadcast table of bounded size; each distinct word of a batch once.
+    Only what that table lacks becomes rows and is shuffled by word, and as
+    those words are rare none is a hot spot. Words outside the vocabulary
+    become ``unknown`` or are left out. ``key`` must be unique.
     """
-    frequent = (F.col("token_id") < head) & (F.length("token") <= HEAD_CHARS)
-    near = F.broadcast(vocab.where(frequent).select("token", "token_id"))
-    far = vocab.where(~frequent).select("token", "token_id")
-    # Both branches start from this exchange, which Spark runs once.
-    laid = df.select(key, F.col(tokens).alias("_tokens")).repartition(key)
-    words = laid.select(key, F.posexplode_outer("_tokens").alias("_at", "token"))
-    spot = F.struct(F.col("_at"), F.col("token_id"))
-    found = words.join(near, "token", "left").groupBy(key).agg(
-        F.collect_list(F.when(F.col("token_id").isNotNull(), spot)).alias("_near")
+    frequent = (F.col("token_id") < head) & (F.octet_length("token") <= HEAD_BYTES)
+    near = vocab.where(frequent).select("token", "token_id").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(
+        (near.column("token").combine_chunks(), near.column("token_id").combine_chunks())
+    )
+
+    def make():
+        known, numbers = shared.value
+
+        def each(batch: pa.RecordBatch):
+            lists = batch.column(1)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            words = lists.flatten().dictionary_encode()
+            of_kind = numbers.take(pc.index_in(words.dictionary, value_set=known))
+            ids = of_kind.take(words.indices)
+            missed = np.flatnonzero(pc.and_(pc.is_null(ids), pc.is_valid(words.indices)).to_numpy(zero_copy_only=False))
+            ends = np.r_[0, np.cumsum(n)].astype(np.int32)
+            at = missed - ends[np.searchsorted(ends, missed, side="right") - 1]
+            spots = pa.StructArray.from_arrays(
+                [pa.array(at, pa.int32()), words.dictionary.take(words.indices.take(pa.array(missed)))], ["_at", "token"]
+            )
+            cuts = np.searchsorted(missed, ends).astype(np.int32)
+            yield [
+                batch.column(0), pa.ListArray.from_arrays(pa.array(ends), ids),
+                pa.ListArray.from_arrays(pa.array(cuts), spots),
+            ]
+
+        return each
+
+    schema = T.StructType(
+        [df.schema[key], *T._parse_datatype_string("_near array<bigint>, _missed array<struct<_at:int,token:string>>").fields]
     )
-    rest = words.where(F.col("token").isNotNull()).join(near, "token", "left_anti")
+    found = stored(map_batches(df.select(key, tokens), make, schema), "looked-up")
+    real = F.filter("_near", lambda x: x.isNotNull())
+    if not found.agg(F.max(F.size("_missed"))).first()[0]:
+        return found.select(key, real.alias("ids"))
+    far = vocab.where(~frequent).select("token", "token_id")
+    rest = found.select(key, F.explode("_missed").alias("m")).select(key, "m.*")
     rest = rest.join(far, "token", "inner" if unknown is None else "left")
-    if unknown is not None:
-        rest = rest.withColumn("token_id", F.coalesce("token_id", F.lit(unknown).cast("bigint")))
-    late = rest.groupBy(key).agg(F.collect_list(spot).alias("_far"))
-    none = F.array().cast("array<struct<_at:int,token_id:bigint>>")
-    both = F.sort_array(F.concat(F.col("_near"), F.coalesce("_far", none)))
-    # Every key of ``late`` is in ``found``. A left join would let Spark filter
-    # one side for null keys, and then it would not run the exchange once.
-    return found.join(late, key, "full").select(
-        key, F.transform(both, lambda x: x["token_id"]).alias("ids")
+    number = F.col("token_id") if unknown is None else F.coalesce("token_id", F.lit(unknown).cast("bigint"))
+    late = rest.groupBy(key).agg(F.collect_list(F.struct("_at", number.alias("token_id"))).alias("_far"))
+    placed = F.transform("_near", lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("_at"), x.alias("token_id"))))
+    both = F.sort_array(F.concat(F.filter(placed, lambda x: x.isNotNull()), F.coalesce("_far", F.array())))
+    return found.join(late, key, "left").select(
+        key, F.when(F.col("_far").isNull(), real).otherwise(F.transform(both, lambda x: x["token_id"])).alias("ids")
     )
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pairforge.functions.text import EOS, PAD, SEP, WHITESPACE
-from pairforge.functions.words import SPACES, UNESCAPE
+from pairforge.functions.words import UNESCAPE
 from pairforge.plans.grid import CATEGORIES, FAMILIES
 from pairforge.queries import views
 
 BATCH = 8
 LIMIT = 256
+#: What Python's split() parts words at, by its own account.
+SPACES = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]+"
 BEST = "bleu_score DESC, experiment"
 
 # The published 13a rules in RE2 form.

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairforge.functions.text import EOS, PAD, SEP, training_text
-from pairforge.functions.words import words, words_and_specials
-from pairforge.operators.tokens import encode, vocabulary, with_specials
+from pairforge.operators.tokens import add_words, encode, vocabulary, with_specials
 from pairforge.session import spread, stored
 
 # Texts shared by both engines. Turn numbers stay below 2**32, so a pair id is
@@ -144,27 +143,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", words(F.col("text")).alias("tokens"))
+    return add_words(documents(spark, sf_dir).select("doc_id", "text"), "text")
 
 
 def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as references and an edited copy as predictions."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", "lang", "text", F.replace("text", F.lit(" the "), F.lit(" a ")).alias("pred")
     )
 
 
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = document_words(spark, sf_dir)
+    tokens = stored(document_words(spark, sf_dir), "words")
     return encode(tokens, "doc_id", "tokens", vocabulary(tokens))
 
 
 def encoded_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Training texts of the pairs as ids, and the vocabulary."""
-    tokens = pairs(spark, sf_dir).select(
-        "pair_id",
-        words_and_specials(training_text(F.col("src"), F.col("tgt")), [SEP, EOS]).alias("tokens"),
-    )
+    texts = pairs(spark, sf_dir).select("pair_id", training_text(F.col("src"), F.col("tgt")).alias("text"))
+    tokens = stored(add_words(texts, "text", [SEP, EOS]), "words")
     vocab = with_specials(vocabulary(tokens))
     return stored(encode(tokens, "pair_id", "tokens", vocab), "encoded"), vocab
 

@@ -84,13 +84,21 @@ def small_side(df: DataFrame, name: str, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by ``keys``, in as many tasks as their bytes call for.
+
+    Adaptive execution joins small partitions and splits large ones, hot keys
+    too, so the number of tasks follows the data and not a setting.
+    """
+    return df.hint("rebalance", *keys)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows of a scan out to all tasks if its files give too few.
 
     For work that costs far more per byte than a shuffle. A table of many
     files has splits enough and is left as it is. ``keys`` should be unique.
     """
-    spark = scan.sparkSession
-    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
         return scan
-    return scan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return balanced(scan, *keys)

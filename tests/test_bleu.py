@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 
 from pairforge.operators import bleu
 
@@ -92,11 +93,31 @@ def test_group_of_empty_texts_is_kept(spark):
     assert bleu.corpus_bleu(df, "id", "p", "r", ["g"]).collect()[0]["bleu"] == 0.0
 
 
-def test_ngrams_are_not_shuffled(spark, physical):
+def test_texts_and_ngrams_never_move(spark, physical):
     df = spark.createDataFrame([], "id bigint, p string, r string")
-    plan = physical(bleu.row_counts(df, "id", "p", "r"))
-    assert plan.count("Exchange") == 1
-    assert "Exchange hashpartitioning(id" in plan
+    assert physical(bleu.row_counts(df, "id", "p", "r")).count("Exchange") == 0
+
+
+def test_rows_of_lists_of_any_length(spark):
+    rows = [(1, "a b", None), (2, "a b", []), (3, "a b", [None, "a b c"]), (4, None, ["x"]), (5, "a a a", ["a", "a a"])]
+    df = spark.createDataFrame(rows, "id bigint, p string, r array<string>").repartition(2)
+    got = {r["id"]: r for r in bleu.row_counts(df, "id", "p", "r").collect()}
+    assert [got[i]["ref_len"] for i in range(1, 6)] == [0, 0, 0, 1, 1]
+    assert [got[i]["pred_len"] for i in range(1, 6)] == [2, 2, 2, 0, 3]
+    assert [got[i]["match1"] for i in range(1, 6)] == [0, 0, 2, 0, 2]
+    assert got[5]["match2"] == 1 and got[5]["total2"] == 2
+
+
+def test_slices_have_every_row_once():
+    from pairforge.operators import arrow
+
+    rng = random.Random(8)
+    rows = [(text(rng), [text(rng) for _ in range(rng.randint(1, 3))]) for _ in range(60)]
+    sizes = [len(p) + sum(map(len, r)) for p, r in rows]
+    assert list(arrow.slices(np.array(sizes), 1)) == [(i, 1) for i in range(60)]
+    assert [at for at, _ in arrow.slices(np.array([300, 1, 1, 300, 1]), 10)] == [0, 1, 3, 4]
+    assert sum(n for _, n in arrow.slices(np.array(sizes), 200)) == 60
+    assert list(arrow.slices(np.array([], dtype=np.int64))) == []
 
 
 def test_targets_by_id(spark):

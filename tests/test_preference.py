@@ -96,8 +96,27 @@ def test_running_success_against_a_loop(spark):
 def test_distances_are_worked_out_once(spark, physical):
     df = spark.createDataFrame([], SCHEMA)
     plan = physical(preference.kept_pairs(preference.classify(df)))
-    # Two texts, two bands and the full form, none of them repeated by a filter.
-    assert plan.count("levenshtein(") == 6
+    # Two texts, each by the bands and the full form, none repeated by a filter.
+    assert plan.count("levenshtein(") == 2 * (len(preference.BANDS) + 1)
+
+
+def test_tasks_follow_the_size(spark, physical):
+    def tasks(rows: int) -> int:
+        df = spark.range(rows).select(
+            F.col("id").alias("pair_id"), F.lit("s").alias("src"), F.repeat(F.lit("t"), 40).alias("tgt"),
+            F.lit("a").alias("pred1"), F.lit("a").alias("pred2"),
+        )
+        judged = preference.classify(df, spread_by="pair_id")
+        assert "REBALANCE" in physical(judged)
+        return judged.select(F.spark_partition_id().alias("p"), "status").distinct().count()
+
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        assert tasks(200_000) > 2 * tasks(20_000)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
 
 
 def failing():

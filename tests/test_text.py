@@ -1,7 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from pairforge.functions import names, text
 from pairforge.functions.words import words, words_and_specials
+from pairforge.operators import tokens
 
 
 def one(spark, value, expression):
@@ -51,6 +54,24 @@ def test_words_keep_specials(spark):
     assert got == ["a", ".", "[SEP]", "b", "<|endoftext|>"]
 
 
+def test_both_forms_give_the_same_words(spark):
+    rng = random.Random(12)
+    signs = ["a", "Bc", "é", "7", "12", ".", ",", "-", "-\n", "\n", "&quot;", "&amp;lt;", "<skipped>", "!", "{", "'", "日"]
+    signs += [" ", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "[SEP]", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(500)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, x string").repartition(3)
+    specials = [text.SEP, text.EOS]
+    for own, given in ((words(F.col("x")), []), (words_and_specials(F.col("x"), specials), specials)):
+        column = {r["id"]: r["y"] or [] for r in df.select("id", own.alias("y")).collect()}
+        arrow = {r["id"]: r["y"] for r in tokens.add_words(df, "x", given, "y").collect()}
+        assert arrow == column
+
+
+def test_words_part_at_what_python_parts_at(spark):
+    every = "".join(chr(i) for i in range(0x10000) if chr(i).isspace() and chr(i) != "\n")
+    assert one(spark, "x".join(every), words(F.col("x"))) == ["x"] * (len(every) - 1)
+
+
 def parsed(spark, name):
     return one(spark, name, names.parse_name(F.col("x"))).asDict()
 
