@@ -20,6 +20,7 @@ from pairforge.session import fresh_path, stored
 # Sizes for the test tables, small enough that every step is reached.
 BATCH = 8
 LIMIT = 256
+VERSIONS = 4
 
 
 def joined(ids: str | Column) -> Column:
@@ -179,6 +180,58 @@ def _candidate_files(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.candidate_stream(spark, path, made.schema, max(1, files // 4))
 
 
+def _versions(spark: SparkSession, sf: str) -> str:
+    """A build of four batches: the pairs by their id modulo 4, in that order."""
+    path, out = fresh_path(spark, "candidates"), fresh_path(spark, "build")
+    made = stored(views.candidates(views.pairs(spark, sf)), "candidates")
+    for k in range(VERSIONS):
+        made.where(F.col("pair_id") % VERSIONS == k).coalesce(1).write.mode("append").parquet(path)
+    stream = incremental.candidate_stream(spark, path, made.schema, 1)
+    incremental.build_by_batch(stream, out, fresh_path(spark, "build-state"), "pair_id").awaitTermination()
+    return out
+
+
+def progress_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress after every batch, from the counts seen while each was written."""
+    return rounded(incremental.progress_by_batch(spark, _versions(spark, sf)), "success_rate")
+
+
+def pref_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs kept up to and with the second of four versions."""
+    return preference.kept_pairs(incremental.snapshot(spark, _versions(spark, sf), 1), "pair_id")
+
+
+def pref_snapshot_by_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcome counts of the last version within 60 percent of the judged rows."""
+    out = _versions(spark, sf)
+    total = incremental.progress_by_batch(spark, out).agg(F.max("processed")).first()[0]
+    version = incremental.version_at(spark, out, total * 6 // 10)
+    counts = preference.outcome_counts(incremental.snapshot(spark, out, version))
+    return counts.withColumn("version", F.lit(version).cast("bigint"))
+
+
+def _refusing() -> generate.Generator:
+    """The letter editor, but it refuses some prompts by their length."""
+    edit = generate.letter_editor()
+
+    def fn(prompts: list[str], setting: dict) -> list[str]:
+        if any(len(p) % 5 == 0 for p in prompts):
+            raise ValueError("refused")
+        return edit(prompts, setting)
+
+    return fn
+
+
+def pref_hook_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that the generator fails on keep its error and are judged so."""
+    pairs = views.pairs(spark, sf).select(
+        "pair_id", views.fold(F.col("src")).alias("src"), views.fold(F.col("tgt")).alias("tgt")
+    )
+    made = generate.with_candidates(pairs, lambda: _refusing())
+    judged = preference.classify(made, error="gen_error", spread_by="pair_id")
+    return judged.select("pair_id", "pred1", "gen_error", "status")
+
+
 # --- positions ---------------------------------------------------------------
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,6 +257,14 @@ def bleu_words(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+def bleu_words_unicode(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of texts whose plain spaces are others for each third document."""
+    odd = F.element_at(F.array(F.lit("\u2003"), F.lit("\x1f"), F.lit("\u3000")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = views.documents(spark, sf).select("doc_id", F.replace("text", F.lit(" "), odd).alias("text"))
+    found = tokens.add_words(docs, "text")
+    return found.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.array_join(words(F.lit("a\x85b")), " ").alias("next_line"))
+
+
 def bleu_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return bleu.row_counts(views.edited_documents(spark, sf), "doc_id", "pred", "text")
 
@@ -595,6 +656,124 @@ def artifact_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return records.artifact_sizes(records.artifacts(spark, root, run_files=None))
 
 
+def _log_files(spark: SparkSession, sf: str) -> str:
+    """One log per run in a folder of its own, and a copy cut short for each tenth user."""
+    root = fresh_path(spark, "logs")
+    name = F.concat("run_kind", F.lit("_u"), F.col("user_id").cast("string"))
+    rows = views.logs(spark, sf).select(
+        name.alias("experiment_name"), "place", "step", "loss", "eval_loss",
+        F.when(F.col("kind") == "eval", F.col("eval_loss") / 2).alias("eval_rewards/margins"),
+    )
+    ends = rows.groupBy("experiment_name").agg(
+        (F.max("place") + 1).alias("place"), F.max("step").alias("step"),
+        F.count(F.lit(1)).cast("double").alias("train_runtime"), F.max("loss").alias("train_loss"),
+    )
+    sinks.write_logs(rows.unionByName(ends, allowMissingColumns=True), root, order="place")
+    broken = views.logs(spark, sf).where(F.col("user_id") % 10 == 0).select(name.alias("name")).distinct()
+    path = F.concat("name", F.lit("_cut/training_history.json"))
+    text_ = F.concat(F.lit('[{"loss": 1.0}, {"run": "'), "name")
+    sinks.write_files(broken.select(path.alias("path"), text_.alias("text")), root)
+    return f"{root}/*/training_history.json"
+
+
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record of the logs, read back from their files."""
+    rows = records.read_logs(spark, _log_files(spark, sf))
+    return rows.select(
+        "experiment_name", F.col("place").cast("bigint").alias("place"), "kind", "step", "loss", "eval_loss",
+        "eval_rewards_margins", "train_runtime", "train_loss",
+    )
+
+
+def log_files_bad(spark: SparkSession, sf: str) -> DataFrame:
+    bad = records.bad_logs(records.log_documents(spark, _log_files(spark, sf)))
+    return bad.select("experiment_name", "content")
+
+
+def log_files_last_eval(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.last_eval_loss(records.read_logs(spark, _log_files(spark, sf)), "experiment_name", order="place")
+
+
+def log_files_curve(spark: SparkSession, sf: str) -> DataFrame:
+    rows = records.read_logs(spark, _log_files(spark, sf))
+    return rounded(logs.learning_curve(rows, "experiment_name"), "train", "eval")
+
+
+def _record_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder per run with its record; those without ``eval_loss`` are broken."""
+    root = fresh_path(spark, "folders")
+    whole = F.to_json(F.struct("config", "metrics"))
+    cut = F.concat(F.lit('{"config": {"method": "'), "config.method")
+    rows = _records(spark, sf).select(
+        F.concat("experiment_name", F.lit("/results.json")).alias("path"),
+        F.when(F.col("metrics.eval_loss").isNull(), cut).otherwise(whole).alias("text"),
+    )
+    sinks.write_files(rows, root)
+    return records.read_records(spark, f"{root}/*/results.json")
+
+
+def record_folders(spark: SparkSession, sf: str) -> DataFrame:
+    good = records.good_records(_record_folders(spark, sf))
+    return records.runs_of(good).drop("checkpoint_path", "cfg_num_epochs")
+
+
+def record_folders_bad(spark: SparkSession, sf: str) -> DataFrame:
+    return records.bad_records(_record_folders(spark, sf)).select("experiment_name", "content")
+
+
+def _artifact_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of every run, also some that are not to be published, as a listing."""
+    root = fresh_path(spark, "artifacts")
+    top = F.when(F.col("cfg_method").isin("dpo", "ipo"), "preference").otherwise("sft")
+    trained = F.col("eval_loss").isNotNull()
+    files = F.array(
+        *[F.struct(F.lit(n).alias("file"), t.alias("text")) for n, t in (
+            ("results.json", F.concat(F.lit("run "), "experiment")), ("notes.txt", F.col("experiment")),
+            ("final_model/config.json", F.when(trained, F.concat(F.lit('{"method": "'), "cfg_method", F.lit('é"}')))),
+            ("final_model/weights.bin", F.when(trained, F.repeat(F.lit("w"), 99))),
+        )]
+    )
+    rows = views.runs(spark, sf).select(top.alias("top"), "experiment", F.inline(files)).where(F.col("text").isNotNull())
+    path = F.concat_ws("/", "top", "experiment", "file")
+    sinks.write_files(rows.select(path.alias("path"), "text"), root)
+    return records.files_below(spark, root)
+
+
+def artifact_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Published files and bytes of each run and of each top folder, by the allow-list."""
+    published = records.allowed(_artifact_files(spark, sf), records.allow_list(spark))
+    per_run = records.sizes_by(published, "top", "run")
+    return per_run.unionByName(records.sizes_by(published, "top").withColumn("run", F.lit("all")))
+
+
+def config_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every field of the written configs; the model flag comes from the listed files."""
+    found = stored(views.planned_runs(spark, sf), "runs")
+    models = records.final_models(_artifact_files(spark, sf)).withColumnRenamed("run", "run_id")
+    planned = outcomes.plan_outcomes(grid.grid(spark), found, models)
+    root = fresh_path(spark, "config-documents")
+    folder = F.coalesce("run_id", "experiment_name")
+    sinks.write_config_documents(planned.withColumn("folder", folder), root, "folder")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in planned.schema.fields)
+    return records.read_configs(spark, f"{root}/*/training_config.json", schema)
+
+
+def summary_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """The means, deviation and total of the written summary."""
+    path = fresh_path(spark, "summary")
+    sinks.write_summary(_table(spark, sf), path)
+    schema = (
+        "best_bleu double, worst_bleu double, mean_bleu double, std_bleu double, total_training_time double, "
+        "method_stats map<string,struct<mean_bleu:double,best_experiment:string>>"
+    )
+    rows = spark.read.schema(schema).json(path)
+    flat = rows.select(
+        "best_bleu", "worst_bleu", "mean_bleu", "std_bleu", "total_training_time",
+        F.explode("method_stats").alias("method", "s"),
+    ).select("*", F.col("s.mean_bleu").alias("method_mean"), "s.best_experiment").drop("s")
+    return rounded(flat, "mean_bleu", "std_bleu", "total_training_time", "method_mean")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -610,6 +789,9 @@ QUERIES = {
         score_by_lr, last_eval_loss, learning_curve, reward_metrics_dpo, reward_metrics_ipo,
         step_plan, grid_steps, plan_outcomes, plan_missing, plan_counts, plan_ordered,
         pairs_parquet, pairs_json, numbered_json, csv_sink, summary_json, run_records_roundtrip,
-        bad_records, best_pointer, config_files, artifact_sizes,
+        bad_records, best_pointer, config_files, artifact_sizes, progress_series, pref_snapshot,
+        pref_snapshot_by_rows, pref_hook_failures, bleu_words_unicode, log_files, log_files_bad,
+        log_files_last_eval, log_files_curve, record_folders, record_folders_bad, artifact_listing,
+        config_documents, summary_figures,
     )
 }

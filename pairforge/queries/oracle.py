@@ -307,6 +307,14 @@ outcomes AS (SELECT plan.*, run_id, bleu_score, final_loss, eval_loss,
   FROM plan LEFT JOIN found USING (experiment_name))
 """
 
+LOG_FILES = f"""WITH logs AS (SELECT *, concat(run_kind, '_u', user_id) AS experiment_name
+  FROM ({views.LOGS_SQL.format(events='events')})),
+ends AS (SELECT experiment_name, max(place) + 1 AS place, 'final' AS kind, max(step) AS step, NULL AS loss, NULL AS eval_loss,
+  CAST(count(*) AS DOUBLE) AS train_runtime, max(loss) AS train_loss FROM logs GROUP BY experiment_name),
+whole AS (SELECT experiment_name, place, kind, step, loss, eval_loss, NULL AS train_runtime, NULL AS train_loss FROM logs
+  UNION ALL SELECT * FROM ends)
+"""
+
 
 def _metrics(ipo: bool) -> str:
     def logp(who: str, side: str) -> str:
@@ -490,4 +498,51 @@ SELECT (SELECT count(*) FROM tab) AS total_experiments,
     "best_pointer": TABLE + f"SELECT checkpoint_path AS best_model_path FROM tab ORDER BY {BEST} LIMIT 1",
     "config_files": OUTCOMES + "SELECT experiment_name, run_id, training_type, learning_rate, effective_batch_size, bleu_score, file "
     "FROM outcomes, (VALUES ('run'), ('all')) f(file)",
+    "summary_figures": TABLE + f"""SELECT best_bleu, worst_bleu, mean_bleu, std_bleu, total_training_time, method, method_mean, best_experiment
+FROM (SELECT max(bleu_score) AS best_bleu, min(bleu_score) AS worst_bleu, round(avg(bleu_score), 9) AS mean_bleu,
+    round(stddev_samp(bleu_score), 9) AS std_bleu, round(sum(minutes), 9) AS total_training_time FROM tab),
+  (SELECT final_method AS method, round(avg(bleu_score), 9) AS method_mean, max(experiment) FILTER (r = 1) AS best_experiment
+   FROM (SELECT *, row_number() OVER (PARTITION BY final_method ORDER BY {BEST}) AS r FROM tab) GROUP BY final_method)""",
+    "record_folders": f"WITH {RUNS} SELECT experiment, cfg_method, cfg_batch_size, cfg_learning_rate, "
+    "bleu_score, train_loss, eval_loss, training_time FROM runs WHERE eval_loss IS NOT NULL",
+    "record_folders_bad": f"""WITH {RUNS} SELECT experiment AS experiment_name, concat('{{"config": {{"method": "', cfg_method) AS content
+FROM runs WHERE eval_loss IS NULL""",
+    "log_files": LOG_FILES + """SELECT experiment_name, row_number() OVER (PARTITION BY experiment_name ORDER BY place) - 1 AS place,
+  kind, step, loss, eval_loss, eval_loss / 2 AS eval_rewards_margins, train_runtime, train_loss FROM whole""",
+    "log_files_bad": LOG_FILES + """SELECT DISTINCT concat(experiment_name, '_cut') AS experiment_name,
+  concat('[{"loss": 1.0}, {"run": "', experiment_name) AS content FROM logs WHERE user_id % 10 = 0""",
+    "log_files_last_eval": LOG_FILES + """SELECT experiment_name, max_by(eval_loss, place) FILTER (eval_loss IS NOT NULL) AS eval_loss
+FROM logs GROUP BY experiment_name""",
+    "log_files_curve": LOG_FILES + """SELECT experiment_name, step, round(avg(loss) FILTER (kind = 'train'), 9) AS train,
+  round(avg(eval_loss) FILTER (kind = 'eval'), 9) AS eval FROM logs GROUP BY experiment_name, step""",
+    "artifact_listing": f"""WITH {RUNS},
+named AS (SELECT *, CASE WHEN cfg_method IN ('dpo', 'ipo') THEN 'preference' ELSE 'sft' END AS top FROM runs),
+files AS (SELECT top, experiment AS run, concat('run ', experiment) AS content FROM named UNION ALL
+  SELECT top, experiment, concat('{{"method": "', cfg_method, 'é"}}') FROM named WHERE eval_loss IS NOT NULL)
+SELECT top, run, count(*) AS n_files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS total_bytes FROM files GROUP BY top, run
+UNION ALL SELECT top, 'all', count(*), CAST(sum(octet_length(encode(content))) AS BIGINT) FROM files GROUP BY top""",
+    "config_documents": OUTCOMES + """SELECT * EXCLUDE (has_final_model), coalesce(run_id, experiment_name) AS folder,
+  coalesce(eval_loss IS NOT NULL, false) AS has_final_model FROM outcomes""",
+    "bleu_words_unicode": f"""WITH odd AS (SELECT doc_id AS id,
+  replace(text, ' ', CASE doc_id % 3 WHEN 0 THEN chr(8195) WHEN 1 THEN chr(31) ELSE chr(12288) END) AS text FROM documents)
+SELECT id AS doc_id, {joined('x')} AS tokens, 'a b' AS next_line FROM (SELECT id, {words('text')} AS x FROM odd)""",
+    "pref_hook_failures": f"""WITH {PAIRS},
+folded AS (SELECT pair_id, {fold('src')} AS src, {fold('tgt')} AS tgt FROM pairs),
+tried AS (SELECT *, CASE WHEN (length(src) + {len(SEP)}) % 5 = 0 THEN 'ValueError: refused' END AS gen_error FROM folded),
+made AS (SELECT *, CASE WHEN gen_error IS NULL THEN {strip("replace(src, 'e', 'a')")} END AS pred1,
+  CASE WHEN gen_error IS NULL THEN {strip("replace(replace(src, 'e', 'a'), 'th', 'd')")} END AS pred2 FROM tried),
+{judged('made', 'gen_error IS NOT NULL')}
+SELECT pair_id, pred1, gen_error, status FROM judged""",
+    "progress_series": JUDGED + """, per AS (SELECT pair_id % 4 AS batch_id, count(*) FILTER (status <> 'error') AS n,
+  count(*) FILTER (status = 'kept') AS k FROM judged GROUP BY pair_id % 4),
+run AS (SELECT batch_id, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS processed,
+  CAST(sum(k) OVER (ORDER BY batch_id) AS BIGINT) AS successful FROM per)
+SELECT batch_id, processed, successful, round(CASE WHEN processed > 0 THEN 100.0 * successful / processed ELSE 0.0 END, 9) AS success_rate FROM run""",
+    "pref_snapshot": JUDGED + "SELECT pair_id, src AS prompt, chosen, rejected FROM judged WHERE status = 'kept' AND pair_id % 4 < 2",
+    "pref_snapshot_by_rows": JUDGED + """, per AS (SELECT pair_id % 4 AS v, count(*) FILTER (status <> 'error') AS n FROM judged GROUP BY pair_id % 4),
+run AS (SELECT v, sum(n) OVER (ORDER BY v) AS done, sum(n) OVER () AS total FROM per),
+last AS (SELECT CAST(coalesce(max(v), -1) AS BIGINT) AS version FROM run WHERE done <= floor(total * 6 / 10))
+SELECT status, count(*) AS n, CAST(coalesce(sum(chosen_dist) FILTER (status = 'kept'), 0) AS BIGINT) AS chosen_dist,
+  CAST(coalesce(sum(rejected_dist) FILTER (status = 'kept'), 0) AS BIGINT) AS rejected_dist, version
+FROM judged, last WHERE pair_id % 4 <= version GROUP BY status, version""",
 }

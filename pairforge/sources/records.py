@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairforge.operators.logs import log_kind
+from pairforge.session import small_side
 
 CONFIG = (
     "method string, batch_size int, learning_rate double, num_epochs int, beta double, "
@@ -88,20 +89,51 @@ def runs_of(records: DataFrame) -> DataFrame:
     )
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Training logs, an array of records per file, one row per record.
+def log_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Training logs, one row per file: run, folder, records, and the text of a broken one.
 
-    Slashes in names become underscores.
+    A log is an array of records of three kinds. Files are read as text, many
+    small ones by one task, and parsed into wide records, so that a broken log
+    is a row that can be counted and not a failed job. A blank file is broken.
     """
-    raw = spark.read.schema(LOG).option("multiLine", True).json(path)
+    raw = spark.read.text(path, wholetext=True)
     folder = _folder(F.col("_metadata.file_path"))
-    return raw.select(
-        _last_part(folder).alias("experiment_name"),
-        log_kind(F.col("eval_loss"), F.col("loss"), F.col("train_runtime")).alias("kind"),
-        "step", *[F.col(f"`{k}`").alias(k.replace("/", "_")) for k in _LOG_KEYS],
+    parsed = raw.select(
+        _last_part(folder).alias("experiment_name"), folder.alias("experiment_dir"),
+        F.from_json("value", f"array<struct<{LOG}>>", {"mode": "PERMISSIVE"}).alias("records"), "value",
+    )
+    return parsed.select(
+        "experiment_name", "experiment_dir", "records", F.when(F.col("records").isNull(), F.col("value")).alias("_bad")
     )
 
 
+def log_rows(documents: DataFrame) -> DataFrame:
+    """One row per record with its place in the log; slashes in names become underscores."""
+    rows = documents.select("experiment_name", F.posexplode("records").alias("place", "r"))
+    values = {k: F.col(f"r.`{k}`") for k in _LOG_KEYS}
+    return rows.select(
+        "experiment_name", "place", log_kind(values["eval_loss"], values["loss"], values["train_runtime"]).alias("kind"),
+        "r.step", *[v.alias(k.replace("/", "_")) for k, v in values.items()],
+    )
+
+
+def bad_logs(documents: DataFrame) -> DataFrame:
+    """The side table of files that are no logs."""
+    return bad_records(documents)
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all logs that can be parsed."""
+    return log_rows(log_documents(spark, path))
+
+
+def read_configs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Whole config documents, one per file, with the folder each lies in."""
+    raw = spark.read.text(path, wholetext=True)
+    name = _last_part(_folder(F.col("_metadata.file_path")))
+    return raw.select(name.alias("folder"), F.from_json("value", schema).alias("c")).select("folder", "c.*")
+
+
 def write_records(records: DataFrame, path: str) -> None:
     """Append run records as JSON lines; adds the system facts if missing."""
     if "system" not in records.columns:
@@ -187,6 +219,36 @@ def artifacts(
     return files.where(wanted).select(_last_part(run).alias("run"), name.alias("file"), in_model.alias("in_model"), "length")
 
 
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """All files in ``<root>/<top>/<run>/`` and their model folders, without reading any."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    parts = F.split("path", "/")
+    in_model = F.element_at(parts, -2) == "final_model"
+
+    def above(n: int) -> Column:
+        return F.when(in_model, F.element_at(parts, -n - 1)).otherwise(F.element_at(parts, -n))
+
+    return files.select(
+        above(3).alias("top"), _last_part(above(2)).alias("run"), F.element_at(parts, -1).alias("file"),
+        in_model.alias("in_model"), "length",
+    )
+
+
+def allow_list(spark: SparkSession, run_files: list[str] = RUN_FILES, model_files: list[str] = MODEL_FILES) -> DataFrame:
+    """The files that are published, as a table to join or to extend."""
+    rows = [(False, f) for f in run_files] + [(True, f) for f in model_files]
+    return spark.createDataFrame(rows, "in_model boolean, file string")
+
+
+def allowed(listing: DataFrame, names: DataFrame) -> DataFrame:
+    """The listed files that the table of names has."""
+    return listing.join(small_side(names.distinct(), "allow-list"), ["in_model", "file"], "left_semi").select(*listing.columns)
+
+
+def sizes_by(listing: DataFrame, *by: str) -> DataFrame:
+    return listing.groupBy(*by).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("total_bytes"))
+
+
 def artifact_sizes(listing: DataFrame) -> DataFrame:
     return listing.groupBy("run").agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("total_bytes")

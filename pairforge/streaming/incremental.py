@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pyspark.sql import functions as F
-
 from pairforge.operators.position import running_totals
 from pairforge.operators.preference import KEPT, classify, kept_pairs, outcome_counts
 
 
+STATUSES = ["error", "empty", "identical", "small_diff", "length_ratio", KEPT]
+COUNTS = "status string, n bigint, chosen_dist bigint, rejected_dist bigint"
+
+
 def candidate_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
     """Candidate files as they arrive."""
     return (
@@ -43,18 +45,30 @@ def build_by_batch(
     """Judge new candidate files; every micro-batch leaves its rows and its counts.
 
     Both lie in a folder named after the batch and are overwritten if the batch
-    runs again, so a restart neither loses nor repeats any. Progress is a sum
-    over the counts: its cost does not grow with the rows judged before.
+    runs again, so a restart neither loses nor repeats any. The counts are
+    observed while the rows are written, so no row is read again, and progress
+    is a sum over counts: its cost does not grow with the rows judged before.
+    The counts are written last; they are the manifest of finished versions.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         rows = classify(batch, **rules).select(
             *keys, "src", "chosen", "rejected", "chosen_dist", "rejected_dist", "status"
         )
-        there = f"{path}/rows/batch={batch_id}"
-        rows.write.mode("overwrite").parquet(there)
-        counts = outcome_counts(batch.sparkSession.read.parquet(there))
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+        seen = Observation()
+
+        def total(status: str, column: str) -> Column:
+            value = F.when((F.col("status") == status) & F.lit(status == KEPT), F.col(column))
+            return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+        metrics = [F.count_if(F.col("status") == s).alias(f"{s}:n") for s in STATUSES]
+        metrics += [total(s, c).alias(f"{s}:{c}") for s in STATUSES for c in ("chosen_dist", "rejected_dist")]
+        rows.observe(seen, *metrics).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        found = [
+            (s, *(seen.get[f"{s}:{c}"] for c in ("n", "chosen_dist", "rejected_dist"))) for s in STATUSES
+        ]
+        counts = batch.sparkSession.createDataFrame(found, COUNTS).coalesce(1)
+        counts.write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
 
     return (
         candidates.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
@@ -78,6 +92,24 @@ def progress_by_batch(spark: SparkSession, path: str) -> DataFrame:
     return so_far.select("batch_id", "processed", "successful", rate.alias("success_rate"))
 
 
+def snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """All rows judged up to and with batch ``version``, also while the build goes on.
+
+    Only finished batches count, so a batch that is being written, or written
+    again, is not seen; later batches' folders are not read at all.
+    """
+    last = batch_counts(spark, path).agg(F.max(F.col("batch").cast("bigint"))).first()[0]
+    upto = min(version, -1 if last is None else last)
+    return spark.read.parquet(f"{path}/rows").where(F.col("batch") <= upto).drop("batch")
+
+
+def version_at(spark: SparkSession, path: str, processed: int) -> int:
+    """The last version with at most so many processed rows; -1 for none."""
+    upto = progress_by_batch(spark, path).where(F.col("processed") <= processed)
+    found = upto.agg(F.max("batch_id")).first()[0]
+    return -1 if found is None else found
+
+
 def judged_so_far(spark: SparkSession, path: str) -> DataFrame:
     """All committed rows, also while the build runs."""
     return spark.read.parquet(path)

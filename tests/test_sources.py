@@ -140,3 +140,97 @@ def test_build_stops_and_goes_on(spark, tmp_path, physical):
     assert run() == ([1, 2, 4, 5, 7, 8, 10, 11], {"empty": 4, "kept": 8})
     assert "PartitionFilters: [isnotnull(status" in physical(incremental.pairs_so_far(spark, out))
     assert "chosen:string" not in physical(incremental.progress(spark, out))
+
+
+def test_files_of_many_parts(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = [("a/x.txt", i, f"{i},") for i in range(500)] + [("b/c/y.txt", 0, "é"), ("b/empty.txt", 0, None)]
+    df = spark.createDataFrame(rows, "path string, at int, text string").repartition(7)
+    made = {r["path"]: r["n_bytes"] for r in sinks.write_files(df, root, "at").collect()}
+    assert (tmp_path / "out/a/x.txt").read_text() == "".join(f"{i}," for i in range(500))
+    assert made == {"a/x.txt": 1890, "b/c/y.txt": 2, "b/empty.txt": 0}
+    sinks.write_files(df.where("path = 'b/c/y.txt'"), root)
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["empty.txt", "x.txt", "y.txt"]
+
+
+def test_logs_are_written_as_they_are_read(spark, tmp_path):
+    rows = [("a", 0, 100, 0.5, None, 0.25), ("a", 1, 100, None, 0.75, None), ("b", 9, 200, 1.0, None, None)]
+    schema = "experiment_name string, place int, step bigint, loss double, eval_loss double, `rewards/chosen` double"
+    sinks.write_logs(spark.createDataFrame(rows, schema).repartition(3), str(tmp_path), order="place")
+    assert json.loads((tmp_path / "a" / "training_history.json").read_text()) == [
+        {"step": 100, "loss": 0.5, "rewards/chosen": 0.25}, {"step": 100, "eval_loss": 0.75}
+    ]
+    write(tmp_path / "c" / "training_history.json", '[{"loss": 1.0}')
+    write(tmp_path / "d" / "training_history.json", "[]")
+    write(tmp_path / "e" / "training_history.json", " \n")
+    documents = records.log_documents(spark, f"{tmp_path}/*/training_history.json")
+    got = records.log_rows(documents).orderBy("experiment_name", "place").collect()
+    assert [(r["experiment_name"], r["place"], r["kind"], r["rewards_chosen"]) for r in got] == [
+        ("a", 0, "train", 0.25), ("a", 1, "eval", None), ("b", 0, "train", None)
+    ]
+    assert sorted(r["experiment_name"] for r in records.bad_logs(documents).collect()) == ["c", "e"]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(200):
+        write(tmp_path / f"run{i}" / "results.json", json.dumps(RECORD))
+    found = records.read_records(spark, f"{tmp_path}/*/results.json")
+    assert found.rdd.getNumPartitions() < 50 and found.count() == 200
+
+
+def test_config_documents_keep_nulls(spark, tmp_path):
+    plan = spark.createDataFrame([("r1", "a", None, 0.5), ("r2", "a", 3, None)], "f string, experiment_name string, beta int, bleu double")
+    sinks.write_config_documents(plan, str(tmp_path), "f")
+    assert json.loads((tmp_path / "r1" / "training_config.json").read_text()) == {"experiment_name": "a", "beta": None, "bleu": 0.5}
+    got = records.read_configs(spark, f"{tmp_path}/*/training_config.json", "experiment_name string, beta int, bleu double")
+    assert sorted(map(tuple, got.collect()), key=str) == [("r1", "a", None, 0.5), ("r2", "a", 3, None)]
+
+
+def test_allow_list_is_a_table(spark, tmp_path):
+    for name in ("results.json", "notes.txt", "final_model/config.json", "final_model/results.json", "config.json"):
+        write(tmp_path / "top" / "run" / name, "12345")
+    listing = records.files_below(spark, str(tmp_path))
+    assert {(r["top"], r["run"]) for r in listing.collect()} == {("top", "run")}
+    names = records.allow_list(spark)
+    assert sorted(r["file"] for r in records.allowed(listing, names).collect()) == ["config.json", "results.json"]
+    more = names.unionByName(spark.createDataFrame([(False, "notes.txt"), (False, "notes.txt")], names.schema))
+    assert records.sizes_by(records.allowed(listing, more), "top").collect() == [("top", 3, 15)]
+
+
+def _candidates(spark, path, first, n):
+    rows = [(i, "s", "target text", "target texts" if i % 3 else "", "something else") for i in range(first, first + n)]
+    schema = "pair_id bigint, src string, tgt string, pred1 string, pred2 string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_versions_are_read_while_the_build_goes_on(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def build():
+        schema = spark.read.parquet(source).schema
+        stream = incremental.candidate_stream(spark, source, schema, 1)
+        incremental.build_by_batch(stream, out, state, "pair_id").awaitTermination()
+
+    for k in range(2):
+        _candidates(spark, source, 10 * k, 10)
+    build()
+    # A later batch that was not finished: rows without counts.
+    spark.read.parquet(f"{out}/rows/batch=1").write.parquet(f"{out}/rows/batch=2")
+    assert incremental.snapshot(spark, out, 5).count() == 20
+    assert incremental.snapshot(spark, out, 0).count() == 10
+    assert incremental.snapshot(spark, out, -1).count() == 0
+    _candidates(spark, source, 20, 10)
+    build()  # goes on with the third batch and overwrites what was unfinished
+    progress = incremental.progress_by_batch(spark, out).orderBy("batch_id").collect()
+    kept = [sum(i % 3 > 0 for i in range(10 * (k + 1))) for k in range(3)]
+    assert [(r["batch_id"], r["processed"], r["successful"]) for r in progress] == [
+        (k, 10 * (k + 1), kept[k]) for k in range(3)
+    ]
+    ids = {r["pair_id"] for r in incremental.snapshot(spark, out, 2).collect()}
+    assert ids == set(range(30))
+    assert [incremental.version_at(spark, out, n) for n in (9, 10, 29, 30, 99)] == [-1, 0, 1, 2, 2]
+    # What was counted while it was written is what is there.
+    for k in range(3):
+        rows = spark.read.parquet(f"{out}/rows/batch={k}").groupBy("status").count().collect()
+        seen = incremental.batch_counts(spark, out).where(f"batch = {k} AND n > 0").select("status", "n").collect()
+        assert sorted(map(tuple, rows)) == sorted(map(tuple, seen))
