@@ -13,11 +13,14 @@ first; the sketch's bound lies over five standard deviations under the
 threshold. What is left is confirmed on the full sets of 64-bit shingle hashes.
 
 Only components are asked for, so in a small node classes that are surely
-close to its first one are compared with that one alone. A node still too large
-at full depth holds classes that share whatever is chosen. All are compared
-with one hub. Whoever is not in the component of most of its node after that
-is compared with the whole node, in blocks, so no cap decides. Pairs inside one
-component need no comparison.
+close to its first one are compared with that one alone; should one of these
+pairs fail on the full sets, its node is compared again without this rule. A
+node still too large at full depth holds classes that share whatever is chosen.
+All are compared with one hub. Whoever is not in the component of most of its
+node after that meets the whole node, in blocks of bounded size that bring the
+full sets along: a task tries the likeliest partner in each other component
+first and goes on until one is confirmed or all have failed, so no cap decides
+and no pair but a link leaves it. Pairs inside one component need no comparison.
 
 Cases: a text without words has no shingles, links with nothing and is its own
 component; one with fewer words than a shingle is one shingle; rows of one id
@@ -35,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.common import (
     Workspace, arrow_map, ascii_words, components, free_name, grouped_map, id_key, mix, seeds, text_key,
+    text_slices,
 )
 
 TREES = 16
@@ -46,11 +50,12 @@ SKETCH = 0.6
 #: In a small node, classes with this share of equal minima with its first one
 #: are compared with it and not with each other.
 CLOSE = 0.9
-BLOCK = 1024
+#: Shingles in one block of a large node.
+BLOCK = 1 << 20
 #: Pairs of one class whose sets are compared together.
 TOGETHER = 512
-#: Documents whose words are looked at together.
-BATCH = 1_000
+#: Bytes of text whose words are looked at together, or one text.
+BATCH = 1 << 20
 SIMILARITY = 80  # in percent
 
 
@@ -106,8 +111,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
+            for at, n in text_slices(batch.column(3), BATCH):
+                some = batch.slice(at, n)
                 sets = shingle_sets(some.column(3), k)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(sizes)
@@ -155,12 +160,13 @@ def _sketches(t: pa.Table) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8).reshape(-1, BINS)
 
 
-def _node_pairs(percent: int):
-    """All pairs inside small nodes, but for those that are both close to the first."""
+def _node_pairs(percent: int, every: bool = False):
+    """Pairs inside small nodes; without ``every`` those of two classes close to
+    the first are left out, and ``close`` marks the pairs that stand for them."""
 
     def each(t: pa.Table, group: np.ndarray):
         node, size, marks = t.column("node").to_numpy(), t.column("size").to_numpy(), _sketches(t)
-        a, b = [], []
+        a, b, marked = [], [], []
         rows = np.arange(len(group))
         first = np.searchsorted(group, group)
         close = _shares(marks, first, rows) >= CLOSE
@@ -168,65 +174,125 @@ def _node_pairs(percent: int):
             i = np.flatnonzero(group[step:] == group[:-step])
             if not len(i):
                 break
-            i = i[(first[i] == i) | ~(close[i] & close[i + step])]
+            if not every:
+                i = i[(first[i] == i) | ~(close[i] & close[i + step])]
             i = i[_alike(size, marks, i, i + step, percent)]
             a.append(node[i])
             b.append(node[i + step])
+            marked.append((first[i] == i) & close[i + step])
         if a:
-            yield {"a": np.concatenate(a), "b": np.concatenate(b)}
+            yield {"a": np.concatenate(a), "b": np.concatenate(b), "close": np.concatenate(marked)}
 
     return each
 
 
-def _block_pairs(percent: int):
-    """Pairs of different components between two blocks of a large node."""
+def _similar(mine: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough, exactly."""
+    if 100 * min(len(mine), len(v)) < percent * max(len(mine), len(v)):
+        return False
+    at = np.searchsorted(mine, v)
+    both = int((mine[np.minimum(at, len(mine) - 1)] == v).sum())
+    return 100 * both >= percent * (len(mine) + len(v) - both)
+
+
+def _block_links(percent: int):
+    """Links that join components between two blocks of a large node.
+
+    Odd members are tried with the others, the likeliest first; once a link is
+    found the components count as one, and their members need no other.
+    """
 
     def each(t: pa.Table, group: np.ndarray):
         node, size, marks = t.column("node").to_numpy(), t.column("size").to_numpy(), _sketches(t)
-        root, part, odd = (t.column(c).to_numpy() for c in ("root", "part", "odd"))
+        part, odd, values = t.column("part").to_numpy(), t.column("odd").to_numpy(), t.column("values")
+        roots, root = np.unique(t.column("root").to_numpy(), return_inverse=True)
+        links = []
         for start in np.flatnonzero(np.r_[True, group[1:] != group[:-1]]):
             rows = np.arange(start, np.searchsorted(group, group[start], side="right"))
             first, second = rows[(part[rows] < 2) & odd[rows]], rows[part[rows] != 0]
+            joined = np.arange(len(roots))  # each component's name in this block
+            sets: dict[int, np.ndarray] = {}
+
+            def full(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = np.frombuffer(values[i].as_buffer(), dtype=np.uint64)
+                return sets[i]
+
             for i in first:
-                j = second[(root[second] != root[i]) & (node[second] != node[i])]
-                j = j[_alike(size, marks, np.full(len(j), i), j, percent)]
-                if len(j):
-                    yield {"a": np.full(len(j), node[i]), "b": node[j]}
+                j = second[joined[root[second]] != joined[root[i]]]
+                same = np.full(len(j), i)
+                fine = _alike(size, marks, same, j, percent)
+                j, same = j[fine], same[fine]
+                j = j[np.argsort(-_shares(marks, same, j), kind="stable")]
+                while len(j):
+                    other = int(j[0])
+                    if _similar(full(int(i)), full(other), percent):
+                        links.append((node[i], node[other]))
+                        joined[joined == joined[root[other]]] = joined[root[i]]
+                        j = j[joined[root[j]] != joined[root[i]]]
+                    else:
+                        j = j[1:]
+        if links:
+            found = np.array(links, dtype=np.int64)
+            yield {"a": found.min(axis=1), "b": found.max(axis=1)}
 
     return each
 
 
-def _candidates(classes: DataFrame, ws: Workspace, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs from small nodes, and with hubs; and the rows of nodes too large to compare."""
+def _candidates(classes: DataFrame, ws: Workspace, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs ``a, b, close`` from small nodes and with hubs; the rows of nodes
+    too large to compare; the members of the small nodes."""
     rows = classes.select(
-        "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
-                             lambda t: F.slice("paths", t * DEPTH + 1, DEPTH))).alias("tree", "path")
+        "node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)),
+                          lambda t: F.slice("paths", t * DEPTH + 1, DEPTH))).alias("path")
     )
     small = []
     for d in range(DEPTH):
-        rows = rows.withColumn("at", F.col("path")[d])
+        # Only members of large nodes need the rest of their path.
+        rows = rows.select("node", F.col("path")[0].alias("at"), F.slice("path", 2, DEPTH).alias("path"))
         sizes = rows.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = ws.stored(rows.join(sizes, "at"), f"level-{d}")
+        rows = rows.join(sizes, "at").withColumn("path", F.when(F.col("n") > LEAF, F.col("path")))
+        rows = ws.stored(rows, f"level-{d}")
         small.append(rows.where(F.col("n") <= LEAF).select("at", "node"))
-        rows = rows.where(F.col("n") > LEAF).select("node", "tree", "path", *(["at", "n"] if d == DEPTH - 1 else []))
-    large = ws.stored(rows.select("at", "n", "node"), "large-nodes")
+        rows = rows.where(F.col("n") > LEAF)
+    large = rows.select("at", "n", "node")
     leaves = small[0].unionByName(small[1])
     for s in small[2:]:
         leaves = leaves.unionByName(s)
-    marks = classes.select("node", "size", "sketch")
-    pairs = grouped_map(
-        leaves.join(marks, "node"), ["at"], ["node"], _node_pairs(percent), "a bigint, b bigint"
-    )
+    pairs = _leaf_pairs(leaves, classes, percent)
     # Every member with the hub of one of its large nodes, the least by a hash.
     hubs = large.groupBy("at").agg(F.min_by("node", F.xxhash64("at", "node")).alias("hub"))
     stars = large.join(hubs, "at").groupBy(F.col("node").alias("a")).agg(F.min_by("hub", "at").alias("b"))
-    return pairs.unionByName(stars.where("a != b")), large
+    return pairs.unionByName(stars.where("a != b").withColumn("close", F.lit(False))), large, leaves
+
+
+def _leaf_pairs(leaves: DataFrame, classes: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    marks = classes.select("node", "size", "sketch")
+    return grouped_map(
+        leaves.join(marks, "node"), ["at"], ["node"], _node_pairs(percent, every), "a bigint, b bigint, close boolean"
+    )
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "close")
+    return pairs.groupBy("a", "b").agg(F.max("close").alias("close"))
+
+
+def _left_out(
+    pairs: DataFrame, links: DataFrame, leaves: DataFrame, classes: DataFrame, ws: Workspace, percent: int
+) -> DataFrame | None:
+    """Pairs that small nodes left out for a pair that was then not confirmed."""
+    refused = ws.stored(pairs.where("close").join(links, ["a", "b"], "left_anti").select("a", "b"), "refused")
+    if not refused.take(1):
+        return None
+    ends = refused.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    again = leaves.join(leaves.join(ends, "node", "left_semi").select("at").distinct(), "at", "left_semi")
+    found = _distinct_pairs(_leaf_pairs(again, classes, percent, every=True)).select("a", "b")
+    return ws.stored(found.join(pairs, ["a", "b"], "left_anti"), "left-out-pairs")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose full sets are similar enough."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = ws.stored(pairs, "pairs")
+    """Of the distinct pairs ``(a, b)``, ``a < b``, those whose full sets are similar enough."""
     # The end with more pairs brings its set once for every TOGETHER of them.
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
@@ -254,27 +320,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -
             if not node[i].is_valid:
                 mine = v
                 continue
-            same = np.searchsorted(mine, v)
-            both = int((mine[np.minimum(same, len(mine) - 1)] == v).sum())
-            if 100 * both >= percent * (len(mine) + len(v) - both):
-                a.append(hub[i])
-                b.append(node[i].as_py())
+            if _similar(mine, v, percent):
+                a.append(min(hub[i], node[i].as_py()))
+                b.append(max(hub[i], node[i].as_py()))
         yield {"a": a, "b": b}
 
     return ws.stored(grouped_map(rows, ["hub", "salt"], ["node"], each, "a bigint, b bigint", 256), "links")
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ws: Workspace, k: int) -> DataFrame:
-    """``node, values``: the full set of one document for each class in ``pairs``."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _sets(docs: DataFrame, classes: DataFrame, ends: DataFrame, ws: Workspace, k: int) -> DataFrame:
+    """``node, values``: the full set of one document for each class in ``ends``."""
     wanted = classes.join(ends, "node").select("node", "id", "h")
     rows = docs.select(id_key().alias("id"), text_key().alias("h"), "text")
     rows = rows.join(ws.small(wanted, "wanted"), ["id", "h"]).select("node", "text")
 
     def make():
         def each(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, BATCH):
-                some = batch.slice(at, BATCH)
+            for at, n in text_slices(batch.column(1), BATCH):
+                some = batch.slice(at, n)
                 sets = shingle_sets(some.column(1), k)
                 yield {"node": some.column(0), "values": [s.tobytes() for s in sets]}
 
@@ -302,16 +369,18 @@ def _near_duplicates(docs: DataFrame, ws: Workspace, k: int, percent: int) -> Da
     one = F.struct("id", "h", "size", "sketch", "paths")
     classes = full.groupBy("node").agg(F.min_by(one, F.struct("id", "h")).alias("one")).select("node", "one.*")
     classes = ws.stored(classes, "classes")
-    pairs, large = _candidates(classes, ws, percent)
-    pairs = ws.stored(pairs.distinct(), "candidates")
-    sets = _sets(docs, classes, pairs, ws, k)
-    links = _confirmed(pairs, sets, ws, percent)
+    pairs, large, leaves = _candidates(classes, ws, percent)
+    pairs = ws.stored(_distinct_pairs(pairs), "candidates")
+    sets = _sets(docs, classes, _ends(pairs), ws, k)
+    links = _confirmed(pairs.select("a", "b"), sets, ws, percent)
+    left_out = _left_out(pairs, links, leaves, classes, ws, percent)
+    if left_out is not None:
+        sets = _sets(docs, classes, _ends(left_out), ws, k)
+        links = links.unionByName(_confirmed(left_out, sets, ws, percent))
     roots = components(ws, links)
-    rest = _unsettled(large, roots, classes, ws, percent)
+    rest = _unsettled(docs, large, roots, classes, ws, k, percent)
     if rest is not None:
-        sets = _sets(docs, classes, rest, ws, k)
-        links = ws.stored(links.unionByName(_confirmed(rest, sets, ws, percent)), "all-links")
-        roots = components(ws, links)
+        roots = components(ws, links.unionByName(rest))
     own = marked.select("doc_id", "id", "h", F.col("size").alias("n_shingles"), "node")
     roots = ws.stored(roots, "roots")
     own = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -350,32 +419,37 @@ def _one_of_each(docs: DataFrame, ws: Workspace, k: int, percent: int) -> DataFr
 
 
 def _unsettled(
-    large: DataFrame, roots: DataFrame, classes: DataFrame, ws: Workspace, percent: int
+    docs: DataFrame, large: DataFrame, roots: DataFrame, classes: DataFrame, ws: Workspace, k: int, percent: int
 ) -> DataFrame | None:
-    """Pairs of different components in nodes that were only compared with hubs."""
+    """Links between components in nodes that were only compared with hubs."""
     if not large.take(1):
         return None
     rows = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = ws.stored(rows, "large-rooted")
     by_root = rows.groupBy("at", "root").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
     most = by_root.groupBy("at").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.max("k").alias("k"), F.max("n").alias("n"))
-    most = most.where("k < n").select("at", "most")
+    most = ws.small(most.where("k < n").select("at", "most"), "unsettled-nodes")
     rows = rows.join(most, "at").withColumn("odd", F.col("root") != F.col("most"))
     rows = ws.stored(rows.join(classes.select("node", "size", "sketch"), "node"), "unsettled")
     if not rows.take(1):
         return None
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    odd = rows.where("odd").groupBy("at").agg(F.count(F.lit(1)).alias("n_odd"))
-    rows = rows.join(odd, "at")
-    odd_blocks = F.ceil(F.col("n_odd") / BLOCK).cast("int")
+    # Blocks of a bounded number of shingles; hashed, so about equally large.
+    totals = rows.groupBy("at").agg(
+        F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"),
+        F.ceil(F.sum(F.when(F.col("odd"), F.col("size"))) / BLOCK).cast("int").alias("odd_blocks"),
+    )
+    rows = rows.join(ws.small(totals, "block-counts"), "at")
+    sets = _sets(docs, classes, rows.select("node").distinct(), ws, k)
     hash_ = F.xxhash64("node")
-    own = F.when(F.col("odd"), F.pmod(hash_, odd_blocks))
-    one = F.pmod(hash_, blocks)
+    own = F.when(F.col("odd"), F.pmod(hash_, F.col("odd_blocks")))
+    one = F.pmod(hash_, F.col("blocks"))
     # A member meets every block of odd members; an odd one every block of members.
-    as_member = rows.select("*", F.explode(F.sequence(F.lit(0), odd_blocks - 1)).alias("x"), one.alias("y"))
-    as_odd = rows.where("odd").select("*", own.alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"))
+    as_member = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("x"), one.alias("y"))
+    as_odd = rows.where("odd").select("*", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
     columns = ["at", "x", "y", "node", "root", "odd", "size", "sketch"]
     both = as_member.select(*columns, F.lit(2).alias("part")).unionByName(as_odd.select(*columns, F.lit(0).alias("part")))
-    pairs = grouped_map(both, ["at", "x", "y"], ["part", "node"], _block_pairs(percent), "a bigint, b bigint")
-    pairs = ws.stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    return pairs if pairs.take(1) else None
+    links = grouped_map(
+        both.join(sets, "node"), ["at", "x", "y"], ["part", "node"], _block_links(percent), "a bigint, b bigint", 512
+    )
+    links = ws.stored(links.distinct(), "rest")
+    return links if links.take(1) else None
