@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter
 
@@ -148,6 +149,21 @@ def test_large_groups_of_copies(spark):
     assert found == groups({i: shingles(t, 2) for i, t in enumerate(rows)}, 80)
 
 
+@pytest.mark.parametrize("setting", [{"CLOSE": 0.0, "LEAF": 64}, {"LEAF": 2, "BLOCK": 400}, {"LEAF": 2, "SKETCH": 0.0}])
+def test_wrong_sketches_lose_no_link(spark, monkeypatch, setting):
+    """All members of small nodes stand for each other though most are not close; every node large."""
+    for name, value in setting.items():
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):  # a chain of near copies and a crowd of two thirds
+        rows.append(" ".join(f"c{j}" for j in range(4 * i, 4 * i + 90)))
+        rows.append(" ".join(f"s{j}" if rng.random() < 0.9 else f"r{i}x{j}" for j in range(80)))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=1).collect()}
+    assert found == groups({i: shingles(t, 1) for i, t in enumerate(rows)}, 80)
+
+
 def test_odd_rows_near(odd, no_docs):
     found = minhash.near_duplicates(odd, k=5).collect()
     assert len(found) == odd.count()

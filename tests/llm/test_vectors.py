@@ -134,3 +134,23 @@ def test_several_shards(spark, monkeypatch):
     rows = [r for r in odd_vectors() if r[0] is not None and r[0] < 1000 and r[0] != 7]
     found = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, 5).collect()
     assert recall(found, exact(rows, lambda v: v % 10 == 0, 5)) >= 0.9
+
+
+def test_crowded_label_loses_no_link(spark):
+    """Vectors that all lie in one direction, with planted pairs among them."""
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=64)
+    middle /= np.linalg.norm(middle)
+    noise = rng.normal(size=(5_000, 64))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = middle + 0.25 * noise
+    near = x[:60] + 0.012 * rng.normal(size=(60, 64)) / 8 ** 0.5
+    x = np.float32(np.concatenate([x, near]))
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    close = u @ u.T >= 0.98
+    np.fill_diagonal(close, False)
+    assert 60 <= close.sum() / 2 <= 2_000
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(4)
+    found = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    assert found == dict(enumerate(close.sum(axis=1).tolist()))
