@@ -12,13 +12,14 @@ costs ``SWITCH``; that labels the spans of mixed texts. The text's language is
 the one with most letters, its score their share.
 
 Words are the pieces between white space in lower case. Each distinct word of
-a slice is scored once; the search steps through all texts of a slice at once.
+a slice is scored once; the search steps through the texts of several slices at
+once.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; words
 without a letter take the language around them; ties go to the language first
 in alphabetical order; a null ``lang`` is not learned; without any learned
 language every text is ``und``; rows that repeat get the same result; texts are searched
-whole, in slices of ``TOGETHER`` bytes, and a very long one alone; an empty table
+whole, in slices bounded by bytes, and a very long one alone; an empty table
 gives no rows.
 """
 
@@ -42,9 +43,11 @@ SMOOTH = 0.1
 SCRIPT_SHARE = 0.001
 #: Score of a language that does not use a word's script.
 FOREIGN = -1000.0
-#: Texts that are searched together: at most so many bytes, or one text. Their
-#: n-grams take some sixty times as much memory.
+#: Texts whose words are scored together: at most so many bytes, or one text.
+#: Their n-grams take some sixty times as much memory.
 TOGETHER = 512 << 10
+#: Texts that are searched together; what is left of them then are the scores.
+SEARCHED = 4 << 20
 
 #: First and last code points of script ranges (fixed values, from Unicode).
 SCRIPTS = [
@@ -167,6 +170,8 @@ class Model:
     def scores(self, w: Words) -> np.ndarray:
         """Score of each distinct word for each language; 0 for words without letters."""
         out = np.empty((len(w.script), len(self.langs)))
+        if not self.langs:
+            return out
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(w.owners, weights=self.grams[w.grams, k], minlength=len(w.script))
         uses = self.uses[w.script]
@@ -224,16 +229,19 @@ def with_language(
         names = np.array([*m.langs, "und"], dtype=object)
 
         def each(batch: pa.RecordBatch):
-            for at, n in text_slices(batch.column(text), TOGETHER):
+            for at, n in text_slices(batch.column(text), SEARCHED):
                 some = batch.slice(at, n)
-                w = Words(some.column(text))
-                of_text = np.repeat(np.arange(n), w.sizes)
-                letters_ = w.letters[w.codes]
+                parts = []
+                for begin, length in text_slices(some.column(text), TOGETHER):
+                    w = Words(some.column(text).slice(begin, length))
+                    parts.append((w.sizes, w.letters[w.codes], m.scores(w)[w.codes]))
+                sizes, letters_, scores = (np.concatenate(x) for x in zip(*parts))
+                of_text = np.repeat(np.arange(n), sizes)
                 total = np.bincount(of_text, weights=letters_, minlength=n)
-                labels = np.zeros(len(w.codes), dtype=np.int64)
+                labels = np.zeros(len(letters_), dtype=np.int64)
                 share = np.zeros((n, max(1, len(m.langs))))
                 if m.langs:
-                    labels = viterbi(m.scores(w)[w.codes], w.sizes, switch)
+                    labels = viterbi(scores, sizes, switch)
                     np.add.at(share, (of_text, labels), letters_)
                 share /= np.maximum(total, 1)[:, None]
                 known = (total > 0) & bool(m.langs)
@@ -241,7 +249,7 @@ def with_language(
                 out = {c: some.column(i) for i, c in enumerate(given)}
                 out |= {pred: list(names[best]), score: np.where(known, share.max(axis=1), 0.0)}
                 if spans:
-                    out[spans] = _spans(labels, w.sizes, names, known)
+                    out[spans] = _spans(labels, sizes, names, known)
                 yield out
 
         return each
