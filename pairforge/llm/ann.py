@@ -1,24 +1,30 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-Equal vectors are one node. Nodes lie in shards by a hash, ``SHARD`` nodes
-each, so that a shard's graph fits a task whatever the table's size.
+Equal vectors are one node. Nodes lie in bands by the power of two of their
+norm, and in shards of a band by a hash, ``SHARD`` nodes each, so that a
+shard's graph fits a task whatever the table's size, and a few long vectors do
+not hide the differences of the others.
 
-Building: a few sorted projection passes give every node first neighbours.
+Building: a few sorted projection passes give every node first neighbours;
+equal codes are ordered by one more projection, another in each pass.
 Then each round joins neighbours of neighbours: a node's list goes to those in
 it and to a sample of those that have the node in theirs, every such group
 compares its new members with all, and whoever is nearer than a node's worst
 neighbour replaces it. Groups are bounded by the sample; the edges are a table
 of one row each, written after every round.
 
-Searching: each task takes one shard's graph and up to ``QUERIES`` queries and
-searches greedily: the best ``EXPAND`` unexpanded nodes of a beam are replaced
-by their neighbours until none is left. All shards' beams are merged, and the
-scores of what is returned are computed anew in double precision from the
-original vectors.
+Searching: a task loads one shard's graph and lets queries stream past it. Each
+is searched greedily: the best ``EXPAND`` unexpanded nodes of a beam are
+replaced by their neighbours until none is left. A shard's graph is copied only
+as often as it takes to have ``COPIES`` groups for each task, never more for
+more queries. All shards' beams are merged, and the scores of what is returned
+are computed anew in double precision from the original vectors.
 
 Nearness is the inner product. For vectors of different norm the graph is built
-with one more component that brings all to the largest norm, which keeps the
-order of inner products for any query.
+with one more component that brings all of a band to its largest norm, which
+keeps the order of inner products for any query. Components keep the precision
+they have in the table and are multiplied in double precision, so near copies
+are told apart wherever their scores differ.
 
 Cases: a vector that is null, empty, zero, or holds a null, infinite or
 undefined component takes no part, neither as query nor as candidate; shorter
@@ -30,11 +36,14 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from pairforge.llm.common import Workspace, arrow_map, grouped_map, partitions
+from pairforge.llm.common import Workspace, arrow_map, arrow_schema, column, grouped_map, partitions, record, ship
 from pairforge.llm.embed_dedup import usable
 
 SHARD = 65_536
@@ -47,40 +56,70 @@ SAMPLE = 20
 BEAM = 224
 EXPAND = 32
 QUERIES = 512
-ENTRIES = 64
+COPIES = 3
+ENTRIES = 1_024
 SEED = 3
 
 
-def _rows(raw: list, size: int, kind=np.float16) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), dtype=kind).reshape(-1, size).astype(np.float32)
+class Form(NamedTuple):
+    """How vectors are stored: components of this kind, then one added double."""
+
+    dims: int
+    kind: str
+    shards: int
+
+    def split(self, raw: list) -> tuple[np.ndarray, np.ndarray]:
+        """Components, and the added ones."""
+        width = self.dims * np.dtype(self.kind).itemsize
+        flat = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), width + 8)
+        return np.ascontiguousarray(flat[:, :width]).view(self.kind), np.ascontiguousarray(flat[:, width:]).view("f8")
+
+    def rows(self, raw: list) -> np.ndarray:
+        """Vectors with the added component, in double precision."""
+        return np.hstack([x.astype(np.float64) for x in self.split(raw)])
 
 
-def _nodes(vectors: DataFrame, ws: Workspace) -> tuple[DataFrame, int]:
-    """``node, shard, vec``: distinct vectors in half precision, and their length."""
+def _nodes(vectors: DataFrame, ws: Workspace) -> tuple[DataFrame, Form]:
+    """``node, shard, vec``: distinct vectors, and the form of ``vec``."""
+    kind = "f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "f8"
     fine = vectors.where(usable()).select(F.col("embedding").cast("array<double>").alias("embedding"))
     distinct = fine.groupBy(F.xxhash64("embedding").alias("node")).agg(F.first("embedding").alias("embedding"))
-    distinct = ws.stored(distinct, "distinct-vectors")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    n, dims, top = distinct.agg(F.count(F.lit(1)), F.max(F.size("embedding")), F.max(F.sqrt(norm))).first()
-    shards = max(1, -(-n // SHARD))
-    dims = dims or 0
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    # Borders lie between powers of two, so that unit vectors are all in one band.
+    band = F.coalesce(F.floor(F.log2(F.sqrt(square)) + 0.5), F.lit(-(1 << 20)))
+    distinct = ws.stored(distinct.withColumn("square", square).withColumn("band", band), "distinct-vectors")
+    counts = distinct.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.max("square").alias("top"), F.max(F.size("embedding")).alias("dims")
+    )
+    # One row per power of two that a double can have, some 2,000 at most.
+    bands, total = {}, 0
+    counted = counts.orderBy("band").collect()
+    for r in counted:
+        own = -(-r.n // SHARD)
+        bands[r.band] = (total, own, r.top)
+        total += own
+    form = Form(max((r.dims for r in counted), default=0), kind, max(1, total))
 
     def make():
         def each(batch: pa.RecordBatch):
-            lists = batch.column(1)
+            node, lists = batch.column(0).to_numpy(), batch.column(1)
             size = np.diff(lists.offsets.to_numpy())
-            x = np.zeros((len(size), dims + 1))
+            x = np.zeros((len(size), form.dims))
             values = lists.flatten().to_numpy()
-            x[np.repeat(np.arange(len(size)), size), np.concatenate([np.arange(s) for s in size])] = values / top
-            x[:, dims] = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))
+            x[np.repeat(np.arange(len(size)), size), np.concatenate([np.arange(s) for s in size])] = values
+            x = x.astype(form.kind)
+            first, own, top = (np.array(v) for v in zip(*(bands[b] for b in batch.column(3).to_pylist())))
+            with np.errstate(over="ignore", invalid="ignore"):
+                gap = top - (x.astype(np.float64) ** 2).sum(axis=1)
+            added = np.sqrt(np.maximum(0.0, np.nan_to_num(gap)))
             yield {
-                "node": batch.column(0), "shard": batch.column(0).to_numpy() % shards,
-                "vec": [v.tobytes() for v in x.astype(np.float16)],
+                "node": node, "shard": first + node % own,
+                "vec": [v.tobytes() + a.tobytes() for v, a in zip(x, added)],
             }
 
         return each
 
-    return ws.stored(arrow_map(distinct, make, "node bigint, shard bigint, vec binary"), "nodes"), dims + 1
+    return ws.stored(arrow_map(distinct, make, "node bigint, shard bigint, vec binary"), "nodes"), form
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -90,30 +129,31 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _first_edges(nodes: DataFrame, size: int) -> DataFrame:
+def _first_edges(nodes: DataFrame, form: Form) -> DataFrame:
     """Nearest in sorted blocks of several random projections."""
 
     def make_code():
         def each(batch: pa.RecordBatch):
-            x = _rows(batch.column(2).to_pylist(), size)
+            x = form.rows(batch.column(2).to_pylist())
             places = np.int64(1) << np.arange(59, -1, -1, dtype=np.int64)
             for k in range(PASSES):
-                planes = np.random.default_rng([SEED, k]).standard_normal((size, 60)).astype(np.float32)
+                planes = np.random.default_rng([SEED, k]).standard_normal((form.dims + 1, 61))
+                at = x @ planes
                 yield {
-                    "pass": np.full(len(x), k), "shard": batch.column(1), "code": (x @ planes > 0) @ places,
-                    "node": batch.column(0), "vec": batch.column(2),
+                    "pass": np.full(len(x), k), "shard": batch.column(1), "code": (at[:, :60] > 0) @ places,
+                    "line": np.nan_to_num(at[:, 60]), "node": batch.column(0), "vec": batch.column(2),
                 }
 
         return each
 
-    codes = arrow_map(nodes, make_code, "pass int, shard bigint, code bigint, node bigint, vec binary")
-    order = ["pass", "shard", "code", "node"]
+    codes = arrow_map(nodes, make_code, "pass int, shard bigint, code bigint, line double, node bigint, vec binary")
+    order = ["pass", "shard", "code", "line", "node"]
     laid = codes.repartitionByRange(partitions(nodes.sparkSession), *order).sortWithinPartitions(*order)
 
     def make():
         def each(batch: pa.RecordBatch):
             key = batch.column(0).to_numpy().astype(np.int64) * (1 << 40) + batch.column(1).to_numpy()
-            node, vec = batch.column(3).to_numpy(), batch.column(4)
+            node, vec = batch.column(4).to_numpy(), batch.column(5)
             cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
             for a, b in zip(cuts, cuts[1:]):
                 for at in range(a, b, TOGETHER):
@@ -121,7 +161,7 @@ def _first_edges(nodes: DataFrame, size: int) -> DataFrame:
                     own = node[at : min(at + TOGETHER, b)]
                     if len(own) < 2:
                         continue
-                    x = _rows(vec.slice(at, len(own)).to_pylist(), size)
+                    x = form.rows(vec.slice(at, len(own)).to_pylist())
                     s = x @ x.T
                     np.fill_diagonal(s, -np.inf)
                     k = min(FIRST, len(own) - 1)
@@ -134,7 +174,7 @@ def _first_edges(nodes: DataFrame, size: int) -> DataFrame:
 
         return each
 
-    return arrow_map(laid, make, "node bigint, to bigint, sim float, new boolean")
+    return arrow_map(laid, make, "node bigint, to bigint, sim double, new boolean")
 
 
 def _sampled(edges: DataFrame, centre: str, member: str, turn: int) -> DataFrame:
@@ -145,22 +185,22 @@ def _sampled(edges: DataFrame, centre: str, member: str, turn: int) -> DataFrame
     return rows.select(F.col(centre).alias("centre"), F.col(member).alias("member"), "new")
 
 
-def _round(edges: DataFrame, nodes: DataFrame, size: int, turn: int, ws: Workspace) -> DataFrame:
+def _round(edges: DataFrame, nodes: DataFrame, form: Form, turn: int, ws: Workspace) -> DataFrame:
     """One round of joining neighbours of neighbours."""
     forward = ws.stored(_sampled(edges, "node", "to", turn), "forward")
     both = forward.unionByName(_sampled(edges, "to", "node", turn))
     groups = both.groupBy("centre", "member").agg(F.max("new").alias("new"))
     worst = edges.groupBy("node").agg(
-        F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst")
+        F.when(F.count(F.lit(1)) >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(float("-inf"))).alias("worst")
     )
     known = nodes.join(worst, "node", "left").select(
-        F.col("node").alias("member"), "vec", F.coalesce("worst", F.lit(-2.0)).cast("float").alias("worst")
+        F.col("node").alias("member"), "vec", F.coalesce("worst", F.lit(float("-inf"))).alias("worst")
     )
     rows = groups.join(known, "member")
 
     def each(t: pa.Table, group: np.ndarray):
         member, new, worst = (t.column(c).to_numpy() for c in ("member", "new", "worst"))
-        x = _rows(t.column("vec").to_pylist(), size)
+        x = form.rows(t.column("vec").to_pylist())
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         found: list[list] = [[], [], []]
         for a, b in zip(starts, [*starts[1:], len(group)]):
@@ -177,7 +217,7 @@ def _round(edges: DataFrame, nodes: DataFrame, size: int, turn: int, ws: Workspa
             yield {"node": node, "to": to, "sim": sim, "new": np.ones(len(node), dtype=bool)}
 
     better = grouped_map(
-        rows, ["centre"], ["member"], each, "node bigint, to bigint, sim float, new boolean"
+        rows, ["centre"], ["member"], each, "node bigint, to bigint, sim double, new boolean"
     )
     # Those that were in a group now have met; the others stay new.
     met = forward.where("new").select(F.col("centre").alias("node"), F.col("member").alias("to"), F.lit(True).alias("met"))
@@ -186,13 +226,13 @@ def _round(edges: DataFrame, nodes: DataFrame, size: int, turn: int, ws: Workspa
     return _best(old.unionByName(better), NEIGHBOURS)
 
 
-def build(vectors: DataFrame, ws: Workspace, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, int]:
-    """Nodes, edges ``(node, to, sim)`` of the neighbour graph, and the vectors' length."""
-    nodes, size = _nodes(vectors, ws)
-    edges = ws.stored(_best(_first_edges(nodes, size), NEIGHBOURS), "edges")
+def build(vectors: DataFrame, ws: Workspace, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, Form]:
+    """Nodes, edges ``(node, to, sim)`` of the neighbour graph, and the vectors' form."""
+    nodes, form = _nodes(vectors, ws)
+    edges = ws.stored(_best(_first_edges(nodes, form), NEIGHBOURS), "edges")
     for turn in range(rounds):
-        edges = ws.stored(_round(edges, nodes, size, turn, ws), "edges")
-    return nodes, edges, size
+        edges = ws.stored(_round(edges, nodes, form, turn, ws), "edges")
+    return nodes, edges, form
 
 
 def _adjacent(edges: DataFrame) -> DataFrame:
@@ -203,11 +243,15 @@ def _adjacent(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.collect_list("to").alias("near"))
 
 
-def greedy(x: np.ndarray, near: np.ndarray, degree: np.ndarray, query: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Places of the beam, best first. ``near`` is padded, ``degree`` has the true lengths."""
+def greedy(x: np.ndarray, near: np.ndarray, query: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Places of the beam, best first. ``near`` is padded with -1."""
+
+    def scores(places):
+        return x[places].astype(np.float64) @ query
+
     seen = np.zeros(len(x), dtype=bool)
     seen[start] = True
-    beam, score = start, x[start] @ query
+    beam, score = start, scores(start)
     done = np.zeros(len(beam), dtype=bool)
     while True:
         order = np.argsort(-score, kind="stable")[:BEAM]
@@ -221,63 +265,90 @@ def greedy(x: np.ndarray, near: np.ndarray, degree: np.ndarray, query: np.ndarra
         found = np.unique(found[~seen[found]])
         seen[found] = True
         beam = np.r_[beam, found]
-        score = np.r_[score, x[found] @ query]
+        score = np.r_[score, scores(found)]
         done = np.r_[done, np.zeros(len(found), dtype=bool)]
 
 
+class Graph:
+    """A shard's graph inside a task; its rows come sorted by node."""
+
+    def __init__(self, rows: pa.Table, form: Form):
+        self.form = form
+        self.ids = rows.column("node").to_numpy()
+        self.x, _ = form.split(rows.column("vec").to_pylist())
+        lists = rows.column("near").combine_chunks()
+        degree = np.diff(lists.offsets.to_numpy())
+        self.near = np.full((len(self.ids), max(1, int(degree.max()))), -1, dtype=np.int32)
+        owner = np.repeat(np.arange(len(degree)), degree)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(degree) - degree, degree)
+        self.near[owner, place] = np.searchsorted(self.ids, lists.flatten().to_numpy())
+        self.entries = np.unique(np.linspace(0, len(self.ids) - 1, ENTRIES).astype(np.int64))
+
+    def search(self, names: np.ndarray, raw: list, keep: int) -> dict:
+        asked, found = [], []
+        # The added component is the data's only.
+        for name, query in zip(names, self.form.split(raw)[0].astype(np.float64)):
+            own = int(np.searchsorted(self.ids, name))
+            start = self.entries
+            if own < len(self.ids) and self.ids[own] == name:
+                start = np.union1d(start, [own])
+            beam = greedy(self.x, self.near, query, start)[:keep]
+            asked.append(np.full(len(beam), name))
+            found.append(self.ids[beam])
+        return {"query": np.concatenate(asked), "node": np.concatenate(found)}
+
+
 def search(
-    queries: DataFrame, nodes: DataFrame, edges: DataFrame, size: int, ws: Workspace, keep: int
+    queries: DataFrame, nodes: DataFrame, edges: DataFrame, form: Form, ws: Workspace, keep: int
 ) -> DataFrame:
     """``query, node``: the ``keep`` best nodes of each shard for ``queries`` of ``query, vec``.
 
-    A query that is itself a node starts there too; all start at a few entries.
+    A query that is itself a node starts there too; all start at the best of
+    ``ENTRIES`` nodes.
     """
-    shards = (nodes.agg(F.max("shard")).first()[0] or 0) + 1
-    graph = nodes.join(_adjacent(edges), "node", "left")
-    graph = ws.stored(graph, "graph")
-    salts = max(1, -(-queries.count() // QUERIES))
+    tasks = partitions(nodes.sparkSession)
+    graph = ws.stored(nodes.join(_adjacent(edges), "node", "left"), "graph")
+    salts = max(1, min(-(-queries.count() // QUERIES), -(-COPIES * tasks // form.shards)))
     asked = queries.select(
         F.pmod(F.xxhash64("query"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), F.col("query").alias("node"),
         "vec", F.lit(None).cast("array<bigint>").alias("near"),
     )
-    # The stated queries against every shard, in blocks.
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # The stated queries against every shard.
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(form.shards - 1))))
     copies = graph.select(
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "node", "vec", "near",
         "shard",
     )
-    both = copies.unionByName(asked)
-
-    def each(t: pa.Table, group: np.ndarray):
-        kind, name, raw = t.column("kind").to_numpy(), t.column("node").to_numpy(), t.column("vec").to_pylist()
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        for a, b in zip(starts, [*starts[1:], len(group)]):
-            n = int((kind[a:b] == 0).sum())
-            if not n or n == b - a:
-                continue
-            ids = name[a : a + n]  # sorted, as the group is
-            x = _rows(raw[a : a + n], size)
-            lists = t.column("near").slice(a, n).combine_chunks()
-            degree = np.diff(lists.offsets.to_numpy())
-            near = np.full((n, max(1, int(degree.max()))), -1, dtype=np.int64)
-            owner = np.repeat(np.arange(n), degree)
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(degree) - degree, degree)
-            near[owner, place] = np.searchsorted(ids, lists.flatten().to_numpy())
-            entries = np.unique(np.linspace(0, n - 1, ENTRIES).astype(np.int64))
-            asked_, found = [], []
-            for i in range(a + n, b):
-                own = int(np.searchsorted(ids, name[i]))
-                start = entries
-                if own < n and ids[own] == name[i]:
-                    start = np.unique(np.r_[entries, own])
-                query = _rows([raw[i]], size)[0]
-                query[-1] = 0.0  # the added component is the data's only
-                beam = greedy(x, near, degree, query, start)[:keep]
-                asked_.append(np.full(len(beam), name[i]))
-                found.append(ids[beam])
-            yield {"query": np.concatenate(asked_), "node": np.concatenate(found)}
-
-    return grouped_map(both, ["shard", "salt"], ["kind", "node"], each, "query bigint, node bigint")
+    dealt = copies.unionByName(asked).repartition(tasks, "shard", "salt")
+    dealt = dealt.sortWithinPartitions("shard", "salt", "kind", "node")
+    kinds = arrow_schema("query bigint, node bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, graph = None, [], None
+        for batch in batches:
+            columns = [column(batch, c) for c in ("shard", "salt", "kind")]
+            new = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+            for c in columns:
+                new |= c[1:] != c[:-1]
+            cuts = np.r_[0, np.flatnonzero(new) + 1, batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                own = (columns[0][a], columns[1][a])
+                if own != group:
+                    group, rows, graph = own, [], None
+                part = batch.slice(a, b - a)
+                if columns[2][a] == 0:
+                    rows.append(part)
+                    continue
+                if rows:
+                    graph, rows = Graph(pa.Table.from_batches(rows), form), []
+                if graph:
+                    raw = part.column(part.schema.get_field_index("vec")).to_pylist()
+                    yield record(graph.search(column(part, "node"), raw, keep), kinds)
+
+    ship(nodes.sparkSession)
+    return dealt.mapInArrow(run, "query bigint, node bigint")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
@@ -296,11 +367,11 @@ def _nearest(vectors: DataFrame, is_query, k: int, ws: Workspace) -> DataFrame:
         F.xxhash64(F.col("embedding").cast("array<double>")).alias("node"),
     )
     rows = ws.stored(rows, "vectors")
-    nodes, edges, size = build(vectors.select("embedding"), ws)
+    nodes, edges, form = build(vectors.select("embedding"), ws)
     asked = rows.where("asks").select(F.col("node").alias("query")).distinct()
     queries = asked.join(nodes.select(F.col("node").alias("query"), "vec"), "query")
     # A node more than asked for, as the query's own may be among them, and room for rounding.
-    found = ws.stored(search(ws.stored(queries, "queries"), nodes, edges, size, ws, 2 * k + 1), "found")
+    found = ws.stored(search(ws.stored(queries, "queries"), nodes, edges, form, ws, 2 * k + 1), "found")
     vector = rows.groupBy("node").agg(F.first("x").alias("x"))
     scored = found.join(vector.withColumnRenamed("node", "query").withColumnRenamed("x", "q"), "query")
     scored = scored.join(vector, "node").select("query", "node", _inner("q", "x").alias("score"))

@@ -136,6 +136,43 @@ def test_several_shards(spark, monkeypatch):
     assert recall(found, exact(rows, lambda v: v % 10 == 0, 5)) >= 0.9
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("case", ["near 1e-3", "near 1e-4", "one long"])
+def test_close_and_long_vectors(spark, case):
+    """Near copies that differ by little, beside others, and one vector that is much longer than the rest."""
+    rng = np.random.default_rng(4)
+    if case == "one long":
+        x = rng.normal(size=(2_000, 64))
+        x[17] *= 1e4
+    else:
+        near = unit(unit(rng.normal(size=(1, 64))) + float(case.split()[1]) * rng.normal(size=(1_500, 64)))
+        x = np.concatenate([near, unit(rng.normal(size=(500, 64)))])
+    x = np.float32(x)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found: dict[int, set] = {}
+    for r in ann.nearest(df.repartition(4), F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float64)
+    shares = []
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        shares.append(len(found[q] & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(shares) >= 0.95
+
+
+def test_double_vectors(spark):
+    """Components that only double precision tells apart, and norms beyond its range."""
+    base = np.ones(8)
+    rows = [(i, [float(c) for c in base * (1 + i * 1e-12)]) for i in range(60)] + [(90, [1e200] * 8), (91, [1e-200] * 8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r.rank: r.vec_id for r in ann.nearest(df, F.col("vec_id") == 10, 5).collect()}
+    assert found == {1: 90, 2: 59, 3: 58, 4: 57, 5: 56}
+
+
 def test_crowded_label_loses_no_link(spark):
     """Vectors that all lie in one direction, with planted pairs among them."""
     rng = np.random.default_rng(9)
