@@ -30,12 +30,13 @@ import json
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairforge.llm.common import Workspace, arrow_map, column, partitions
+from pairforge.llm.common import Workspace, arrow_map, arrow_schema, column, partitions, record, ship
 
 SHARED = 100
 #: A file is closed when it has this many bytes.
@@ -148,29 +149,38 @@ def build_index(captures: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFram
     ordered = captures.repartitionByRange(partitions(captures.sparkSession), "key", "file", "offset")
     ordered = ordered.sortWithinPartitions("key", "file", "offset")
 
-    def make():
-        from pyspark import TaskContext
+    kinds = arrow_schema("block_id bigint, first_key string, data binary")
 
-        block = TaskContext.get().partitionId() << 32
+    def block(number: int, part: pa.Table) -> pa.RecordBatch:
+        rows = part.to_pylist()
+        fields = ("page_id", "file", "offset", "length", "record_type")
+        text = "".join(f"{r['key']} {json.dumps({k: r[k] for k in fields})}\n" for r in rows)
+        columns = {"block_id": [number], "first_key": [rows[0]["key"]], "data": [zlib.compress(text.encode())]}
+        return record(columns, kinds)
 
-        def each(batch: pa.RecordBatch):
-            nonlocal block
-            out: dict[str, list] = {"block_id": [], "first_key": [], "data": []}
-            for at in range(0, batch.num_rows, lines):
-                rows = batch.slice(at, lines).to_pylist()
-                text = "".join(
-                    f"{r['key']} {json.dumps({k: r[k] for k in ('page_id', 'file', 'offset', 'length', 'record_type')})}\n"
-                    for r in rows
-                )
-                out["block_id"].append(block)
-                out["first_key"].append(rows[0]["key"])
-                out["data"].append(zlib.compress(text.encode()))
-                block += 1
-            yield out
-
-        return each
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    blocks = arrow_map(ordered, make, "block_id bigint, first_key string, data binary")
+        number = TaskContext.get().partitionId() << 32
+        waiting: list[pa.RecordBatch] = []
+        n = 0
+        # Rows are carried over batches, so only a partition's last block is short.
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n < lines:
+                continue
+            t = pa.Table.from_batches(waiting)
+            whole = n - n % lines
+            for at in range(0, whole, lines):
+                yield block(number, t.slice(at, lines))
+                number += 1
+            waiting, n = t.slice(whole).to_batches(), n - whole
+        if n:
+            yield block(number, pa.Table.from_batches(waiting))
+
+    ship(captures.sparkSession)
+    blocks = ordered.mapInArrow(run, "block_id bigint, first_key string, data binary")
     blocks = ws.stored(blocks, "index-blocks")
     return blocks, blocks.select("block_id", "first_key")
 

@@ -78,3 +78,23 @@ def test_url_keys(spark):
     df = spark.createDataFrame([("http://www.Example.com:80/a?b#c",), ("https://x.org",), ("plain",), (None,)], "u string")
     keys = [r[0] for r in df.select(warc.url_key("u")).collect()]
     assert keys == ["com,example,www)/a?b", "org,x)/", "plain", ""]
+
+
+def test_directory_is_bounded(spark, monkeypatch):
+    """Blocks reach over Arrow batches: one short block for each partition at most."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        captures = spark.range(503).selectExpr(
+            "concat('k', lpad(id, 4, '0')) AS key", "id AS page_id", "'f' AS file", "id AS offset", "1L AS length",
+            "'response' AS record_type",
+        )
+        with Workspace(spark) as ws:
+            blocks, directory = warc.build_index(captures, ws)
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            assert directory.count() <= 503 // 10 + parts
+            found = warc.look_up(captures.select("key"), blocks, directory)
+            assert sorted((r.key, r.page_id) for r in found.collect()) == [(f"k{i:04}", i) for i in range(503)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
