@@ -69,9 +69,9 @@ class Workspace:
     def __exit__(self, *_) -> None:
         del owners[next(i for i, paths in enumerate(owners) if paths is self.paths)]
         for path in self.paths:
-            self._delete(path)
+            self.delete(path)
 
-    def _delete(self, path: str) -> None:
+    def delete(self, path: str) -> None:
         there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
 
@@ -79,14 +79,14 @@ class Workspace:
         self.paths.append(fresh_path(self.spark, name))
         return self.paths[-1]
 
-    def stored(self, df: DataFrame, name: str, *partitions: str) -> DataFrame:
-        """Write a step's table and read it back.
+    def stored(self, df: DataFrame, name: str, *partitions: str, at: str | None = None) -> DataFrame:
+        """Write a step's table and read it back; ``at`` a path of the caller, who deletes it.
 
         Spark deletes shuffle files when the driver has collected the step that
         made them, by default every half hour; here after each step, so that
         the shuffles of many steps do not add up on the executors' disks.
         """
-        out = _written(df, self.path(name), *partitions)
+        out = _written(df, at or self.path(name), *partitions)
         self.spark._jvm.System.gc()
         return out
 
@@ -109,7 +109,7 @@ class Workspace:
 
 
 def _written(df: DataFrame, path: str, *partitions: str) -> DataFrame:
-    df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,15 +3,19 @@
 Every string of ``LENGTH`` bytes has an anchor: the leftmost of its ``SEED``-byte
 grams with the least hash. Equal strings have their anchors at the same place,
 so suffixes that start at anchors are enough, one in some 70 bytes. A suffix array
-here is a table of such suffixes in the order of a 64-bit fingerprint of their
-first ``SEED`` bytes and then of a second one of the whole stretch of strings
-that share the anchor.
-
-Documents come in ``BATCHES`` batches. Each gets its array; the fingerprints of
-the array and of all existing levels are united and counted by hash, which finds
-those that occur again (no merge scan: the order of the levels is not used, and
-is one of hashes, not of bytes); then it becomes level 0, and two levels of equal size merge to the next
-when another batch comes. After the last batch every repeated anchor is known.
+here is a table of such suffixes in the order of their first ``SEED`` bytes, in
+files that follow each other, and of equal ones by a 64-bit fingerprint of the
+whole stretch of strings that share the anchor.
+
+Documents come in ``BATCHES`` batches. Each gets its array, which is merged with
+all existing levels into one order, range by range, and scanned: neighbours with
+equal bytes are matches. A scan keeps one suffix in memory, whatever the number
+of equal ones, and a run of equal suffixes may reach over many ranges: what the
+ends of a range leave open is settled by counts of the two ends of all ranges.
+Then the array becomes a level of one batch, and two levels of equal size merge
+when there are such. Each suffix is reported once, by the scan that first finds
+another like it. Levels and reports lie in a folder: a family that is opened on
+it again goes on from there.
 
 What remains is exact and small: suffixes with a repeated anchor fall into
 classes of equal stretches. A class with two members is repeated as a whole.
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.common import (
-    Workspace, arrow_map, free_name, grouped_map, id_key, mix, partitions, seeds, text_key,
+    Workspace, arrow_map, arrow_schema, free_name, grouped_map, id_key, mix, partitions, record, seeds, ship, text_key,
 )
 
 LENGTH = 200
@@ -44,8 +48,6 @@ SEED = 32
 BATCHES = 4
 #: String starts that are looked at together.
 CHUNK = 1 << 20
-#: Tasks over which the suffixes of one fingerprint are spread.
-SPREAD = 8
 #: Odd base of the rolling hash (any odd number does).
 BASE = 0x9E3779B97F4A7C15
 
@@ -55,7 +57,10 @@ GROUP = 16_384
 
 #: ``place`` holds the anchor's position, and how far before it the first and
 #: the last string of the stretch start, in 48, 8 and 8 bits.
-ARRAY = "fp bigint, ext bigint, doc bigint, place bigint, batch int"
+ARRAY = "key binary, ext bigint, doc bigint, place bigint"
+#: A scan's rows: reported, the counts at an end of a range, and a suffix these decide on.
+FOUND = ARRAY + ", old bigint, new bigint, kind int"
+SURE, COUNTS, OPEN = 0, 1, 2
 FAR = "(shiftright(place, 8) & 255)"
 FIRST = f"(shiftright(place, 16) - {FAR})"
 LAST = "(shiftright(place, 16) - (place & 255))"
@@ -87,12 +92,12 @@ def anchors(data: np.ndarray, room: np.ndarray, length: int, seed: int):
     """Anchor, first and last start of each stretch of strings with one anchor.
 
     ``room`` has for each byte how many bytes its document has from there on.
-    Returns also the two fingerprints.
+    Returns also the fingerprint of the stretch.
     """
     n, width = len(data), length - seed + 1
     if n < length:
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
+        return none, none, none, none
     roll = Rolling(data)
     grams = n - seed + 1
     hashes = mix((roll.sums[seed:] - roll.sums[:grams]) * roll.inverse[:grams])
@@ -108,14 +113,14 @@ def anchors(data: np.ndarray, room: np.ndarray, length: int, seed: int):
     start = np.flatnonzero(room[:starts] >= length)
     if not len(start):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none, none
+        return none, none, none, none
     anchor = (low[start] & np.uint64((1 << 24) - 1)).astype(np.int64)
     cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(start) != 1)) + 1
     first, last = np.r_[0, cut], np.r_[cut, len(start)] - 1
     anchor, lo, hi = anchor[first], start[first], start[last]
     shape = ((anchor - hi) << 16 | (anchor - lo)).astype(np.uint64)
     ext = mix(roll.of(lo, hi + length) ^ mix(shape + np.uint64(1)))
-    return anchor, lo, hi, hashes[anchor].view(np.int64), ext.view(np.int64)
+    return anchor, lo, hi, ext.view(np.int64)
 
 
 def buffers(raws: list, length: int):
@@ -154,59 +159,201 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(id_key(), text_key()).alias("doc"), raw.alias("raw"))
 
 
-def suffixes(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """The anchored suffixes of all documents, with the batch of each."""
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as an Arrow column."""
+    n, width = rows.shape
+    ends = pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int64))
+    data = pa.py_buffer(np.ascontiguousarray(rows))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, ends, data])
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The same column, of values of one length, as rows of bytes."""
+    raw = column.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(raw), -1)
+
+
+def suffixes(rows: DataFrame, length: int, seed: int) -> DataFrame:
+    """The anchored suffixes of the texts ``doc, raw``."""
 
     if not 0 <= length - seed < 256:
         raise ValueError("a string may be up to 255 bytes longer than its anchor")
 
     def make():
         def each(batch: pa.RecordBatch):
-            key = batch.column(0).to_numpy()
+            docs = batch.column(0).to_numpy()
             for data, room, parts in buffers([r.as_buffer() for r in batch.column(1)], length):
-                anchor, lo, hi, fp, ext = anchors(data, room, length, seed)
+                anchor, lo, hi, ext = anchors(data, room, length, seed)
                 owner, base, shift = (np.array(x) for x in zip(*parts))
                 part = np.searchsorted(base, anchor, side="right") - 1
-                doc = key[owner[part]]
                 yield {
-                    "batch": doc % BATCHES, "fp": fp, "ext": ext, "doc": doc,
+                    "key": _binary(data[anchor[:, None] + np.arange(seed)]), "ext": ext, "doc": docs[owner[part]],
                     "place": (anchor - base[part] + shift[part]) << 16 | (anchor - lo) << 8 | (anchor - hi),
                 }
 
         return each
 
-    return arrow_map(_documents(docs).select("doc", "raw"), make, ARRAY)
+    return arrow_map(rows, make, ARRAY)
+
+
+def in_order(array: DataFrame, *after_key: str) -> DataFrame:
+    """Dealt out in ranges of the suffixes' order and sorted; equal suffixes may lie in several ranges."""
+    order = ["key", *after_key, "ext", "doc", "place"]
+    return array.repartitionByRange(partitions(array.sparkSession), *order).sortWithinPartitions(*order)
+
+
+class MergeScan:
+    """One pass over suffixes in order, of equal ones those of levels before new ones.
+
+    Reports every new suffix that has an equal one, and one of a level if its
+    only equal ones are new. The first and the last run of equal suffixes may
+    go on in other ranges, so they leave their counts, and the one suffix, if
+    any, that the counts of all ranges decide on.
+    """
+
+    def __init__(self, kinds: pa.Schema):
+        self.kinds = kinds
+        self.key: bytes | None = None
+        self.first = True
+        self.old = self.new = 0
+        self.waiting: pa.RecordBatch | None = None
+
+    def rows(self, part: pa.RecordBatch, kind: int = SURE, old: int = 0, new: int = 0) -> pa.RecordBatch:
+        n = part.num_rows
+        own = {c: part.column(c) for c in ("key", "ext", "doc", "place")}
+        return record(own | {"old": np.full(n, old), "new": np.full(n, new), "kind": np.full(n, kind)}, self.kinds)
+
+    def step(self, batch: pa.RecordBatch):
+        keys, new = _bytes(batch.column("key")), batch.column("new").to_numpy() == 1
+        start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        end = np.r_[start[1:], len(new)]
+        n_new = np.add.reduceat(new.astype(np.int64), start)
+        n_old = end - start - n_new
+        # Runs that lie within the batch at once, its first and last one by one.
+        inner = np.ones(len(start), dtype=bool)
+        inner[[0, -1]] = False
+        run = np.repeat(np.arange(len(start)), end - start)
+        hit = np.where(new, (n_old + n_new > 1)[run], ((n_old == 1) & (n_new > 0))[run])
+        at = np.flatnonzero(hit & inner[run])
+        if len(at):
+            yield self.rows(batch.take(pa.array(at)))
+        for g in sorted({0, len(start) - 1}):
+            key = keys[start[g]].tobytes()
+            if key != self.key:
+                yield from self.close(False)
+                self.key, self.old, self.new = key, 0, 0
+            yield from self.feed(batch.slice(start[g], end[g] - start[g]), int(n_old[g]), int(n_new[g]))
+
+    def feed(self, part: pa.RecordBatch, n_old: int, n_new: int):
+        """More suffixes of the current run."""
+        self.old += n_old
+        self.new += n_new
+        if n_old:
+            self.waiting = part.slice(0, 1) if self.old == 1 else None
+        if n_new and self.old + self.new == 1:
+            self.waiting = part.slice(0, 1)
+        elif n_new:
+            if self.waiting is not None and not self.old:
+                yield self.rows(self.waiting)
+                self.waiting = None
+            yield self.rows(part.slice(n_old))
+
+    def close(self, at_end: bool):
+        """The current run is over, in this range."""
+        if self.key is None:
+            return
+        if self.first or at_end:
+            whole = pa.RecordBatch.from_pydict({"key": [self.key], "ext": [0], "doc": [0], "place": [0]})
+            yield self.rows(whole, COUNTS, self.old, self.new)
+            if self.waiting is not None:
+                yield self.rows(self.waiting, OPEN, int(self.old > 0), int(self.old == 0))
+        elif self.waiting is not None and self.old and self.new:
+            yield self.rows(self.waiting)
+        self.first, self.waiting = False, None
 
 
 class SuffixFamily:
-    """Levels of suffix arrays; a level's size is the number of its batches."""
+    """Levels of suffix arrays in a folder; a level's size is the number of its batches.
 
-    def __init__(self, ws: Workspace):
-        self.ws = ws
-        self.levels: list[tuple[int, DataFrame]] = []
+    Without ``folder`` they lie in the workspace and go with it. A folder of
+    the caller keeps the levels, all reports, and a manifest with the levels
+    after each batch; ``again`` goes on with the last of them.
+    """
 
-    def add(self, array: DataFrame, last: bool = False) -> DataFrame:
-        """Count a new array's fingerprints with those of all levels; returns its repeated ones.
+    def __init__(
+        self, ws: Workspace, length: int = LENGTH, seed: int = SEED, folder: str | None = None, again: bool = False
+    ):
+        self.ws, self.length, self.seed = ws, length, seed
+        self.folder = (folder or ws.path("suffix-family")).rstrip("/")
+        self.batches = 0
+        self.levels: list[tuple[int, str]] = []
+        if again:
+            rows = ws.spark.read.schema("batches int, size int, name string").json(f"{self.folder}/manifest")
+            last = rows.where(F.col("batches") == rows.agg(F.max("batches")).first()[0]).collect()
+            self.batches = last[0].batches
+            self.levels = sorted(((r.size, r.name) for r in last), reverse=True)
+
+    def level(self, name: str) -> DataFrame:
+        return self.ws.spark.read.schema(ARRAY).parquet(f"{self.folder}/{name}")
+
+    def add(self, rows: DataFrame, last: bool = False) -> None:
+        """Take in the texts ``doc, raw`` of a batch.
 
         Unless it is the ``last``, levels of equal size are merged afterwards.
         """
-        rows = array.select("fp", F.lit(1).alias("new"))
-        for _, level in self.levels:
-            rows = rows.unionByName(level.select("fp", F.lit(0).alias("new")))
-        seen = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new"))
-        found = self.ws.stored(seen.where("n > 1 and new = 1").select("fp"), "repeated")
-        self.levels.append((1, array))
+        b = self.batches
+        loose = f"{self.folder}/loose-{b}"
+        array = self.ws.stored(suffixes(rows, self.length, self.seed), "suffixes", at=loose)
+        array = self.ws.stored(in_order(array), "array", at=f"{self.folder}/level-{b}-{b}")
+        self.ws.delete(loose)
+        merged = array.withColumn("new", F.lit(1))
+        for _, name in self.levels:
+            merged = merged.unionByName(self.level(name).withColumn("new", F.lit(0)))
+        found = self.ws.stored(self._scanned(in_order(merged, "new")), "found", "kind", at=f"{self.folder}/found-{b}")
+        counts = found.where(F.col("kind") == COUNTS).groupBy("key")
+        counts = counts.agg(F.sum("old").alias("all_old"), F.sum("new").alias("all_new"))
+        open_ = found.where(F.col("kind") == OPEN).join(counts, "key")
+        open_ = open_.where("(old = 1 and all_old = 1 and all_new > 0) or (new = 1 and all_old + all_new > 1)")
+        self.ws.stored(open_.select("key", "ext", "doc", "place"), "at-ends", at=f"{self.folder}/ends-{b}")
+        self.levels.append((1, f"level-{b}-{b}"))
+        gone = []
         while not last and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((n + m, self.ws.stored(in_order(a.unionByName(b)), f"level-{n + m}")))
-        return found
-
-
-def in_order(array: DataFrame, *before: str) -> DataFrame:
-    """Dealt out by fingerprint, a hot one over several tasks, and sorted."""
-    n = partitions(array.sparkSession)
-    dealt = array.repartition(n, *before, "fp", F.pmod("doc", F.lit(SPREAD)))
-    return dealt.sortWithinPartitions(*before, "fp", "ext", "doc", "place")
+            (n, x), (m, y) = self.levels.pop(), self.levels.pop()
+            name = f"level-{b + 1 - n - m}-{b}"
+            both = self.level(x).unionByName(self.level(y))
+            self.ws.stored(in_order(both), "level", at=f"{self.folder}/{name}")
+            self.levels.append((n + m, name))
+            gone += [x, y]
+        self.batches += 1
+        manifest = [(self.batches, n, name) for n, name in self.levels]
+        manifest = self.ws.spark.createDataFrame(manifest, "batches int, size int, name string")
+        manifest.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+        for name in gone:
+            self.ws.delete(f"{self.folder}/{name}")
+
+    def _scanned(self, rows: DataFrame) -> DataFrame:
+        kinds = arrow_schema(FOUND)
+
+        def run(batches):
+            scan = MergeScan(kinds)
+            for batch in batches:
+                if batch.num_rows:
+                    yield from scan.step(batch)
+            yield from scan.close(True)
+
+        ship(rows.sparkSession)
+        return rows.mapInArrow(run, FOUND)
+
+    def found(self) -> DataFrame:
+        """``fp, ext, doc, place`` of all suffixes so far that have an equal one, each once."""
+        read, out = self.ws.spark.read, None
+        for b in range(self.batches):
+            sure = read.schema(FOUND).parquet(f"{self.folder}/found-{b}").where(F.col("kind") == SURE)
+            ends = read.schema(ARRAY).parquet(f"{self.folder}/ends-{b}")
+            both = sure.select("key", "ext", "doc", "place").unionByName(ends)
+            out = both if out is None else out.unionByName(both)
+        return out.select(F.xxhash64("key").alias("fp"), "ext", "doc", "place")
 
 
 def _contexts(docs: DataFrame, members: DataFrame, ws: Workspace, length: int) -> DataFrame:
@@ -307,17 +454,17 @@ def _counted(contexts: DataFrame, ws: Workspace, length: int) -> DataFrame:
 
 def repeated(docs: DataFrame, ws: Workspace, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``doc, runs``: of each document with repeats, the starts ``(first, last)`` of its repeated strings."""
-    arrays = ws.stored(in_order(suffixes(docs, length, seed), "batch"), "arrays", "batch")
-    family = SuffixFamily(ws)
-    found = None
+    family = SuffixFamily(ws, length, seed)
+    rows = _documents(docs).select("doc", "raw")
     for b in range(BATCHES):
-        new = family.add(arrays.where(F.col("batch") == b).drop("batch"), last=b == BATCHES - 1)
-        found = new if found is None else found.unionByName(new)
-    every = family.levels[0][1]
-    for _, level in family.levels[1:]:
-        every = every.unionByName(level)
-    found = ws.stored(found.distinct(), "anchors").hint("merge")
-    chosen = ws.stored(every.join(found, "fp"), "repeated-suffixes")
+        family.add(rows.where(F.pmod("doc", F.lit(BATCHES)) == b), last=b == BATCHES - 1)
+    for _, name in family.levels:
+        ws.delete(f"{family.folder}/{name}")
+    return repeats_of(docs, family.found(), ws, length)
+
+
+def repeats_of(docs: DataFrame, chosen: DataFrame, ws: Workspace, length: int = LENGTH) -> DataFrame:
+    """The same from what a family found in these documents."""
     classes = chosen.groupBy("fp", "ext").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one"))
     classes = ws.stored(classes, "classes")
     whole = chosen.join(classes.where("n > 1").select("fp", "ext"), ["fp", "ext"])

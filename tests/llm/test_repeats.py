@@ -6,10 +6,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairforge.llm import line_dedup, minhash, suffix_dedup
-from pairforge.llm.common import Workspace, components
+from pairforge.llm.common import Workspace, arrow_schema, components
 
 
 def removed(texts, length):
@@ -59,7 +62,7 @@ def test_buffers_cut_long_texts(spark, monkeypatch):
     raws = [t.encode() for t in texts]
     starts = set()
     for data, room, parts in suffix_dedup.buffers(raws, 50):
-        _, lo, hi, _, _ = suffix_dedup.anchors(data, room, 50, 16)
+        _, lo, hi, _ = suffix_dedup.anchors(data, room, 50, 16)
         for a, b in zip(lo, hi):
             owner, base, at = [p for p in parts if p[1] <= a][-1]
             starts |= {(owner, at + p - base) for p in range(a, b + 1)}
@@ -68,17 +71,86 @@ def test_buffers_cut_long_texts(spark, monkeypatch):
     assert starts == wanted
 
 
+def scanned(ranges, size):
+    """What scans of ranges of ``(key, new, place)`` report, their ends settled as the family does."""
+    sure, counts, left = [], {}, []
+    kinds = arrow_schema(suffix_dedup.FOUND)
+    for rows in ranges:
+        scan = suffix_dedup.MergeScan(kinds)
+        out = []
+        for at in range(0, len(rows), size):
+            part = rows[at : at + size]
+            columns = {"key": [b"%03d" % k for k, _, _ in part], "new": [n for _, n, _ in part]}
+            columns |= {"ext": [0] * len(part), "doc": [0] * len(part), "place": [p for _, _, p in part]}
+            out += scan.step(pa.RecordBatch.from_pydict(columns))
+        for r in [r for batch in [*out, *scan.close(True)] for r in batch.to_pylist()]:
+            if r["kind"] == suffix_dedup.SURE:
+                sure.append(r["place"])
+            elif r["kind"] == suffix_dedup.COUNTS:
+                old, new = counts.get(r["key"], (0, 0))
+                counts[r["key"]] = (old + r["old"], new + r["new"])
+            else:
+                left.append(r)
+    for r in left:
+        old, new = counts[r["key"]]
+        if (r["old"] and old == 1 and new) or (r["new"] and old + new > 1):
+            sure.append(r["place"])
+    return sorted(sure)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_merge_scan_reports_each_suffix_once(spark, seed):
+    rng = random.Random(seed)
+    rows = sorted((rng.choice([0, rng.randrange(1, 12)]), rng.randrange(2), p) for p in range(rng.randrange(1, 60)))
+    old, new = Counter(k for k, n, _ in rows if not n), Counter(k for k, n, _ in rows if n)
+    wanted = [p for k, n, p in rows if (old[k] + new[k] > 1 if n else old[k] == 1 and new[k])]
+    cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(6)))
+    ranges = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+    assert scanned(ranges, rng.choice([1, 2, 5, 100])) == sorted(wanted)
+
+
 def test_levels_merge_geometrically(spark):
+    text = "".join(chr(97 + i * i % 23) for i in range(40))
     with Workspace(spark) as ws:
-        family = suffix_dedup.SuffixFamily(ws)
-        sizes = []
+        family = suffix_dedup.SuffixFamily(ws, 40, 40)
+        sizes, found = [], []
         for b in range(5):
-            rows = [(b, 1, b, 0), (99, 1, b, 0)]
-            schema = "fp bigint, ext bigint, doc bigint, place bigint"
-            found = [r.fp for r in family.add(spark.createDataFrame(rows, schema)).collect()]
-            assert found == ([99] if b else [])
+            rows = [(10 * b + i, t.encode()) for i, t in enumerate([text, text[::-1][: 39 - b] + "0123456789"])]
+            family.add(spark.createDataFrame(rows, "doc bigint, raw binary"))
             sizes.append([n for n, _ in family.levels])
+            found.append({r.doc for r in family.found().select("doc").distinct().collect()} & set(range(0, 50, 10)))
         assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
+        assert found == [set(), {0, 10}, {0, 10, 20}, {0, 10, 20, 30}, {0, 10, 20, 30, 40}]
+        assert family.found().count() == family.found().distinct().count()
+        for _, name in family.levels:
+            keys = [bytes(r.key) for r in family.level(name).collect()]
+            assert len(keys) == family.level(name).count() and all(len(k) == 40 for k in keys)
+
+
+def test_a_later_call_adds_a_batch(spark, docs, tmp_path):
+    """Levels in a folder; a second workspace adds a batch, and all repeats are those of one go."""
+    rows = docs.orderBy("doc_id").collect()
+    half = len(rows) // 2
+    folder = str(tmp_path / "family")
+    whole = suffix_dedup._documents(docs)
+    for again, side in ((False, F.col("doc_id") <= rows[half].doc_id), (True, F.col("doc_id") > rows[half].doc_id)):
+        with Workspace(spark) as ws:
+            family = suffix_dedup.SuffixFamily(ws, folder=folder, again=again)
+            family.add(whole.where(side).select("doc", "raw"))
+            sizes = [n for n, _ in family.levels]
+            runs = suffix_dedup.repeats_of(docs, family.found(), ws)
+            found = {r.doc_id: r.runs for r in runs.join(whole, "doc").collect()}
+    assert sizes == [2]
+    level = [bytes(r.key) for r in family.level(family.levels[0][1]).collect()]
+    assert len(level) > 100 and sum(a > b for a, b in zip(level, level[1:])) < 32
+    wanted = removed([r.text for r in rows], 200)
+    for r, w in zip(rows, wanted):
+        own = np.array([tuple(x) for x in found.get(r.doc_id, [])], dtype=np.int64).reshape(-1, 2)
+        covered = 0
+        if len(own):
+            a, b = suffix_dedup.spans(own[:, 0], own[:, 1], 200)
+            covered = int((b - a).sum())
+        assert covered == w[1]
 
 
 def test_odd_rows_lose_only_what_repeats(odd, no_docs):
