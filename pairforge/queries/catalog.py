@@ -735,8 +735,7 @@ def _artifact_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = views.runs(spark, sf).select(top.alias("top"), "experiment", F.inline(files)).where(F.col("text").isNotNull())
     path = F.concat_ws("/", "top", "experiment", "file")
-    sinks.write_files(rows.select(path.alias("path"), "text"), root)
-    return records.files_below(spark, root)
+    return records.files_below(spark, root, sinks.write_files(rows.select(path.alias("path"), "text"), root))
 
 
 def artifact_listing(spark: SparkSession, sf: str) -> DataFrame:
@@ -753,9 +752,9 @@ def config_documents(spark: SparkSession, sf: str) -> DataFrame:
     planned = outcomes.plan_outcomes(grid.grid(spark), found, models)
     root = fresh_path(spark, "config-documents")
     folder = F.coalesce("run_id", "experiment_name")
-    sinks.write_config_documents(planned.withColumn("folder", folder), root, "folder")
+    written = sinks.write_config_documents(planned.withColumn("folder", folder), root, "folder")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in planned.schema.fields)
-    return records.read_configs(spark, f"{root}/*/training_config.json", schema)
+    return records.read_configs(spark, root, schema, written)
 
 
 def summary_figures(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairforge.operators.logs import log_kind
@@ -46,17 +49,81 @@ def _last_part(path: Column) -> Column:
     return F.regexp_replace(name, r"^experiment_name=", "")
 
 
-def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+#: Files and bytes that a task reads before it passes them on.
+READ_FILES = 1024
+READ_BYTES = 1 << 24
+
+
+def _dealt(written: DataFrame, root: str) -> DataFrame:
+    """Whole names of written files, dealt out to the tasks that open them."""
+    return written.select(F.concat(F.lit(f"{root.rstrip('/')}/"), "path").alias("path")).repartition("path")
+
+
+def file_texts(written: DataFrame, root: str) -> DataFrame:
+    """``path, value`` of the files that ``write_files`` returned, each opened by a task.
+
+    The driver sees no name and a file is no split of its own, so very many
+    small files cost what it takes to open them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, _ = fs.FileSystem.from_uri(root)
+        names, texts, size = [], [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with files.open_input_stream(name if "://" not in name else fs.FileSystem.from_uri(name)[1], compression=None) as f:
+                    texts.append(f.read())
+                names.append(name)
+                size += len(texts[-1])
+                if len(names) >= READ_FILES or size >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(texts, pa.binary())], ["path", "value"])
+                    names, texts, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["path", "value"])
+
+    found = _dealt(written, root).mapInArrow(run, "path string, value binary")
+    return found.select("path", F.col("value").cast("string").alias("value"))
+
+
+def file_sizes(written: DataFrame, root: str) -> DataFrame:
+    """``path, length`` of those written files that are there, looked up by tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, _ = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            found = files.get_file_info([n if "://" not in n else fs.FileSystem.from_uri(n)[1] for n in names])
+            there = [(n, i.size) for n, i in zip(names, found) if i.type == fs.FileType.File]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in there], pa.string()), pa.array([k for _, k in there], pa.int64())], ["path", "length"]
+            )
+
+    return _dealt(written, root).mapInArrow(run, "path string, length bigint")
+
+
+def _texts(spark: SparkSession, path: str, written: DataFrame | None, whole: bool = True) -> DataFrame:
+    """``_file, value`` of the files of a pattern, or of written files below a folder."""
+    if written is not None:
+        return file_texts(written, path).withColumnRenamed("path", "_file")
+    return spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("_file"), "value")
+
+
+def read_records(spark: SparkSession, path: str, lines: bool = False, written: DataFrame | None = None) -> DataFrame:
     """Run records with run name, folder and, for a broken one, its text.
 
     ``path`` is a pattern such as ``<dir>/*/results.json`` with one document
     per file, which is named after its folder, or with ``lines`` a folder of
     JSON lines, where a record's own name goes first. Files are read as text
     and parsed, so a broken record is an ordinary value that can be counted.
+    A pattern is listed by the driver; with ``written``, what ``write_files``
+    returned, ``path`` is its folder and nothing is listed.
     """
-    raw = spark.read.text(path, wholetext=not lines).where(F.btrim("value") != "")
+    raw = _texts(spark, path, written, not lines).where(F.btrim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    folder = _folder(F.col("_metadata.file_path"))
+    folder = _folder(F.col("_file"))
     parsed = raw.select(folder.alias("experiment_dir"), F.from_json("value", f"{RECORD}, _bad string", options).alias("r"))
     name = _last_part(F.col("experiment_dir"))
     return parsed.select(
@@ -89,15 +156,16 @@ def runs_of(records: DataFrame) -> DataFrame:
     )
 
 
-def log_documents(spark: SparkSession, path: str) -> DataFrame:
+def log_documents(spark: SparkSession, path: str, written: DataFrame | None = None) -> DataFrame:
     """Training logs, one row per file: run, folder, records, and the text of a broken one.
 
     A log is an array of records of three kinds. Files are read as text, many
     small ones by one task, and parsed into wide records, so that a broken log
     is a row that can be counted and not a failed job. A blank file is broken.
+    ``path`` and ``written`` are those of ``read_records``.
     """
-    raw = spark.read.text(path, wholetext=True)
-    folder = _folder(F.col("_metadata.file_path"))
+    raw = _texts(spark, path, written)
+    folder = _folder(F.col("_file"))
     parsed = raw.select(
         _last_part(folder).alias("experiment_name"), folder.alias("experiment_dir"),
         F.from_json("value", f"array<struct<{LOG}>>", {"mode": "PERMISSIVE"}).alias("records"), "value",
@@ -122,15 +190,15 @@ def bad_logs(documents: DataFrame) -> DataFrame:
     return bad_records(documents)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, written: DataFrame | None = None) -> DataFrame:
     """The records of all logs that can be parsed."""
-    return log_rows(log_documents(spark, path))
+    return log_rows(log_documents(spark, path, written))
 
 
-def read_configs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_configs(spark: SparkSession, path: str, schema: str, written: DataFrame | None = None) -> DataFrame:
     """Whole config documents, one per file, with the folder each lies in."""
-    raw = spark.read.text(path, wholetext=True)
-    name = _last_part(_folder(F.col("_metadata.file_path")))
+    raw = _texts(spark, path, written)
+    name = _last_part(_folder(F.col("_file")))
     return raw.select(name.alias("folder"), F.from_json("value", schema).alias("c")).select("folder", "c.*")
 
 
@@ -219,9 +287,16 @@ def artifacts(
     return files.where(wanted).select(_last_part(run).alias("run"), name.alias("file"), in_model.alias("in_model"), "length")
 
 
-def files_below(spark: SparkSession, root: str) -> DataFrame:
-    """All files in ``<root>/<top>/<run>/`` and their model folders, without reading any."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+def files_below(spark: SparkSession, root: str, written: DataFrame | None = None) -> DataFrame:
+    """All files in ``<root>/<top>/<run>/`` and their model folders, without reading any.
+
+    The driver lists the folder, or with ``written``, what ``write_files``
+    returned, tasks look up those files and the driver sees none.
+    """
+    if written is not None:
+        files = file_sizes(written, root)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     parts = F.split("path", "/")
     in_model = F.element_at(parts, -2) == "final_model"
 

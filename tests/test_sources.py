@@ -234,3 +234,18 @@ def test_versions_are_read_while_the_build_goes_on(spark, tmp_path):
         rows = spark.read.parquet(f"{out}/rows/batch={k}").groupBy("status").count().collect()
         seen = incremental.batch_counts(spark, out).where(f"batch = {k} AND n > 0").select("status", "n").collect()
         assert sorted(map(tuple, rows)) == sorted(map(tuple, seen))
+
+
+def test_written_files_are_read_without_listing(spark, tmp_path, physical):
+    root = str(tmp_path / "out")
+    rows = [(f"r{i}/results.json", json.dumps(RECORD) if i % 10 else "{") for i in range(300)] + [("e/results.json", " ")]
+    rows += [("t/r1/final_model/config.json", "123"), ("t/r1/notes.txt", "")]
+    written = sinks.write_files(spark.createDataFrame(rows, "path string, text string"), root)
+    found = records.read_records(spark, root, written=written.where("path LIKE '%results.json'"))
+    assert "MapInArrow" in physical(found) and "FileScan text" not in physical(found)
+    assert records.good_records(found).count() == 270 and records.bad_records(found).count() == 30
+    assert {r["experiment_dir"] for r in found.where("experiment_name = 'r7'").collect()} == {f"{root}/r7"}
+    gone = spark.createDataFrame([("t/r1/lost.txt", 9)], "path string, n_bytes bigint")
+    listing = records.files_below(spark, root, written.where("path LIKE 't/%'").unionByName(gone))
+    assert "binaryFile" not in physical(listing)
+    assert sorted(map(tuple, listing.collect())) == [("t", "r1", "config.json", True, 3), ("t", "r1", "notes.txt", False, 0)]
