@@ -656,8 +656,11 @@ def artifact_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return records.artifact_sizes(records.artifacts(spark, root, run_files=None))
 
 
-def _log_files(spark: SparkSession, sf: str) -> str:
-    """One log per run in a folder of its own, and a copy cut short for each tenth user."""
+def _log_files(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """One log per run in a folder of its own, and a copy cut short for each tenth user.
+
+    Returns their root and the table of the written files.
+    """
     root = fresh_path(spark, "logs")
     name = F.concat("run_kind", F.lit("_u"), F.col("user_id").cast("string"))
     rows = views.logs(spark, sf).select(
@@ -668,17 +671,17 @@ def _log_files(spark: SparkSession, sf: str) -> str:
         (F.max("place") + 1).alias("place"), F.max("step").alias("step"),
         F.count(F.lit(1)).cast("double").alias("train_runtime"), F.max("loss").alias("train_loss"),
     )
-    sinks.write_logs(rows.unionByName(ends, allowMissingColumns=True), root, order="place")
+    whole = sinks.write_logs(rows.unionByName(ends, allowMissingColumns=True), root, order="place")
     broken = views.logs(spark, sf).where(F.col("user_id") % 10 == 0).select(name.alias("name")).distinct()
     path = F.concat("name", F.lit("_cut/training_history.json"))
     text_ = F.concat(F.lit('[{"loss": 1.0}, {"run": "'), "name")
-    sinks.write_files(broken.select(path.alias("path"), text_.alias("text")), root)
-    return f"{root}/*/training_history.json"
+    cut = sinks.write_files(broken.select(path.alias("path"), text_.alias("text")), root)
+    return root, whole.unionByName(cut)
 
 
 def log_files(spark: SparkSession, sf: str) -> DataFrame:
     """Every record of the logs, read back from their files."""
-    rows = records.read_logs(spark, _log_files(spark, sf))
+    rows = records.read_logs(spark, *_log_files(spark, sf))
     return rows.select(
         "experiment_name", F.col("place").cast("bigint").alias("place"), "kind", "step", "loss", "eval_loss",
         "eval_rewards_margins", "train_runtime", "train_loss",
@@ -686,16 +689,16 @@ def log_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_files_bad(spark: SparkSession, sf: str) -> DataFrame:
-    bad = records.bad_logs(records.log_documents(spark, _log_files(spark, sf)))
+    bad = records.bad_logs(records.log_documents(spark, *_log_files(spark, sf)))
     return bad.select("experiment_name", "content")
 
 
 def log_files_last_eval(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.last_eval_loss(records.read_logs(spark, _log_files(spark, sf)), "experiment_name", order="place")
+    return logs.last_eval_loss(records.read_logs(spark, *_log_files(spark, sf)), "experiment_name", order="place")
 
 
 def log_files_curve(spark: SparkSession, sf: str) -> DataFrame:
-    rows = records.read_logs(spark, _log_files(spark, sf))
+    rows = records.read_logs(spark, *_log_files(spark, sf))
     return rounded(logs.learning_curve(rows, "experiment_name"), "train", "eval")
 
 
