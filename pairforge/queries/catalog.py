@@ -711,8 +711,7 @@ def _record_folders(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("experiment_name", F.lit("/results.json")).alias("path"),
         F.when(F.col("metrics.eval_loss").isNull(), cut).otherwise(whole).alias("text"),
     )
-    sinks.write_files(rows, root)
-    return records.read_records(spark, f"{root}/*/results.json")
+    return records.read_records(spark, root, written=sinks.write_files(rows, root))
 
 
 def record_folders(spark: SparkSession, sf: str) -> DataFrame:

@@ -249,3 +249,11 @@ def test_written_files_are_read_without_listing(spark, tmp_path, physical):
     listing = records.files_below(spark, root, written.where("path LIKE 't/%'").unionByName(gone))
     assert "binaryFile" not in physical(listing)
     assert sorted(map(tuple, listing.collect())) == [("t", "r1", "config.json", True, 3), ("t", "r1", "notes.txt", False, 0)]
+
+
+def test_queries_on_named_files_list_none(spark, sf, physical):
+    from pairforge.queries.catalog import QUERIES
+
+    for name in ("config_documents", "artifact_listing", "log_files", "log_files_bad", "record_folders"):
+        plan = physical(QUERIES[name](spark, sf))
+        assert "FileScan text" not in plan and "binaryFile" not in plan, name
