@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairforge.functions.text import length_ratio
+from pairforge.operators.arrow import slices
 from pairforge.operators.position import running_totals, with_batch
 from pairforge.session import balanced
 
@@ -14,7 +19,10 @@ MAX_RATIO = 3.0
 MIN_RATIO = 0.33
 
 KEPT = "kept"
-BANDS = (32, 256, 2048, 16384)
+# Bounds that are tried, as multiples of the least possible distance.
+BANDS = (1, 3, 12)
+LEAST_BAND = 16
+KINDS = 64
 
 
 def prefer(pred1: Column, pred2: Column, dist1: Column, dist2: Column) -> Column:
@@ -31,19 +39,79 @@ def prefer(pred1: Column, pred2: Column, dist1: Column, dist2: Column) -> Column
     )
 
 
+def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of all texts as numbers, and how many each has; -1 for one that is no UTF-8."""
+    parts, sizes = [], []
+    for t in texts:
+        try:
+            parts.append(t.decode().encode("utf-32-le"))
+            sizes.append(len(parts[-1]) // 4)
+        except UnicodeDecodeError:
+            sizes.append(-1)
+    return np.frombuffer(b"".join(parts), np.uint32), np.array(sizes, np.int64)
+
+
+def _limits(first: list[bytes], second: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Limits of the edit distance of each two texts that cost one look at each character.
+
+    Low: characters of one text that the other has not, counted by kind, as
+    every edit mends at most one on each side. High: places that differ when
+    the texts are laid side by side, and what one is longer.
+    """
+    codes, sizes = zip(_codes(first), _codes(second))
+    lengths = [np.maximum(n, 0) for n in sizes]
+    starts = [np.cumsum(n) - n for n in lengths]
+    rows = np.arange(len(first))
+    counts = [
+        np.bincount(np.repeat(rows, n) * KINDS + c % KINDS, minlength=len(rows) * KINDS).reshape(-1, KINDS)
+        for c, n in zip(codes, lengths)
+    ]
+    more = counts[0] - counts[1]
+    low = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+    both = np.minimum(*lengths)
+    of_row = np.repeat(rows, both)
+    at = np.arange(len(of_row)) - np.repeat(np.cumsum(both) - both, both)
+    apart = codes[0][starts[0][of_row] + at] != codes[1][starts[1][of_row] + at]
+    high = np.bincount(of_row[apart], minlength=len(rows)) + np.maximum(*lengths) - both
+    bad = (sizes[0] < 0) | (sizes[1] < 0)
+    n_bytes = [max(len(a), len(b)) for a, b in zip(first, second)]
+    return np.where(bad, 0, low), np.where(bad, n_bytes, high)
+
+
+@F.pandas_udf(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())]))
+def distance_limits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for a, b in batches:
+        first, second = ([t if t is not None else b"" for t in x] for x in (a, b))
+        sizes = np.array([len(x) + len(y) for x, y in zip(first, second)], np.int64)
+        found = [_limits(first[at : at + n], second[at : at + n]) for at, n in slices(sizes)]
+        low, high = (np.concatenate([f[i] for f in found] or [[]]).astype(np.int32) for i in (0, 1))
+        yield pd.DataFrame({"low": low, "high": high})
+
+
+def add_limits(df: DataFrame, **texts: tuple[Column, Column]) -> DataFrame:
+    """For each name its column ``<name>_limits``, of the rows that ``_early`` leaves open."""
+
+    def open_text(x: Column) -> Column:
+        return F.when(F.col("_early").isNull(), x).cast("binary")
+
+    return df.withColumns({f"{n}_limits": distance_limits(open_text(a), open_text(b)) for n, (a, b) in texts.items()})
+
+
 def add_distance(df: DataFrame, name: str, a: Column, b: Column) -> DataFrame:
-    """Exact edit distance in characters of the rows that ``_early`` leaves open.
+    """Exact edit distance in characters of rows with ``add_limits``.
 
-    The bounded form works on a band of the table of both texts and gives -1
-    above its bound, so near texts are cheap however long they are, and the
-    whole table is only filled for distant ones.
+    Where the limits meet they are the distance. Otherwise the bounded form works on a band of the table of both texts and gives -1
+    above its bound, so bands from the lower limit on are tried, and the last
+    is the upper limit, which cannot be exceeded.
     """
-    found = F.lit(None).cast("int")
-    for i, bound in enumerate([*BANDS, None]):
-        step = F.levenshtein(a, b) if bound is None else F.levenshtein(a, b, bound)
+    low, high = F.col(f"{name}_limits.low"), F.col(f"{name}_limits.high")
+    found = F.when(low == high, low)
+    for i, times in enumerate([*BANDS, None]):
+        wide = F.greatest(low.cast("bigint") * times, F.lit(LEAST_BAND * times)) if times else high
+        bound = F.least(wide, high).cast("int")
         unknown = F.col("_early").isNull() & F.coalesce(found < 0, F.lit(True))
-        column = name if bound is None else f"{name}_{i}"
-        df = df.withColumn(column, F.when(unknown, step).otherwise(found))
+        column = f"{name}_{i}" if times else name
+        df = df.withColumn(column, F.when(unknown, F.call_function("levenshtein", a, b, bound)).otherwise(found))
         found = F.col(column)
     return df
 
@@ -74,7 +142,9 @@ def classify(
         .when(p1 == p2, "identical")
     )
     open_rows = df.withColumn("_early", early)
-    measured = add_distance(add_distance(open_rows, "_d1", p1, tgt), "_d2", p2, tgt)
+    # Limits of both come first: a Python step between would repeat the bands.
+    limited = add_limits(open_rows, _d1=(p1, tgt), _d2=(p2, tgt))
+    measured = add_distance(add_distance(limited, "_d1", p1, tgt), "_d2", p2, tgt)
     d1, d2 = F.col("_d1"), F.col("_d2")
     first = d1 < d2
     ratio = F.when(first, length_ratio(p1, p2)).otherwise(length_ratio(p2, p1))

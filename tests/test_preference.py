@@ -149,3 +149,26 @@ def test_hook_keeps_rows_without_source(spark):
 def test_one_pass_gives_both_candidates(spark, physical):
     df = spark.createDataFrame([], "pair_id bigint, src string")
     assert physical(generate.with_candidates(df, generate.letter_editor)).count("MapInPandas") == 1
+
+
+def test_limits_hold_the_distance(spark):
+    random.seed(3)
+    letters = "abcdeé日 X😀"
+
+    def text(n: int) -> str:
+        return "".join(random.choice(letters) for _ in range(n))
+
+    rows = []
+    for i in range(300):
+        a = text(random.choice([1, 3, 20, 120]))
+        at = random.randrange(len(a))
+        rows.append((i, a, random.choice([a[:at] + text(3) + a[at + 1 :], text(len(a)), a[:at], a.replace("a", "ab")])))
+    df = spark.createDataFrame(rows, "pair_id int, a string, b string").withColumn("_early", F.lit(None).cast("string"))
+    df = df.unionByName(df.limit(2).withColumn("a", F.expr("CAST(X'C328E9FFFE41' AS STRING)")))
+    limited = preference.add_limits(df, d=(F.col("a"), F.col("b")))
+    got = preference.add_distance(limited, "d", F.col("a"), F.col("b")).withColumn("full", F.levenshtein("a", "b")).collect()
+    assert all(r["d"] == r["full"] for r in got)
+    limits = [r["d_limits"] for r in got]
+    assert all(r["low"] <= g["d"] <= r["high"] for r, g in zip(limits, got))
+    # Replaced characters need no table at all.
+    assert any(r["low"] == r["high"] > 0 for r in limits) and any(r["low"] < r["high"] for r in limits)
