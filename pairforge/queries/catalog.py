@@ -21,6 +21,8 @@ from pairforge.session import fresh_path, stored
 BATCH = 8
 LIMIT = 256
 VERSIONS = 4
+# Every new file belongs to one batch.
+ALL_FILES = (1 << 31) - 1
 
 
 def joined(ids: str | Column) -> Column:
@@ -181,13 +183,17 @@ def _candidate_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf: str) -> str:
-    """A build of four batches: the pairs by their id modulo 4, in that order."""
-    path, out = fresh_path(spark, "candidates"), fresh_path(spark, "build")
+    """A build of four batches: the pairs by their id modulo 4, in that order.
+
+    The build stops after each batch and goes on when the next files are
+    there, so a version may be any number of files, read by as many tasks.
+    """
+    path, out, state = (fresh_path(spark, n) for n in ("candidates", "build", "build-state"))
     made = stored(views.candidates(views.pairs(spark, sf)), "candidates")
     for k in range(VERSIONS):
-        made.where(F.col("pair_id") % VERSIONS == k).coalesce(1).write.mode("append").parquet(path)
-    stream = incremental.candidate_stream(spark, path, made.schema, 1)
-    incremental.build_by_batch(stream, out, fresh_path(spark, "build-state"), "pair_id").awaitTermination()
+        made.where(F.col("pair_id") % VERSIONS == k).write.mode("append").parquet(path)
+        stream = incremental.candidate_stream(spark, path, made.schema, ALL_FILES)
+        incremental.build_by_batch(stream, out, state, "pair_id", spread_by="pair_id").awaitTermination()
     return out
 
 

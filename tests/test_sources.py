@@ -257,3 +257,15 @@ def test_queries_on_named_files_list_none(spark, sf, physical):
     for name in ("config_documents", "artifact_listing", "log_files", "log_files_bad", "record_folders"):
         plan = physical(QUERIES[name](spark, sf))
         assert "FileScan text" not in plan and "binaryFile" not in plan, name
+
+
+def test_a_version_may_be_many_files(spark, sf):
+    from pairforge.queries import catalog
+
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        out = catalog._versions(spark, sf)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    rows = spark.read.parquet(f"{out}/rows").select("batch", (F.col("pair_id") % 4).alias("k")).distinct().collect()
+    assert sorted((int(r["batch"]), r["k"]) for r in rows) == [(k, k) for k in range(catalog.VERSIONS)]
