@@ -61,9 +61,18 @@ def parse_name(name: Column) -> Column:
     )
 
 
+def printed(value: Column, digits: str) -> Column:
+    """A number in Python's own form, which rounds what the double is.
+
+    ``format_string`` rounds its shortest decimal spelling, halves up, so 1.25505
+    to four digits was 1.2551 where the double lies below that half.
+    """
+    return F.udf(lambda x: None if x is None else format(x, digits), "string")(value)
+
+
 def short_rate(rate: Column) -> Column:
     """One digit after the point and a two-digit exponent; null as ``-``."""
-    return F.when(rate.isNotNull(), F.format_string("%.1e", rate)).otherwise("-")
+    return F.when(rate.isNotNull(), printed(rate, ".1e")).otherwise("-")
 
 
 def rate_text(rate: Column) -> Column:

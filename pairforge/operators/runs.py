@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairforge.functions.names import is_preference_run, numeric_rate, parse_name, rate_text, short_rate
+from pairforge.functions.names import is_preference_run, numeric_rate, parse_name, printed, rate_text, short_rate
 from pairforge.operators.position import ranked
 from pairforge.session import small_side
 
@@ -100,7 +100,7 @@ def display_row(table: DataFrame) -> DataFrame:
         F.coalesce(F.col("batch_size").cast("string"), F.lit("-")).alias("batch_size"),
         short_rate(F.col("sft_lr")).alias("sft_lr"),
         rate_text(F.col("final_lr")).alias("final_lr"),
-        F.format_string("%.4f", F.col("bleu_score")).alias("bleu"),
+        printed(F.col("bleu_score"), ".4f").alias("bleu"),
     )
 
 

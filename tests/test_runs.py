@@ -152,3 +152,14 @@ def test_reward_losses(spark):
     assert math.isclose(rewards.pair_rewards(far).first()["loss"], 2e5)
     with pytest.raises(ValueError):
         rewards.pair_rewards(df, "hinge")
+
+
+def test_printed_scores_round_the_double(spark):
+    from pairforge.functions.names import printed
+
+    values = [1.25505, 1.00005, 0.12345, 2.00015, 0.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(printed(F.col("x"), ".4f")).collect()]
+    assert got == [None if v is None else f"{v:.4f}" for v in values]
+    java = [r[0] for r in df.select(F.format_string("%.4f", "x")).collect()]
+    assert got[:-1] != java[:-1]
