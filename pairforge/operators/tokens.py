@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairforge.functions.text import EOS, PAD, SEP, SEP_ID
 from pairforge.functions.words import split_words
-from pairforge.operators.arrow import map_batches, slices
+from pairforge.operators.arrow import SLICE, map_batches, slices
 from pairforge.operators.position import ranked
 from pairforge.session import stored
 
@@ -21,6 +21,9 @@ from pairforge.session import stored
 # bytes, so at most some 40 MB whatever the corpus.
 HEAD = 1 << 19
 HEAD_BYTES = 64
+# Bytes of words that are looked up together, and what a word takes besides its text.
+LOOK_UP = 8 * SLICE
+WORD_BYTES = 16
 
 # Published limits.
 MAX_TOKENS = 256
@@ -115,7 +118,15 @@ def encode(
         def each(batch: pa.RecordBatch):
             lists = batch.column(1)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            words = lists.flatten().dictionary_encode()
+            n_bytes = pc.fill_null(pc.binary_length(lists.flatten()), 0).to_numpy(zero_copy_only=False)
+            ends = np.r_[0, np.cumsum(n)]
+            sizes = np.diff(np.r_[0, np.cumsum(n_bytes, dtype=np.int64)][ends]) + WORD_BYTES * n
+            # Larger slices than usual, as each looks into the whole table anew.
+            for start, rows in slices(sizes, LOOK_UP):
+                yield numbered(batch.slice(start, rows), n[start : start + rows])
+
+        def numbered(batch: pa.RecordBatch, n: np.ndarray):
+            words = batch.column(1).flatten().dictionary_encode()
             of_kind = numbers.take(pc.index_in(words.dictionary, value_set=known))
             ids = of_kind.take(words.indices)
             missed = np.flatnonzero(pc.and_(pc.is_null(ids), pc.is_valid(words.indices)).to_numpy(zero_copy_only=False))
@@ -125,7 +136,7 @@ def encode(
                 [pa.array(at, pa.int32()), words.dictionary.take(words.indices.take(pa.array(missed)))], ["_at", "token"]
             )
             cuts = np.searchsorted(missed, ends).astype(np.int32)
-            yield [
+            return [
                 batch.column(0), pa.ListArray.from_arrays(pa.array(ends), ids),
                 pa.ListArray.from_arrays(pa.array(cuts), spots),
             ]
@@ -174,23 +185,29 @@ def encode_with(
 ) -> DataFrame:
     """Add ``ids`` and ``encode_error`` by a user's own tokenizer.
 
-    The tokenizer is made once per task and takes a list of texts; a row that
-    fails keeps its error. A null text has null ids and no error.
+    The tokenizer is made once per task and takes a list of at most
+    ``batch_size`` texts, which are of some 1 MB in all or one text, so what a
+    worker holds is bounded; a row that fails keeps its error. A null text has null ids and no error.
     """
 
+    def encoded(encoder: Encoder, texts: list[str | None]) -> list[tuple]:
+        live = [t for t in texts if t is not None]
+        ids, errors = [], []
+        for at in range(0, len(live), batch_size):
+            some = _encode(encoder, live[at : at + batch_size])
+            ids += some[0]
+            errors += some[1]
+        found = iter(zip(ids, errors))
+        return [(None, None) if t is None else next(found) for t in texts]
+
     @F.pandas_udf("ids array<bigint>, encode_error string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
         for batch in batches:
-            live = [t for t in batch if t is not None]
-            ids, errors = [], []
-            for at in range(0, len(live), batch_size):
-                some = _encode(encoder, live[at : at + batch_size])
-                ids += some[0]
-                errors += some[1]
-            found = iter(zip(ids, errors))
-            rows = [(None, None) if t is None else next(found) for t in batch]
-            yield pd.DataFrame(rows, columns=["ids", "encode_error"])
+            sizes = np.array([len(t or "") for t in batch], np.int64)
+            for at, n in slices(sizes):
+                texts = batch.iloc[at : at + n].tolist()
+                yield pd.DataFrame(encoded(encoder, texts), columns=["ids", "encode_error"])
 
     return df.withColumn("_encoded", run(F.col(text))).select(*df.columns, "_encoded.ids", "_encoded.encode_error")
 

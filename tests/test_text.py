@@ -125,3 +125,15 @@ def test_numeric_rate(spark):
 def test_words_split_at_unicode_white_space(spark):
     df = spark.createDataFrame([("a\u00a0b\u3000c\u2028d\x1ce f\u202f:",)], "t string")
     assert df.select(words(F.col("t"))).first()[0] == ["a", "b", "c", "d", "e", "f", ":"]
+
+
+def test_a_tokenizer_gets_bounded_texts(spark):
+    from pairforge.operators import tokens
+    from pairforge.operators.arrow import SLICE
+
+    def sizes():
+        return lambda texts: [[sum(map(len, texts))] for _ in texts]
+
+    df = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 200_000).alias("text"))
+    got = [r["ids"][0] for r in tokens.encode_with(df, "text", sizes).collect()]
+    assert len(got) == 40 and max(got) <= SLICE
