@@ -7,10 +7,12 @@ executor never loses them, and are deleted once their readers are done.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -108,6 +110,29 @@ class Workspace:
         return F.broadcast(kept) if (n or 0) <= max_rows else kept
 
 
+#: Rows of whole texts, or of sets of their shingles, that Spark hands to Python at once.
+TEXT_ROWS = 1_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gets Arrow batches of at most ``TEXT_ROWS`` rows.
+
+    A batch lies in the executor twice, on Spark's and on Python's side, for
+    each running task; the session's own limit is made for short rows.
+    """
+    was = spark.conf.get(BATCH_ROWS)
+    if 0 < int(was) <= TEXT_ROWS:
+        yield
+        return
+    spark.conf.set(BATCH_ROWS, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, was)
+
+
 def _written(df: DataFrame, path: str, *partitions: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -181,6 +206,15 @@ def with_fields(schema: T.StructType, extra: str) -> T.StructType:
     return T.StructType([*schema.fields, *T._parse_datatype_string(extra).fields])
 
 
+def give_back() -> None:
+    """Return memory that is free again to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 _shipped: set[str] = set()
 
 
@@ -211,6 +245,8 @@ def arrow_map(
             if batch.num_rows:
                 for columns in each(batch):
                     yield record(columns, kinds)
+        each = batch = columns = None
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -273,6 +309,8 @@ def grouped_map(
             t = pa.Table.from_batches(waiting)
             for columns in each(t, groups(t)):
                 yield record(columns, kinds)
+        waiting = t = batch = columns = None
+        give_back()
 
     ship(df.sparkSession)
     dealt = df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)

@@ -46,7 +46,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairforge.llm.common import Workspace, arrow_map, free_name, id_key, text_key
+from pairforge.llm.common import Workspace, arrow_map, free_name, id_key, text_batches, text_key, text_slices
 
 MIN_DOCS = 8
 SHORT_DOCS = 16
@@ -55,6 +55,8 @@ LEADING = 2
 CONSTANT = 0.6
 SAME_PLACE = 0.5
 OWN = 0.2
+#: Bytes of text whose lines are looked at together, or one text.
+TOGETHER = 1 << 20
 
 DIGIT = re.compile(r"\d")
 FIELD = "<*>"
@@ -105,20 +107,22 @@ def _lines(docs: DataFrame, leading: int, with_text: bool) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            rows, out = [], []
-            for row, text in enumerate(batch.column(2)):
-                seen = set()
-                for line in all_lines(text.as_py() or "", leading):
-                    rows.append(row)
-                    out.append((*line, line[1] not in seen))
-                    seen.add(line[1])
-            if rows:
-                at = pa.array(rows)
-                names = ("idx", "line", "leaf", "before", "after", "tokens", "size", "letter", "first")
-                columns = dict(zip(names, zip(*out)))
-                if not with_text:
-                    del columns["tokens"]
-                yield {"id": batch.column(0).take(at), "h": batch.column(1).take(at)} | columns
+            for begin, n in text_slices(batch.column(2), TOGETHER):
+                some = batch.slice(begin, n)
+                rows, out = [], []
+                for row, text in enumerate(some.column(2)):
+                    seen = set()
+                    for line in all_lines(text.as_py() or "", leading):
+                        rows.append(row)
+                        out.append((*line, line[1] not in seen))
+                        seen.add(line[1])
+                if rows:
+                    at = pa.array(rows)
+                    names = ("idx", "line", "leaf", "before", "after", "tokens", "size", "letter", "first")
+                    columns = dict(zip(names, zip(*out)))
+                    if not with_text:
+                        del columns["tokens"]
+                    yield {"id": some.column(0).take(at), "h": some.column(1).take(at)} | columns
 
         return each
 
@@ -250,7 +254,8 @@ def drop_lines(docs: DataFrame, **settings) -> DataFrame:
     what is left. The two counts get other names if the table has theirs.
     """
     with Workspace(docs.sparkSession) as ws:
-        return ws.keep(_without(docs, ws, **settings), "lines-dropped")
+        with text_batches(docs.sparkSession):
+            return ws.keep(_without(docs, ws, **settings), "lines-dropped")
 
 
 def _without(docs: DataFrame, ws: Workspace, **settings) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.common import (
     Workspace, arrow_map, ascii_words, components, free_name, grouped_map, id_key, mix, seeds, text_key,
-    text_slices,
+    text_batches, text_slices,
 )
 
 TREES = 16
@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> D
     ``h`` tell documents apart; ``stays`` is true for one of them in each
     component, also where ids are null or repeat.
     """
-    with Workspace(docs.sparkSession) as ws:
+    with Workspace(docs.sparkSession) as ws, text_batches(docs.sparkSession):
         return ws.keep(_near_duplicates(docs, ws, k, percent), "near-duplicates")
 
 
@@ -401,7 +401,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = SIMILARITY) -> DataF
     Of repeated rows one stays, if they have any word. Texts are only shuffled
     where rows repeat, unless the removed documents are too many to send to all.
     """
-    with Workspace(docs.sparkSession) as ws:
+    with Workspace(docs.sparkSession) as ws, text_batches(docs.sparkSession):
         return ws.keep(_one_of_each(docs, ws, k, percent), "one-of-each")
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.bpe import byte_letters
-from pairforge.llm.common import Workspace, arrow_map, column
+from pairforge.llm.common import Workspace, arrow_map, column, text_batches
 from pairforge.operators.position import prefix_sums
 
 LIMIT = 1024
@@ -143,7 +143,8 @@ def pack(docs: DataFrame, vocabulary: str, limit: int = LIMIT, ids: bool = False
     """
     spark = docs.sparkSession
     with Workspace(spark) as ws:
-        kept = ws.stored(encoded(docs, vocabulary), "encoded")
+        with text_batches(spark):
+            kept = ws.stored(encoded(docs, vocabulary), "encoded")
         totals = kept.groupBy("part").agg(F.sum("n").alias("total"))
         bases = prefix_sums(ws.stored(totals, "task-totals"), "part", {"base": F.col("total")})
         placed = kept.join(ws.small(bases.select("part", "base"), "task-bases"), "part").select(

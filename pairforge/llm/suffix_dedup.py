@@ -40,20 +40,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairforge.llm.common import (
-    Workspace, arrow_map, arrow_schema, free_name, grouped_map, id_key, mix, partitions, record, seeds, ship, text_key,
+    Workspace, arrow_map, arrow_schema, free_name, give_back, grouped_map, id_key, mix, partitions, record, seeds, ship,
+    text_batches, text_key, text_slices,
 )
 
 LENGTH = 200
 SEED = 32
 BATCHES = 4
 #: String starts that are looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Bytes of text that are written again together, or one text.
+SLICE = 1 << 20
 #: Odd base of the rolling hash (any odd number does).
 BASE = 0x9E3779B97F4A7C15
 
 #: Classes of one anchor that are compared in one task; more are compared by shuffled counts.
-#: A context has under 460 bytes and 256 strings, so a group stays under some 100 MB.
-GROUP = 16_384
+#: A context has under 460 bytes and 256 strings; with 169 strings each a group takes 73 MB.
+GROUP = 4_096
 
 #: ``place`` holds the anchor's position, and how far before it the first and
 #: the last string of the stretch start, in 48, 8 and 8 bits.
@@ -304,7 +307,8 @@ class SuffixFamily:
         """
         b = self.batches
         loose = f"{self.folder}/loose-{b}"
-        array = self.ws.stored(suffixes(rows, self.length, self.seed), "suffixes", at=loose)
+        with text_batches(self.ws.spark):
+            array = self.ws.stored(suffixes(rows, self.length, self.seed), "suffixes", at=loose)
         array = self.ws.stored(in_order(array), "array", at=f"{self.folder}/level-{b}-{b}")
         self.ws.delete(loose)
         merged = array.withColumn("new", F.lit(1))
@@ -341,6 +345,8 @@ class SuffixFamily:
                 if batch.num_rows:
                     yield from scan.step(batch)
             yield from scan.close(True)
+            scan = batch = None
+            give_back()
 
         ship(rows.sparkSession)
         return rows.mapInArrow(run, FOUND)
@@ -376,7 +382,8 @@ def _contexts(docs: DataFrame, members: DataFrame, ws: Workspace, length: int) -
         return each
 
     schema = "fp bigint, k bigint, single boolean, doc bigint, first bigint, far int, size int, raw binary"
-    return ws.stored(arrow_map(rows, make, schema), "contexts")
+    with text_batches(ws.spark):
+        return ws.stored(arrow_map(rows, make, schema), "contexts")
 
 
 def _hashes(raws: list[bytes], size: np.ndarray, length: int):
@@ -520,7 +527,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
             return each
 
         schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-        return ws.keep(arrow_map(rows, make, schema), "repeats-removed")
+        with text_batches(docs.sparkSession):
+            return ws.keep(arrow_map(rows, make, schema), "repeats-removed")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -539,20 +547,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
         def make():
             def each(batch: pa.RecordBatch):
-                kept, stays = [], []
-                for was, own_ in zip(batch.column(text), batch.column(len(given))):
-                    if not own_.is_valid:
-                        kept.append(was.as_py())
-                        stays.append(True)
-                        continue
-                    data = was.as_buffer()
-                    a, b = _whole_characters(np.frombuffer(data, dtype=np.uint8), *_found(own_, length))
-                    left = _left(data, a, b)
-                    kept.append(left.decode())
-                    stays.append(bool(left))
-                t = pa.Table.from_batches([batch]).set_column(text, "text", pa.array(kept, pa.large_string()))
-                t = t.filter(pa.array(stays))
-                yield {c: t.column(i) for i, c in enumerate(given)}
+                for begin, n in text_slices(batch.column(text), SLICE):
+                    some = batch.slice(begin, n)
+                    kept, stays = [], []
+                    for was, own_ in zip(some.column(text), some.column(len(given))):
+                        if not own_.is_valid:
+                            kept.append(was.as_py())
+                            stays.append(True)
+                            continue
+                        data = was.as_buffer()
+                        a, b = _whole_characters(np.frombuffer(data, dtype=np.uint8), *_found(own_, length))
+                        left = _left(data, a, b)
+                        kept.append(left.decode())
+                        stays.append(bool(left))
+                    t = pa.Table.from_batches([some]).set_column(text, "text", pa.array(kept, pa.large_string()))
+                    t = t.filter(pa.array(stays))
+                    yield {c: t.column(i) for i, c in enumerate(given)}
 
             return each
 
@@ -560,7 +570,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
         if "n_chars" in docs.columns:
             n = F.when(F.col("n_chars").isNotNull(), F.length("text"))
             out = out.withColumn("n_chars", n.cast(docs.schema["n_chars"].dataType))
-        return ws.keep(out, "without-repeats")
+        with text_batches(docs.sparkSession):
+            return ws.keep(out, "without-repeats")
 
 
 def _found(own: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:

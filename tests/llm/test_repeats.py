@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.llm import line_dedup, minhash, suffix_dedup
-from pairforge.llm.common import Workspace, arrow_schema, components
+from pairforge.llm.common import BATCH_ROWS, TEXT_ROWS, Workspace, arrow_map, arrow_schema, components, text_batches
 
 
 def removed(texts, length):
@@ -456,3 +457,70 @@ def test_odd_rows_lines(odd, no_docs):
     texts = sorted((str(r.doc_id), str(r.text), r.n_chars) for r in odd.collect())
     assert sorted((str(r.doc_id), str(r.text), r.n_chars) for r in left.collect()) == texts
     assert line_dedup.drop_lines(no_docs).count() == 0
+
+
+def peak_mb(make, batch):
+    """MB of Python and numpy that a task's function takes at most for a batch."""
+    each = make()
+    tracemalloc.start()
+    try:
+        for _ in each(batch):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_work_on_a_batch_takes_little_memory(monkeypatch, docs):
+    """A stage's memory follows a slice of the batch, not the batch."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5_000)]
+    texts = ["\n".join(" ".join(rng.choices(words, k=9)) for _ in range(60)) for _ in range(1_500)]
+    assert sum(map(len, texts)) > 4_000_000
+    seen = []
+    for module in (line_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "arrow_map", lambda df, make, schema: seen.append(make))
+    line_dedup._lines(docs, 2, True)
+    suffix_dedup.suffixes(docs, 200, 32)
+    n = np.arange(len(texts))
+    lines, suffixes = seen
+    assert peak_mb(lines, pa.RecordBatch.from_pydict({"id": n, "h": n, "text": texts})) < 25
+    suffix_dedup._tables()
+    raws = pa.array([t.encode() for t in texts])
+    assert peak_mb(suffixes, pa.RecordBatch.from_arrays([pa.array(n), raws], ["doc", "raw"])) < 50
+
+
+def test_texts_come_in_short_batches(spark):
+    def make():
+        return lambda batch: [{"n": [batch.num_rows]}]
+
+    was = spark.conf.get(BATCH_ROWS)
+    rows = arrow_map(spark.range(0, 2 * TEXT_ROWS + 5, 1, 1), make, "n bigint")
+    with pytest.raises(KeyError), text_batches(spark):
+        assert [r.n for r in rows.collect()] == [TEXT_ROWS, TEXT_ROWS, 5]
+        raise KeyError
+    assert spark.conf.get(BATCH_ROWS) == was
+
+
+def test_stages_ask_for_short_batches(spark, monkeypatch):
+    given = []
+    docs = spark.range(1)
+    monkeypatch.setattr(line_dedup, "_without", lambda docs, ws: docs)
+    monkeypatch.setattr(minhash, "_one_of_each", lambda docs, ws, k, percent: docs)
+    monkeypatch.setattr(Workspace, "keep", lambda ws, df, name: given.append(spark.conf.get(BATCH_ROWS)))
+    line_dedup.drop_lines(docs)
+    minhash.one_of_each(docs)
+    assert given == [str(TEXT_ROWS)] * 2
+
+
+def test_a_group_compared_in_one_task_takes_little_memory(monkeypatch):
+    made = []
+    monkeypatch.setattr(suffix_dedup, "grouped_map", lambda rows, keys, order, each, *_: made.append(each))
+    suffix_dedup._compared(None, 200)
+    k, rng = suffix_dedup.GROUP, random.Random(3)
+    t = pa.table({
+        "fp": np.zeros(k, np.int64), "single": np.ones(k, bool), "doc": np.arange(k), "first": np.zeros(k, np.int64),
+        "far": np.full(k, 168), "size": np.full(k, 169), "raw": pa.array([rng.randbytes(368) for _ in range(k)]),
+    })
+    suffix_dedup._tables()
+    assert peak_mb(lambda: lambda t: made[0](t, np.ones(k, np.int64)), t) < 100
